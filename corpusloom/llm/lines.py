@@ -85,10 +85,9 @@ def _threshold(z: DataFrame, tests: int, fdr: float) -> float:
     return least
 
 
-def site_lines(lines: DataFrame, share: float = 0.1, least: int = 4, fdr: float = FDR) -> DataFrame:
-    """(site, key, n_in, n_site, n_out, z): the lines a site repeats over `share` of its documents and at least `least`."""
+def line_counts(lines: DataFrame) -> DataFrame:
+    """(site, key, n_in, d_in), stored: documents of a site with a line, and how many of them are no repeats."""
     first = lines.groupBy("site", "sig").agg(F.min("id").alias("id")).select("id", F.lit(1).alias("first"))
-    sizes = lines.groupBy("site").agg(F.count(F.lit(1)).alias("n_site"), F.count_distinct("sig").alias("d_site"))
     counted = (
         lines.join(first, "id", "left")
         .select("site", F.coalesce("first", F.lit(0)).alias("first"), F.explode(F.array_distinct("keys")).alias("key"))
@@ -96,7 +95,13 @@ def site_lines(lines: DataFrame, share: float = 0.1, least: int = 4, fdr: float
         .groupBy("site", "key")
         .agg(F.count(F.lit(1)).alias("n_in"), F.sum("first").alias("d_in"))
     )
-    counted = stored(counted, "line-counts")
+    return stored(counted, "line-counts")
+
+
+def site_lines(lines: DataFrame, share: float = 0.1, least: int = 4, fdr: float = FDR, counted: DataFrame | None = None) -> DataFrame:
+    """(site, key, n_in, n_site, n_out, z): the lines a site repeats over `share` of its documents and at least `least`."""
+    sizes = lines.groupBy("site").agg(F.count(F.lit(1)).alias("n_site"), F.count_distinct("sig").alias("d_site"))
+    counted = line_counts(lines) if counted is None else counted
     tests = counted.count()
     total = lines.select(F.count_distinct("site", "sig")).first()[0]
     much = stored(counted.where((F.col("n_in") >= least) & (F.col("d_in") >= 2)).join(sizes, "site").where(F.col("n_in") >= F.col("n_site") * share), "line-cases")
