@@ -7,13 +7,33 @@ import contextlib
 import shutil
 import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each application, so that they need no path of the driver's."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(sc.applicationId)
+    root = Path(__file__).resolve().parent.parent
+    folder = tempfile.mkdtemp(prefix="corpusloom-code-")
+    atexit.register(shutil.rmtree, folder, True)
+    with zipfile.ZipFile(f"{folder}/{root.name}.zip", "w") as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, path.relative_to(root.parent))
+    sc.addPyFile(f"{folder}/{root.name}.zip")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table; Catalyst prunes its columns and pushes filters into the scan."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -37,6 +57,7 @@ def stored(df: DataFrame, label: str = "t") -> DataFrame:
     Cuts the lineage like checkpoint(): the files outlive lost executors, hold only the columns asked for, compressed,
     and later plans see their exact size. Local files are removed at exit.
     """
+    ship(df.sparkSession)
     path = f"{scratch_dir(df.sparkSession)}/corpusloom/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if path.startswith("file:"):
