@@ -101,8 +101,10 @@ def _utf8_runs(wrong: str) -> re.Pattern:
     return re.compile(f"(?:{s['2']}{s['c']}|{s['3']}{s['c']}{{2}}|{s['4']}{s['c']}{{3}})+")
 
 
-_RUNS: dict[str, re.Pattern] = {}
-_ANY_RUN = re.compile("|".join(_utf8_runs(_w).pattern for _w in STRUCTURAL))
+_RUNS = {_w: _utf8_runs(_w) for _w in SINGLE_BYTE}
+_ANY_RUN = re.compile("|".join(_RUNS[_w].pattern for _w in STRUCTURAL))
+_ASCII = frozenset(map(chr, range(128)))
+_LATIN = re.compile(r"[A-Za-z]")
 _PAIRS = re.compile(r"(?:[^\x00-\x7f][^\x00-\x3f\x7f])+(?: (?:[^\x00-\x7f][^\x00-\x3f\x7f])+)*")
 _OUTSIDE = re.compile(r"[^\x00-\x7f]+(?:[ \x40-\x7e]{0,1}[^\x00-\x7f]+)*")
 
@@ -111,10 +113,12 @@ def pair_slots(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions of pairs with a character outside ASCII, and their slots; case is kept."""
     if len(points) < 2:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    at = np.flatnonzero((points[:-1] > 127) | (points[1:] > 127))
+    wide = points > 127
+    wide &= (points != 0xA0) & (points != 0x3000)
+    at = np.flatnonzero(wide[:-1] | wide[1:])
     a, b = points[at].astype(np.uint64), points[at + 1].astype(np.uint64)
     for x in (a, b):  # figures, blanks and line ends are alike
-        x[(x < 65) & (x > 0)] = 32
+        x[((x < 65) & (x > 0)) | (x == 0xA0) | (x == 0x3000)] = 32
     return at, ((a * np.uint64(2654435761) + b * np.uint64(40503) * np.uint64(65599)) >> np.uint64(7)).astype(np.int64) % SLOTS
 
 
@@ -177,14 +181,18 @@ class Model:
             n = np.bincount(line, minlength=len(lines))
             rare = np.bincount(line, weights=self.log[slots] < self.rare, minlength=len(lines))
             out = rare[: len(lines)] > SUSPECT * np.maximum(n[: len(lines)], 1)
-        for i, x in enumerate(lines):
-            if not out[i] and not x.isascii() and (_CONTROL.search(x) or _ANY_RUN.search(x)):
-                out[i] = True
+        whole = "\n".join(lines)
+        starts = None
+        for pattern in (_CONTROL, _ANY_RUN):
+            for m in pattern.finditer(whole):
+                if starts is None:
+                    starts = np.concatenate([[0], np.cumsum([len(x) + 1 for x in lines])])
+                out[np.searchsorted(starts, m.start(), side="right") - 1] = True
         return out
 
     def better(self, old: list[str], new: list[str]) -> bool:
         """Whether restored pieces, each with the character before and after it, are likelier than what stood there."""
-        a, b = (np.concatenate([pair_slots(points_of(x))[1] for x in side]) for side in (old, new))
+        a, b = (pair_slots(points_of("\n".join(side)))[1] for side in (old, new))
         if old == new or not len(a):
             return False
         if not len(b):
@@ -206,7 +214,10 @@ class Model:
         now, changed = line, False
         for _ in range(3):
             best, mean = now, -np.inf
+            chars = set(now) - _ASCII
             for right, wrong in self.rules:
+                if not _may_apply(chars, right, wrong):
+                    continue
                 new = apply_rule(now, right, wrong, self)
                 if new != now and (m := self.mean(new)) > mean + 1e-6:
                     best, mean = new, m
@@ -214,9 +225,19 @@ class Model:
             if best == now:
                 break
             now, changed = best, True
+            if not self.rare_share(now)[0]:
+                break
         return now, changed
 
 
+def _may_apply(chars: set[str], right: str, wrong: str) -> bool:
+    """Whether a line with these characters outside ASCII can hold anything the rule changes."""
+    if wrong in SINGLE_BYTE:
+        other = len(chars - _BACK[wrong].keys())
+        return other < len(chars) and (right == "utf-8" or 3 * other <= len(chars))
+    return any(c >= "\u2e80" for c in chars)
+
+
 def _decoded(wrong: str):
     def back(m: re.Match) -> str:
         raw = encode_wide(m[0], wrong)
@@ -235,7 +256,7 @@ def _in_place(line: str, found: list[re.Match], pieces: list[str]) -> list[str]:
 def apply_rule(line: str, right: str, wrong: str, model: Model | None = None) -> str:
     """`line` with the pieces changed back that were written in `right` and decoded as `wrong`."""
     if right == "utf-8" and wrong in SINGLE_BYTE:
-        runs = _RUNS.setdefault(wrong, _utf8_runs(wrong))
+        runs = _RUNS[wrong]
         found = list(runs.finditer(line))
         old = pieces = [m[0] for m in found]
         for _ in range(3 if model else 1):  # text decoded wrongly twice makes sense only at the end
@@ -248,27 +269,31 @@ def apply_rule(line: str, right: str, wrong: str, model: Model | None = None) ->
                 return apply_rule(line, right, wrong, model) if model else line
         return line
 
-    def piece(m: re.Match) -> str:
+    pattern = _PAIRS if wrong in SINGLE_BYTE and right in DOUBLE_BYTE else _OUTSIDE
+    changes: dict[int, str] = {}
+    found = []
+    for m in pattern.finditer(line):
         if wrong in SINGLE_BYTE:
-            if len(re.sub(r"[\x00-\x7f]", "", m[0])) < 3:
-                return m[0]
-            if right not in DOUBLE_BYTE and re.search(r"[A-Za-z]", line[max(0, m.start() - 1) : m.end() + 1]):
-                return m[0]
+            if len(m[0]) < 3 or not _BACK[wrong].keys() >= set(m[0]) - _ASCII:
+                continue
+            if sum(c > "\x7f" for c in m[0]) < 3 or right not in DOUBLE_BYTE and _LATIN.search(line[max(0, m.start() - 1) : m.end() + 1]):
+                continue
             raw = encode_wide(m[0], wrong)
         else:
             parts = [encode_wide(x, wrong) for x in m[0].split("\ufffd")]
             raw = None if None in parts else b"\xff".join(parts)
         if raw is None:
-            return m[0]
+            continue
         try:
             new = raw.decode(right, "strict" if wrong in SINGLE_BYTE else "replace")
         except (UnicodeDecodeError, LookupError):
-            return m[0]
-        if new == m[0] or model is not None and not model.better(_in_place(line, [m], [m[0]]), _in_place(line, [m], [new])):
-            return m[0]
-        return new
-
-    return (_PAIRS if wrong in SINGLE_BYTE and right in DOUBLE_BYTE else _OUTSIDE).sub(piece, line)
+            continue
+        if new != m[0]:
+            found.append(m)
+            changes[m.start()] = new
+    if not found or model is not None and not model.better(_in_place(line, found, [m[0] for m in found]), _in_place(line, found, list(changes.values()))):
+        return line
+    return pattern.sub(lambda m: changes.get(m.start(), m[0]), line)
 
 
 def votes(garbled: str, clean: str) -> list[tuple[str, str]]:
@@ -317,15 +342,25 @@ def suspect_lines(values: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for i, f, v in zip(batch["id"], batch["field"], batch["value"], strict=True):
-                lines = v.split("\n")
+            ids, fields, texts = batch["id"].tolist(), batch["field"].tolist(), batch["value"].tolist()
+            for at in range(0, len(ids), 64):
+                lines, owner = [], []
+                for r in range(at, min(at + 64, len(ids))):
+                    parts = texts[r].split("\n")
+                    lines += parts
+                    owner += [(ids[r], fields[r], k) for k in range(len(parts))]
                 for k in np.flatnonzero(sent.value.suspects(lines)):
-                    out.append((i, f, int(k), lines[k], sent.value.rare_share(lines[k])[0]))
+                    out.append((*owner[k], lines[k], sent.value.rare_share(lines[k])[0]))
             yield pd.DataFrame(out, columns=["id", "field", "line_no", "line", "rare"])
 
     return stored(values.mapInPandas(run, "id bigint, field string, line_no bigint, line string, rare double"), "suspects")
 
 
+def _even(df: DataFrame) -> DataFrame:
+    """Rows spread evenly over tasks: little data, much work in each row."""
+    return df.repartition(max(12, 2 * df.sparkSession.sparkContext.defaultParallelism))
+
+
 def twins(values: DataFrame, suspects: DataFrame) -> DataFrame:
     """(skel, twin, n_twins): of each suspect's stripped text the most frequent clean line and the number of different ones."""
     keys = suspects.select(F.xxhash64(stripped(F.col("line"))).alias("skel")).distinct()
@@ -360,7 +395,7 @@ def learn(paired: DataFrame, model: Model, least: int = 1, sure: int = 2) -> tup
                     out.append((*r, 0, 1))
             yield pd.DataFrame(out, columns=["right", "wrong", "by_twin", "by_pairs"])
 
-    got = paired.select("line", "twin").mapInPandas(run, "right string, wrong string, by_twin bigint, by_pairs bigint").groupBy("right", "wrong").agg(F.sum("by_twin").alias("t"), F.sum("by_pairs").alias("p"))
+    got = _even(paired.select("line", "twin")).mapInPandas(run, "right string, wrong string, by_twin bigint, by_pairs bigint").groupBy("right", "wrong").agg(F.sum("by_twin").alias("t"), F.sum("by_pairs").alias("p"))
     rows = sorted((r for r in got.collect() if r["t"] >= least or r["p"] >= sure), key=lambda r: (-r["t"] - r["p"], CANDIDATES.index((r["right"], r["wrong"]))))
     return tuple((r["right"], r["wrong"]) for r in rows)
 
@@ -386,7 +421,7 @@ def repaired_lines(docs: DataFrame, id_col: str = "doc_id", site: Column | None
             batch["changed"] = [c for _, c in new]
             yield batch[["id", "field", "line_no", "line", "rare", "skel", "twin", "n_twins", "restored", "changed"]]
 
-    done = paired.mapInPandas(run, "id bigint, field string, line_no bigint, line string, rare double, skel bigint, twin string, n_twins bigint, restored string, changed boolean")
+    done = _even(paired).mapInPandas(run, "id bigint, field string, line_no bigint, line string, rare double, skel bigint, twin string, n_twins bigint, restored string, changed boolean")
     where = docs.select(F.col(id_col).alias("id"), (site if site is not None else F.lit("")).alias("site"))
     done = stored(done, "restored")
     shown = (
