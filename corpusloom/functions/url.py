@@ -186,10 +186,11 @@ def private_host(host: Column) -> Column:
 
 
 def private_one(host: str | None) -> bool:
-    h = re.sub(r"\.$", "", (host or "").strip().lower())
+    h = (host or "").strip().lower()
+    h = h[1:].partition("]")[0] if h.startswith("[") else h if h.count(":") > 1 else h.partition(":")[0]
+    h = re.sub(r"\.$", "", h)
     if h == "localhost" or h.endswith(".localhost"):
         return True
-    h = h[1:].partition("]")[0] if h.startswith("[") else h if h.count(":") > 1 else h.partition(":")[0]
     try:
         ip = ipaddress.ip_address(h)
     except ValueError:

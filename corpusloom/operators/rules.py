@@ -51,7 +51,8 @@ def sitemap_children(maps: DataFrame, xml: str = "xml") -> DataFrame:
     """(loc) of the maps that index documents point to."""
     text = F.left(F.col(xml), F.lit(4 << 20))
     locs = F.regexp_extract_all(text, F.lit("(?s)<sitemap>.*?<loc>(.*?)</loc>"), F.lit(1))
-    return maps.where(text.contains("<sitemapindex")).select(clean_loc(F.explode(locs)).alias("loc")).where(F.col("loc") != "")
+    rows = maps.where(text.contains("<sitemapindex")).select(F.explode(locs).alias("loc"))
+    return rows.select(clean_loc(F.col("loc")).alias("loc")).where(F.col("loc") != "")
 
 
 def with_prefix(rows: DataFrame, prefix: str, column: str = "loc") -> DataFrame:
