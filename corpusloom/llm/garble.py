@@ -102,7 +102,31 @@ def _utf8_runs(wrong: str) -> re.Pattern:
 
 
 _RUNS = {_w: _utf8_runs(_w) for _w in SINGLE_BYTE}
-_ANY_RUN = re.compile("|".join(_RUNS[_w].pattern for _w in STRUCTURAL))
+
+
+def _classes() -> np.ndarray:
+    """For each character below 0x2600 the encodings of STRUCTURAL, as bits, in which it leads two or three bytes or continues."""
+    out = np.zeros((3, 0x2600), dtype=np.uint8)
+    for bit, wrong in enumerate(STRUCTURAL):
+        for c, b in _BACK[wrong].items():
+            row = 2 if 0x80 <= b < 0xC0 else 0 if 0xC2 <= b < 0xE0 else 1 if 0xE0 <= b < 0xF0 else -1
+            if row >= 0 and ord(c) < 0x2600:
+                out[row, ord(c)] |= 1 << bit
+    return out
+
+
+_LEAD2, _LEAD3, _CONT = _classes()
+
+
+def run_starts(text: str) -> np.ndarray:
+    """Where a well-formed sequence of any encoding of STRUCTURAL begins; all characters at once."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=_WIDE)
+    if len(points) < 3:
+        return np.empty(0, np.int64)
+    at = np.flatnonzero(points[:-2] > 127)
+    a, b, c = (np.where(x < 0x2600, x, 0) for x in (points[at], points[at + 1], points[at + 2]))
+    return at[((_LEAD2[a] & _CONT[b]) | (_LEAD3[a] & _CONT[b] & _CONT[c])) > 0]
+
 _ASCII = frozenset(map(chr, range(128)))
 _LATIN = re.compile(r"[A-Za-z]")
 _PAIRS = re.compile(r"(?:[^\x00-\x7f][^\x00-\x3f\x7f])+(?: (?:[^\x00-\x7f][^\x00-\x3f\x7f])+)*")
@@ -182,12 +206,10 @@ class Model:
             rare = np.bincount(line, weights=self.log[slots] < self.rare, minlength=len(lines))
             out = rare[: len(lines)] > SUSPECT * np.maximum(n[: len(lines)], 1)
         whole = "\n".join(lines)
-        starts = None
-        for pattern in (_CONTROL, _ANY_RUN):
-            for m in pattern.finditer(whole):
-                if starts is None:
-                    starts = np.concatenate([[0], np.cumsum([len(x) + 1 for x in lines])])
-                out[np.searchsorted(starts, m.start(), side="right") - 1] = True
+        marks = np.concatenate([run_starts(whole + "  "), np.fromiter((m.start() for m in _CONTROL.finditer(whole)), dtype=np.int64)])
+        if len(marks):
+            starts = np.concatenate([[0], np.cumsum([len(x) + 1 for x in lines])])
+            out[np.searchsorted(starts, marks, side="right") - 1] = True
         return out
 
     def better(self, old: list[str], new: list[str]) -> bool:
@@ -222,6 +244,8 @@ class Model:
                 if new != now and (m := self.mean(new)) > mean + 1e-6:
                     best, mean = new, m
                     self.last = (right, wrong)
+                    if right == "utf-8" and not self.rare_share(new)[0] and not _CONTROL.search(new):
+                        break
             if best == now:
                 break
             now, changed = best, True
@@ -303,7 +327,10 @@ def votes(garbled: str, clean: str) -> list[tuple[str, str]]:
     if not runs or outside.sub("", garbled) != outside.sub("", clean) or garbled == clean:
         return []
     out = []
+    chars = set(garbled) - _ASCII
     for right, wrong in CANDIDATES:
+        if not _may_apply(chars, right, wrong):
+            continue
         good = 0
         for g, c in runs:
             raw = encode_wide(g, wrong)
