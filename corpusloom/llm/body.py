@@ -58,18 +58,16 @@ def corpus(table: DataFrame, id_col: str, site: Column, share: float = 0.1) -> C
     return Corpus(records, found, sc.broadcast(known), sc.broadcast(Model(pair_counts(values_of(records, "id")))))
 
 
-def read_lines(text: str, model: Model) -> tuple[list[str], list[str]]:
-    """The lines as stored, and as they were written."""
-    lines = text.split("\n")
-    if text.isascii():
-        return lines, lines
-    suspect = np.flatnonzero(model.suspects(lines))
-    if not len(suspect):
-        return lines, lines
-    written = list(lines)
-    for i in suspect:
-        written[i] = model.restore(lines[i])[0]
-    return lines, written
+def as_written(texts: list[str], model: Model) -> list[list[str]]:
+    """The lines of each text as they were written: suspects are found over all texts at once and restored."""
+    split = [t.split("\n") for t in texts]
+    wide = [i for i, t in enumerate(texts) if not t.isascii()]
+    lines = [x for i in wide for x in split[i]]
+    starts = np.cumsum([0, *(len(split[i]) for i in wide)])
+    for k in np.flatnonzero(model.suspects(lines)):
+        at = int(np.searchsorted(starts, k, side="right")) - 1
+        split[wide[at]][k - starts[at]] = model.restore(lines[k])[0]
+    return split
 
 
 @dataclass
@@ -86,10 +84,7 @@ class Judged:
         return [i for i, k in enumerate(self.kind) if k == 1]
 
 
-def judge(i: int, title: str | None, text: str, keys: list[int], own: set[int], known: Known, model: Model) -> Judged:
-    lines, written = read_lines(text, model)
-    if title and not title.isascii() and written is not lines:
-        title = model.restore(title)[0]
+def judge(i: int, title: str | None, written: list[str], keys: list[int], own: set[int], known: Known) -> Judged:
     kind = kinds(written, keys, own, known, title)
     return Judged(i, title, written, kind, stuffing([x for x, k in zip(written, kind, strict=True) if k == 1])[0])
 
@@ -106,8 +101,10 @@ def each_record(c: Corpus, emit: Callable[[Judged], list[tuple]], schema: str, n
             out: list[tuple] = []
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256).to_pydict()
+                written = as_written(part["text"], model.value)
+                titles = ["".join(t) for t in as_written([(t or "").replace("\n", " ") for t in part["title"]], model.value)]
                 for k, i in enumerate(part["id"]):
-                    j = judge(i, part["title"][k], part["text"][k], part["keys"][k], set(part["own"][k] or ()), known.value, model.value)
+                    j = judge(i, titles[k], written[k], part["keys"][k], set(part["own"][k] or ()), known.value)
                     out += emit(j, *(part[m][k] for m in more))
             yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=names), schema=arrow, preserve_index=False)
 

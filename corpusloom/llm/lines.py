@@ -12,7 +12,8 @@ a tenth of the documents), so the per-site arrays are bounded; the table of site
 otherwise rows of heavy sites are spread over salted tasks.
 
 Defined cases: null or empty text has no lines but its record counts for its site; a null site is taken from the host of
-the url; lines without letters are never cases; repeated records count each.
+the url; lines without letters are never cases; repeated records count
+each; in a collection of one site, which has no outside, the share alone decides.
 """
 
 from __future__ import annotations
@@ -43,23 +44,14 @@ def line_keys(text: Column) -> Column:
 
 
 def line_table(docs: DataFrame, id_col: str, site: Column, text_col: str = "text") -> DataFrame:
-    """(id, site, keys, sig): the lines of each record as numbers, stored; `sig` is the same for a record fetched again."""
-    longest = F.slice(
-        F.array_sort(
-            F.transform(
-                F.filter(F.split(F.col(text_col), "\n", -1), lambda x: F.length(x) > 20), lambda x: F.struct((-F.length(x)).alias("l"), F.regexp_replace(F.lower(x), r"[^\p{L}]+", "").alias("x"))
-            )
-        ),
-        1,
-        4,
-    )
-    sig = F.coalesce(F.when(F.size(longest) > 0, F.xxhash64(longest["x"])), F.xxhash64(F.col(id_col)))
-    return stored(
-        docs.select(
-            F.col(id_col).alias("id"), F.coalesce(site, F.lit("")).alias("site"), line_keys(F.col(text_col)).alias("keys"), sig.alias("sig")
-        ),
-        "line-keys",
-    )
+    """(id, site, keys, sig): the lines of each record as numbers, stored.
+
+    `sig`, the four least numbers, is the same for a record fetched again and hardly ever for two others.
+    """
+    keyed = docs.select(F.col(id_col).alias("id"), F.coalesce(site, F.lit("")).alias("site"), line_keys(F.col(text_col)).alias("keys"))
+    least = F.slice(F.array_sort(F.array_distinct(F.filter("keys", lambda k: k != 0))), 1, 4)
+    sig = F.when(F.size(least) > 0, F.xxhash64(least)).otherwise(F.xxhash64("id"))
+    return stored(keyed.withColumn("sig", sig), "line-keys")
 
 
 def _g2(a: Column, n: Column, b: Column, m: Column) -> Column:
@@ -111,7 +103,7 @@ def site_lines(lines: DataFrame, share: float = 0.1, least: int = 4, fdr: float
     tested = (
         much.join(outside, "key")
         .withColumn("n_out", b)
-        .withColumn("z", F.sqrt(F.greatest(_g2(a, n, b, m), F.lit(0.0))))
+        .withColumn("z", F.when(m <= 0, F.lit(1e6)).otherwise(F.sqrt(F.greatest(_g2(a, n, b, m), F.lit(0.0)))))
         .where((m <= 0) | (a * m > b * n))
         .where(F.col("d_in") >= least)
     )

@@ -16,6 +16,7 @@ All of it needs only the record and three bounded tables: its site's lines, freq
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -144,22 +145,30 @@ def regularity(text: str) -> tuple[int, float, float, float]:
     mean autocorrelation of the content words over LAGS lags, share of Han terms that stand alone and come back).
 
     In running text neighbouring content words seldom meet again, and a word seldom returns after the same distance. Keywords
-    strewn into sentences do both.
+    strewn into sentences do both. A pair can only reach its share if one of its words does, which is looked at first.
     """
     low = text.lower()
-    words = [w for w in _WORD.findall(low) if w not in FUNCTION_WORDS and not _HAN.search(w)]
-    n = len(words)
-    pair, share, auto = 0, 0.0, 0.0
-    if n >= 12 and (text.isascii() or 4 * n >= len(_HAN.findall(low))):
-        index: dict[str, int] = {}
-        codes = np.fromiter((index.setdefault(w, len(index)) for w in words), dtype=np.int64, count=n)
-        pairs = codes[:-1] * np.int64(len(index)) + codes[1:]
-        pair = int(np.unique(pairs, return_counts=True)[1].max())
-        share = pair / n
-        if share >= 0.05:
-            auto = float(np.mean([(codes[lag:] == codes[:-lag]).mean() for lag in range(1, min(LAGS, n // 2) + 1)]))
-    alone = 0.0
-    if not text.isascii():
+    tokens = low.split()
+    pair, share, auto, alone = 0, 0.0, 0.0, 0.0
+    most = Counter(tokens)
+    heavy = max((n for w, n in most.items() if n >= 5 and w not in FUNCTION_WORDS and w.isalpha()), default=0)
+    if heavy >= max(5, 0.03 * len(tokens)):
+        placed = [(w, i) for i, x in enumerate(low.split("\n")) for w in _WORD.findall(x) if w not in FUNCTION_WORDS and not _HAN.search(w)]
+        words = [w for w, _ in placed]
+        n = len(words)
+        if n >= 12 and (text.isascii() or 4 * n >= len(_HAN.findall(low))):
+            index: dict[str, int] = {}
+            codes = np.fromiter((index.setdefault(w, len(index)) for w in words), dtype=np.int64, count=n)
+            pairs = codes[:-1] * np.int64(len(index)) + codes[1:]
+            ids, times = np.unique(pairs, return_counts=True)
+            pair = int(times.max())
+            share = pair / n
+            if share >= 0.05:
+                # entries of a log have their fixed words once each; keywords come several times in a line
+                at = np.flatnonzero(pairs == ids[times.argmax()])
+                pair = pair if pair >= 1.5 * len({placed[i][1] for i in at}) else 0
+                auto = float(np.mean([(codes[lag:] == codes[:-lag]).mean() for lag in range(1, min(LAGS, n // 2) + 1)]))
+    if not text.isascii() and sum(n for w, n in most.items() if len(w) <= 6 and _HAN.match(w)) >= 6:
         runs = _HAN_RUN.findall(low)
         single = [x.strip() for x in _ALONE.findall(low)]
         if len(single) >= 6 and len(set(single)) <= 0.6 * len(single):
@@ -169,13 +178,14 @@ def regularity(text: str) -> tuple[int, float, float, float]:
 
 def _states(text: str) -> bool:
     """Whether a sentence says something: function words, or words enough that are no enumeration."""
-    han = len(_HAN.findall(text)) if not text.isascii() else 0
-    if han * 3 > len(text):
-        if text.count("、") * 6 > han:
-            return False
-        return sum(c in FUNCTION_CHARS for c in text) >= 0.045 * han or (han >= 8 and text.rstrip()[-1:] in "。！？")
+    if not text.isascii() and _HAN.search(text):
+        han = len(_HAN.findall(text))
+        if han * 3 > len(text):
+            if text.count("、") * 6 > han:
+                return False
+            return sum(map(text.count, FUNCTION_CHARS)) >= 0.045 * han or (han >= 8 and text.rstrip()[-1:] in "。！？")
     words = _WORD.findall(text.lower())
-    marks = sum(w in FUNCTION_WORDS for w in words)
+    marks = sum(map(FUNCTION_WORDS.__contains__, words))
     if not words:
         return False
     if len(words) >= 3 and marks >= 0.1 * len(words) and (marks > 1 or len(words) >= 5):
@@ -188,13 +198,14 @@ _LETTERS = re.compile(r"[\W\d_]+")
 _SENTENCE = re.compile(r"[^.!?。！？]+(?:[.!?。！？]+(?=\s|$|[^\x00-\x7f])|[.!?](?=\S))*[.!?。！？]*")
 
 
-def statement_share(lines: list[str]) -> tuple[float, int]:
-    """(share of characters in sentences that say something, characters).
+def statement_share(lines: list[str], enough: float = 2.0) -> tuple[float, int]:
+    """(share of characters in sentences that say something, characters); at least `enough` once that is sure.
 
     A sentence said again in the record says nothing new. Addresses count only in lines without a statement.
     """
     said = total = 0
     heard: set[str] = set()
+    all_chars = sum(map(len, lines))
     for line in lines:
         text = _TAGGED.sub(" ", _URL.sub(" ", line)) if "/" in line or "#" in line or "www." in line else line
         new = 0
@@ -205,6 +216,8 @@ def statement_share(lines: list[str]) -> tuple[float, int]:
                     heard.add(key)
                     new += len(sentence)
         said += new
+        if said >= enough * all_chars:
+            return enough, all_chars
         total += len(text.strip()) if new else len(line)
     return (min(said / total, 1.0) if total else 1.0), total
 
@@ -214,9 +227,9 @@ def stuffing(own_lines: list[str]) -> tuple[bool, tuple[float, int, int, float,
 
     (a) Lists without function words: sentences that say something new hold less than a third of the characters.
     (b) Regular recurrence: one pair of content words makes up 9 % of them and words return at the same lags, or Han terms
-    standing alone between sentences keep coming back.
+    standing alone between sentences keep coming back. A pair that comes once in each line is the frame of a log or a list.
     """
-    said, total = statement_share(own_lines)
+    said, total = statement_share(own_lines, 0.33)
     pair, share, auto, alone = regularity("\n".join(own_lines))
     listed = said < 0.33 and total >= 60
     regular = (pair >= 5 and share >= 0.09 and auto >= 0.02) or alone >= 0.25
