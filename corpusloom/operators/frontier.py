@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.url import host_of
+from corpusloom.operators.scale import numbered
 
 
 def first_depth(items: DataFrame) -> DataFrame:
@@ -33,10 +34,11 @@ def in_order(items: DataFrame, limit: int) -> DataFrame:
     return items.orderBy(F.desc("priority"), "depth", "seq").limit(limit)
 
 
-def ranked_by_host(items: DataFrame, host: Column | None = None) -> DataFrame:
-    """Rank of each item among those of its host, in the frontier's order."""
-    order = Window.partitionBy("host").orderBy(F.desc("priority"), "depth", "seq")
-    return items.withColumn("host", host if host is not None else host_of(F.col("url"))).withColumn("rank", F.row_number().over(order))
+def ranked_by_host(items: DataFrame, host: Column | None = None, rows_per_block: int = 1_000_000) -> DataFrame:
+    """`rank` of each item among those of its host, in the frontier's order; a host with most items is numbered in blocks."""
+    rows = items.withColumn("host", host if host is not None else host_of(F.col("url"))).withColumn("__d", -F.col("priority"))
+    out = numbered(rows, ["host"], ["__d", "depth", "seq"], ["__d", "depth", "seq"], "rank", rows_per_block)
+    return out.withColumn("rank", F.col("rank") + 1).drop("__d", "__blk")
 
 
 def pending_per_host(items: DataFrame) -> DataFrame:

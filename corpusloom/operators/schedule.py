@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.scale import numbered, running_max
+
 SAMPLES = 120
 
 
@@ -43,34 +45,30 @@ def scaled(df: DataFrame, value: str, out: str = "scaled") -> DataFrame:
     return df.withColumn(out, F.col(value) / F.lit(float(max(top or 1, 1))))
 
 
-def token_bucket(requests: DataFrame, rate: float, arrival: str = "arrival", by: list[str] | None = None, order: str = "seq") -> DataFrame:
+def token_bucket(requests: DataFrame, rate: float, arrival: str = "arrival", by: list[str] | None = None, order: str = "seq", rows_per_block: int = 1_000_000) -> DataFrame:
     """Requests with `release`, when a bucket of `rate` tokens a second and a burst of max(1, int(rate)) lets them pass.
 
     Closed form: with T = 1 / rate, TAT(i) = (i + 1) T + max(a(j) - j T, j <= i), release(i) = max(a(i), TAT(i-1) - (burst - 1) T).
-    One running maximum for each key of `by`; without a rate every request passes at once.
+    A running maximum, taken inside blocks and carried over between them, so neither the global bucket nor a host with most
+    requests is one task. Without a rate every request passes at once.
     """
     if rate <= 0:
         return requests.withColumn("release", F.col(arrival).cast("double"))
     step, burst = 1.0 / rate, max(1, int(rate))
     keys = by or []
-    run = Window.partitionBy(*keys).orderBy(order)
-    i = (F.row_number().over(run) - 1).cast("double")
-    numbered = requests.withColumn("__i", i)
-    before = run.rowsBetween(Window.unboundedPreceding, -1)
-    tat = F.col("__i") * step + F.max(F.col(arrival) - F.col("__i") * step).over(before)
-    return numbered.withColumn("release", F.greatest(F.col(arrival).cast("double"), tat - (burst - 1) * step)).drop("__i")
+    rows = numbered(requests, keys, [order], [order], "__i", rows_per_block).withColumn("__v", F.col(arrival).cast("double") - F.col("__i") * step)
+    rows = running_max(rows, keys, [order], "__v", "__top", include=False)
+    return rows.withColumn("release", F.greatest(F.col(arrival).cast("double"), F.col("__i") * step + F.col("__top") - (burst - 1) * step)).drop("__i", "__v", "__top", "__blk")
 
 
-def min_gap(requests: DataFrame, gap: float, arrival: str = "arrival", host: str = "host", order: str = "seq") -> DataFrame:
+def min_gap(requests: DataFrame, gap: float, arrival: str = "arrival", host: str = "host", order: str = "seq", rows_per_block: int = 1_000_000) -> DataFrame:
     """Requests with `slot`: at least `gap` seconds after the one before at the same host; no wait without a host or a gap."""
     if gap <= 0:
         return requests.withColumn("slot", F.col(arrival).cast("double"))
-    run = Window.partitionBy(host).orderBy(order)
-    i = F.row_number().over(run).cast("double")
-    numbered = requests.withColumn("__i", i)
-    upto = run.rowsBetween(Window.unboundedPreceding, 0)
-    slot = F.col("__i") * gap + F.max(F.col(arrival) - F.col("__i") * gap).over(upto)
-    return numbered.withColumn("slot", F.when(F.coalesce(F.col(host).cast("string"), F.lit("")) == "", F.col(arrival).cast("double")).otherwise(slot)).drop("__i")
+    rows = numbered(requests, [host], [order], [order], "__i", rows_per_block).withColumn("__v", F.col(arrival).cast("double") - F.col("__i") * gap)
+    rows = running_max(rows, [host], [order], "__v", "__top")
+    slot = F.col("__i") * gap + F.col("__top")
+    return rows.withColumn("slot", F.when(F.coalesce(F.col(host).cast("string"), F.lit("")) == "", F.col(arrival).cast("double")).otherwise(slot)).drop("__i", "__v", "__top", "__blk")
 
 
 def two_buckets(requests: DataFrame, global_rate: float, host_rate: float) -> DataFrame:

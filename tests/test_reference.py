@@ -201,8 +201,18 @@ def test_token_bucket_against_a_simulation(spark):
         last = t
         want.append(t)
     df = spark.createDataFrame([(i, a) for i, a in enumerate(arrivals)], "seq long, arrival double")
-    got = [r["release"] for r in S.token_bucket(df, rate).orderBy("seq").collect()]
-    assert got == pytest.approx(want)
+    for size in (1_000_000, 17):
+        got = [r["release"] for r in S.token_bucket(df, rate, rows_per_block=size).orderBy("seq").collect()]
+        assert got == pytest.approx(want)
+
+
+def test_blocks_change_nothing(spark):
+    df = spark.range(500).select(F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") % 7 > 0, F.concat(F.lit("h"), F.col("id") % 11)).alias("host"), F.col("id").alias("seq"), (F.pmod(F.xxhash64("id"), F.lit(97)) + F.col("id") / 10).alias("arrival"))
+    one, many = ({r["seq"]: r["slot"] for r in S.min_gap(df, 0.7, rows_per_block=n).collect()} for n in (10_000, 23))
+    assert one == pytest.approx(many) and len(one) == 500
+    items = df.select(F.concat(F.lit("http://"), F.coalesce("host", F.lit("x")), F.lit("/"), "seq").alias("url"), (F.col("seq") % 4).alias("priority"), (F.col("seq") % 5).alias("depth"), "seq")
+    one, many = ({r["seq"]: r["rank"] for r in R.ranked_by_host(items, rows_per_block=n).collect()} for n in (10_000, 31))
+    assert one == many and min(one.values()) == 1
 
 
 @pytest.mark.parametrize(("depth", "counts"), [(1, (13, 14, 13)), (2, (20, 21, 49)), (3, (27, 28, 70))])
