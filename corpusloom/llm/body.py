@@ -16,11 +16,12 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from corpusloom.llm.garble import Model, pair_counts, values_of
 from corpusloom.llm.lines import line_counts, line_keys, line_table, per_site, site_lines
@@ -81,7 +82,7 @@ class Judged:
     stuffed: bool
 
     def own(self) -> list[int]:
-        return [i for i, k in enumerate(self.kind) if k == 1]
+        return np.flatnonzero(self.kind == 1).tolist()
 
 
 def judge(i: int, title: str | None, written: list[str], keys: list[int], own: set[int], known: Known) -> Judged:
@@ -89,49 +90,46 @@ def judge(i: int, title: str | None, written: list[str], keys: list[int], own: s
     return Judged(i, title, written, kind, stuffing([x for x, k in zip(written, kind, strict=True) if k == 1])[0])
 
 
-def each_record(c: Corpus, emit: Callable[[Judged], list[tuple]], schema: str, names: list[str], extra: list[Column] | None = None) -> DataFrame:
-    """Rows that `emit` makes of every judged record; extra columns arrive as `Judged.extra`."""
+def each_slice(c: Corpus, emit: Callable[..., list[tuple]], schema: str, extra: list[Column] | None = None, records: DataFrame | None = None) -> DataFrame:
+    """Rows that `emit` makes of lists of judged records; the values of extra columns follow as lists."""
     known, model = c.known, c.model
-    rows = c.records.where(F.col("text").isNotNull()).select("id", "site", "title", "text", line_keys(F.col("text")).alias("keys"), *(extra or []))
+    source = c.records if records is None else records
+    rows = source.where(F.col("text").isNotNull()).select("id", "site", "title", "text", line_keys(F.col("text")).alias("keys"), *(extra or []))
     rows = per_site(rows, c.found)
     more = [x for x in rows.columns if x not in ("id", "site", "title", "text", "keys", "own")]
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[str, set[int]] = {}
         for batch in batches:
-            out: list[tuple] = []
             for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256).to_pydict()
+                part = {n: batch.column(n).slice(at, 256).to_pylist() for n in ("id", "site", "title", "text", "keys", *more)}
+                sites = batch.column("own").slice(at, 256)
+                for k, site in enumerate(part["site"]):
+                    if site not in own:
+                        own[site] = set(sites[k].as_py() or ())
                 written = as_written(part["text"], model.value)
                 titles = ["".join(t) for t in as_written([(t or "").replace("\n", " ") for t in part["title"]], model.value)]
-                for k, i in enumerate(part["id"]):
-                    j = judge(i, titles[k], written[k], part["keys"][k], set(part["own"][k] or ()), known.value)
-                    out += emit(j, *(part[m][k] for m in more))
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=names), schema=arrow, preserve_index=False)
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
+                judged = [judge(i, titles[k], written[k], part["keys"][k], own[part["site"][k]], known.value) for k, i in enumerate(part["id"])]
+                out = emit(judged, *(part[m] for m in more))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
 
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
     return rows.mapInArrow(run, schema)
 
 
 def furniture(c: Corpus) -> DataFrame:
     """(id, line_no) of every line outside the main body; stuffed records are left out."""
-    return each_record(
-        c,
-        lambda j: [] if j.stuffed else [(j.id, i) for i, k in enumerate(j.kind) if k == 2],
-        "id bigint, line_no bigint",
-        ["id", "line_no"],
-    )
+    return each_slice(c, lambda js: [(j.id, i) for j in js if not j.stuffed for i, k in enumerate(j.kind) if k == 2], "id bigint, line_no bigint")
 
 
 def stuffed_records(c: Corpus) -> DataFrame:
     """(id) of records that are mostly keywords, link lists, tags or products."""
-    return each_record(c, lambda j: [(j.id,)] if j.stuffed else [], "id bigint", ["id"])
+    return each_slice(c, lambda js: [(j.id,) for j in js if j.stuffed], "id bigint")
 
 
 def main_body(c: Corpus) -> DataFrame:
     """(id, body): the text reduced to the main body, restored where it was garbled; null for null."""
-    bodies = each_record(c, lambda j: [(j.id, "\n".join(j.lines[i] for i in j.own()))], "id bigint, body string", ["id", "body"])
+    bodies = each_slice(c, lambda js: [(j.id, "\n".join(j.lines[i] for i in j.own())) for j in js], "id bigint, body string")
     missing = c.records.where(F.col("text").isNull()).select("id", F.lit(None).cast("string").alias("body"))
     return bodies.unionByName(missing)

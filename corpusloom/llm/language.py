@@ -31,8 +31,9 @@ LINES = 1_500
 
 _HAN = re.compile(r"[㐀-鿿]")
 _CYRILLIC = re.compile(r"[Ѐ-ӿ]")
+_LATIN_WORD = re.compile(r"[a-zÀ-ɏ]+")
 _LATIN = re.compile(r"[A-Za-zÀ-ɏ]")
-_NOISE = re.compile(r"(?:https?://|www\.)\S+|[\d_]+")
+_ADDRESS = re.compile(r"(?:https?://|www\.)\S+")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -45,7 +46,7 @@ def word_slots(word: str) -> list[int]:
 def plain(line: str, vocabulary: frozenset[str] = frozenset()) -> list[str]:
     """The words of a line in lower case. Long words that the sample does not know are mostly names, which tell nothing of the
     language around them; they are left out if known words remain."""
-    words = _WORD.findall(_NOISE.sub(" ", line).lower())
+    words = _WORD.findall((_ADDRESS.sub(" ", line) if "://" in line or "www." in line else line).lower())
     known = [w for w in words if len(w) < 6 or w in vocabulary]
     return known if len(known) >= 2 else words
 
@@ -61,7 +62,7 @@ class Machines:
 
     def __post_init__(self) -> None:
         self._rows: dict[str, int] = {}
-        self._sums: list[np.ndarray] = []
+        self._table = np.zeros((1024, self.weights.shape[1] + 1))
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
@@ -71,21 +72,28 @@ class Machines:
         self.__post_init__()
 
     def _row(self, word: str) -> int:
-        """Number of the word in the table of summed weights; the last number of a row counts its features."""
-        if len(self._rows) > 200_000:  # the table is a cache of this process
-            self.__post_init__()
+        """Number of the word in the table of summed weights; the last column counts its features. A cache of this process."""
+        n = len(self._rows)
+        if n == len(self._table):
+            self._table = np.concatenate([self._table, np.zeros_like(self._table)])
         slots = word_slots(word)
-        self._sums.append(np.append(self.weights[slots].sum(axis=0), len(slots)))
-        self._rows[word] = len(self._sums) - 1
-        return self._rows[word]
+        self._table[n, :-1] = self.weights[slots].sum(axis=0)
+        self._table[n, -1] = len(slots)
+        self._rows[word] = n
+        return n
 
     def margins(self, lines: list[list[str]]) -> np.ndarray:
         """Margin of every line of words under every machine; feature counts are scaled to unit length."""
+        if len(self._rows) > 200_000:
+            self.__post_init__()
         out = np.zeros((len(lines), len(self.columns)))
-        for i, words in enumerate(lines):
-            if words:
-                rows = np.sum([self._sums[r] for r in [self._rows[w] if w in self._rows else self._row(w) for w in words]], axis=0)
-                out[i] = rows[:-1] / np.sqrt(rows[-1])
+        filled = [i for i, words in enumerate(lines) if words]
+        if filled:
+            rows = self._rows
+            flat = np.array([rows[w] if w in rows else self._row(w) for i in filled for w in lines[i]], dtype=np.int64)
+            starts = np.cumsum([0, *(len(lines[i]) for i in filled[:-1])])
+            sums = np.add.reduceat(self._table[flat], starts, axis=0)
+            out[filled] = sums[:, :-1] / np.sqrt(sums[:, -1:])
         return out + self.bias
 
     def classify(self, lines: list[str]) -> tuple[list[str | None], np.ndarray]:
@@ -97,9 +105,13 @@ class Machines:
             if x.isascii():
                 latin.append(i)
                 continue
-            x = _NOISE.sub(" ", x)
-            han, cyr, lat = len(_HAN.findall(x)), len(_CYRILLIC.findall(x)), len(_LATIN.findall(x))
+            x = _ADDRESS.sub(" ", x) if "://" in x else x
+            han, cyr = len(_HAN.findall(x)), len(_CYRILLIC.findall(x))
+            if not han and not cyr:
+                latin.append(i)
+                continue
             # names and units are in Latin letters inside any script, and a quotation may be in another one
+            lat = sum(len(w) for w in _LATIN_WORD.findall(x.lower()) if len(w) < 6 or w in self.vocabulary)
             if 2 * han >= lat and 2 * han >= cyr and han:
                 langs[i], conf[i] = "zh", 2.5 * han / (2.5 * han + lat + cyr)
             elif cyr and cyr >= 0.7 * lat:
@@ -109,22 +121,26 @@ class Machines:
         texts = [plain(lines[i], self.vocabulary) for i in latin]
         if texts:
             m = self.margins(texts)
+            names, sure = self.decide(m)
             for row, i in enumerate(latin):
-                if not _LATIN.search(lines[i]):
-                    continue
-                langs[i], conf[i] = self._decide(m[row])
+                if texts[row]:
+                    langs[i], conf[i] = names[row], sure[row]
         return langs, conf
 
-    def _decide(self, m: np.ndarray) -> tuple[str, float]:
-        family = "germanic" if m[0] > 0 else "romance"
-        votes = dict.fromkeys(LATIN_FAMILIES[family], 0.0)
+    def decide(self, m: np.ndarray) -> tuple[list[str], np.ndarray]:
+        """Language and confidence of each row of margins: the family first, then the votes of the pairs inside it."""
+        names = [lang for f in LATIN_FAMILIES.values() for lang in f]
+        votes = np.zeros((len(m), len(names)))
         for k, (a, b) in enumerate(self.columns[1:], 1):
-            if a in votes:
-                votes[a] += m[k]
-                votes[b] -= m[k]
-        best, second = sorted(votes, key=lambda x: -votes[x])[:2]
-        gap = (votes[best] - votes[second]) / max(1, len(votes) - 1)
-        return best, float(1 / (1 + np.exp(-2.0 * min(abs(m[0]), gap))))
+            votes[:, names.index(a)] += m[:, k]
+            votes[:, names.index(b)] -= m[:, k]
+        german = np.array([n in LATIN_FAMILIES["germanic"] for n in names])
+        inside = np.where((m[:, :1] > 0) == german, votes, -np.inf)
+        order = np.argsort(-inside, axis=1, kind="stable")
+        at = np.arange(len(m))
+        pairs = np.where(m[:, 0] > 0, len(LATIN_FAMILIES["germanic"]), len(LATIN_FAMILIES["romance"])) - 1
+        gap = (inside[at, order[:, 0]] - inside[at, order[:, 1]]) / pairs
+        return [names[i] for i in order[:, 0]], 1 / (1 + np.exp(-2.0 * np.minimum(np.abs(m[:, 0]), gap)))
 
 
 def _columns() -> tuple[tuple[str, str], ...]:
@@ -182,8 +198,7 @@ def fit(samples: list[tuple[str, str]], rounds: int = 2) -> Machines:
             machines.weights[:, k], machines.bias[k] = _svm([feats[i] for i in pick], np.array([side[i] for i in pick]), seed=k)
         if r + 1 < rounds:
             for lang, lines in kept.items():
-                m = machines.margins(lines)
-                said = [machines._decide(x) for x in m]
-                good = [x for x, (s, c) in zip(lines, said, strict=True) if s == lang or c < 0.7]
+                said, sure = machines.decide(machines.margins(lines))
+                good = [x for x, s, c in zip(lines, said, sure, strict=True) if s == lang or c < 0.7]
                 kept[lang] = good if len(good) >= 0.5 * len(lines) else lines
     return machines

@@ -52,6 +52,7 @@ _DIGIT = re.compile(r"\d")
 _BULLET = re.compile(r"^[»•*>·‣▪–—-]+\s+")
 _COUNT = re.compile(r"\s*[(（]\d+[)）]\s*$")
 _MENU_SEP = re.compile(r"\s+[|·/–—>»•]\s+|\s*\|\s*|\s{2,}|\t")
+_MARKS = frozenset("|·/–—>»•›→\t")
 _PATH_SEP = re.compile(r"\s+[>»/›→]\s+")
 _DATE = re.compile(r"\b\d{4}-\d{2}-\d{2}\b")
 _LABEL = re.compile(r"^([^:：]{2,40})[:：]\s*(.+)$")
@@ -78,6 +79,8 @@ def worded_like_title(s: str, known: Known) -> bool:
 
 
 def _is_menu(s: str) -> bool:
+    if "  " not in s and _MARKS.isdisjoint(s):
+        return False
     parts = [p for p in _MENU_SEP.split(_BULLET.sub("", s)) if p]
     if len(parts) >= 3 and not _DIGIT.search(s) and all(len(p) <= 26 and len(p.split()) <= 3 and not _STOP.search(p) for p in parts):
         return True
@@ -86,6 +89,8 @@ def _is_menu(s: str) -> bool:
 
 
 def _is_teaser(s: str, known: Known) -> bool:
+    if ":" not in s and "–" not in s and "：" not in s:
+        return False
     core = _COUNT.sub("", _BULLET.sub("", s))
     if worded_like_title(core, known):
         return True
@@ -111,7 +116,7 @@ def kinds(lines: list[str], keys: list[int], own: set[int], known: Known, title:
             continue
         if keys[i] in own:
             kind[i] = 2
-        elif len(s) > 300:
+        elif len(s) > 200:
             continue
         elif _is_menu(s) or (len(s) <= 120 and _DATE.search(s) and not _STOP.search(s)):
             kind[i] = 2
@@ -151,8 +156,8 @@ def regularity(text: str) -> tuple[int, float, float, float]:
     tokens = low.split()
     pair, share, auto, alone = 0, 0.0, 0.0, 0.0
     most = Counter(tokens)
-    heavy = max((n for w, n in most.items() if n >= 5 and w not in FUNCTION_WORDS and w.isalpha()), default=0)
-    if heavy >= max(5, 0.03 * len(tokens)):
+    least = max(5, 0.03 * len(tokens))
+    if any(w.isalpha() and w not in FUNCTION_WORDS for w in [w for w, n in most.items() if n >= least]):
         placed = [(w, i) for i, x in enumerate(low.split("\n")) for w in _WORD.findall(x) if w not in FUNCTION_WORDS and not _HAN.search(w)]
         words = [w for w, _ in placed]
         n = len(words)
@@ -168,7 +173,7 @@ def regularity(text: str) -> tuple[int, float, float, float]:
                 at = np.flatnonzero(pairs == ids[times.argmax()])
                 pair = pair if pair >= 1.5 * len({placed[i][1] for i in at}) else 0
                 auto = float(np.mean([(codes[lag:] == codes[:-lag]).mean() for lag in range(1, min(LAGS, n // 2) + 1)]))
-    if not text.isascii() and sum(n for w, n in most.items() if len(w) <= 6 and _HAN.match(w)) >= 6:
+    if not text.isascii() and _HAN.search(text) and sum(n for w, n in most.items() if len(w) <= 6 and _HAN.match(w)) >= 6:
         runs = _HAN_RUN.findall(low)
         single = [x.strip() for x in _ALONE.findall(low)]
         if len(single) >= 6 and len(set(single)) <= 0.6 * len(single):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.body import Corpus, Judged, corpus, each_record
+from corpusloom.llm.body import Corpus, Judged, corpus, each_slice
 from corpusloom.llm.language import LANGUAGES, SAMPLE, Machines, fit
 from corpusloom.llm.queries_text import doc_site
 from corpusloom.operators.scale import sized
@@ -24,24 +24,22 @@ def labelled(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", "url", "source", "title", "text", "lang").join(sized(aliases), "lang", "left")
 
 
-def train(c: Corpus, labels: DataFrame, sample: int = SAMPLE) -> Machines:
+def train(c: Corpus, records: DataFrame, sample: int = SAMPLE) -> Machines:
     """Fit the machines on own lines of at most about `sample` labelled documents, drawn by a hash of the id."""
-    known = labels.where(F.col("label").isin(*LANGUAGES[:5]) & F.col("text").isNotNull())
+    known = records.where(F.col("label").isin(*LANGUAGES[:5]) & F.col("text").isNotNull())
     # every language gets its part of the sample, however rare it is
     sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     each = sample // 5
-    spread = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1_000_000))
+    spread = F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(1_000_000))
     share = F.lit(0)
     for lang, n in sizes.items():
         share = F.when(F.col("label") == lang, F.lit(min(1_000_000, each * 1_000_000 // max(n, 1)))).otherwise(share)
-    picked = known.where(spread < share).select(F.col("doc_id").alias("id"), "label")
-    part = Corpus(c.records.join(sized(picked), "id"), c.found, c.known, c.model)
-    lines = each_record(
-        part,
-        lambda j, label: [] if j.stuffed else [(label, j.lines[i]) for i in j.own() if 15 <= len(j.lines[i]) <= 2000],
+    lines = each_slice(
+        c,
+        lambda js, labels: [(label, j.lines[i]) for j, label in zip(js, labels, strict=True) if not j.stuffed for i in j.own() if 15 <= len(j.lines[i]) <= 2000],
         "label string, line string",
-        ["label", "line"],
         [F.col("label")],
+        records.where(F.col("label").isin(*LANGUAGES[:5]) & (spread < share)),
     )
     got = [(r["label"], r["line"]) for r in lines.collect()]
     return fit(sorted(got, key=lambda x: hash_of(x[1])))
@@ -54,49 +52,53 @@ def hash_of(line: str) -> int:
     return zlib.crc32(line.encode("utf-8", "surrogatepass"))
 
 
-def judge_language(j: Judged, m: Machines) -> tuple[str | None, float, list[tuple[int, str, float]], bool]:
-    """(main language, confidence, [(line_no, language, confidence)] of own lines from LEAST_LINE on, mixed)."""
-    own = [(i, j.lines[i].strip()) for i in j.own()]
-    if sum(len(x) for _, x in own) < LEAST_TEXT:
-        return None, 0.0, [], False
-    langs, conf = m.classify([x for _, x in own])
-    weight: dict[str, float] = {}
-    said: dict[str, float] = {}
-    for (_, x), lang, c in zip(own, langs, conf, strict=True):
-        if lang:
-            weight[lang] = weight.get(lang, 0.0) + len(x)
-            said[lang] = said.get(lang, 0.0) + len(x) * c
-    if not weight:
-        return None, 0.0, [], False
-    main = min(weight, key=lambda x: (-weight[x], x))
-    rows = [(i, lang, float(c)) for (i, x), lang, c in zip(own, langs, conf, strict=True) if lang and len(x) >= LEAST_LINE]
-    sure = {lang for (_, x), lang, c in zip(own, langs, conf, strict=True) if lang and c >= SURE and len(x) >= (LEAST_TEXT if lang != "zh" else LEAST_LINE)} | {main}
-    # a short line is not enough to bring in another language; it has one of those that longer lines have
-    size = {i: len(x) for i, x in own}
-    rows = [(i, lang if lang in sure and (c >= 0.7 or size[i] >= LEAST_TEXT) else main, c) for i, lang, c in rows]
-    mixed = any(lang != main for _, lang, _ in rows)
-    return main, float(said[main] / sum(weight.values())), rows, mixed
+def judge_languages(js: list[Judged], labels: list[str | None], m: Machines) -> list[tuple]:
+    """(id, line_no, language, confidence, label) of records with enough own text: line_no -1 is the main language, and own lines
+    from LEAST_LINE on follow if the record is a mixed one. The lines of all records are classified together."""
+    texts, spans = [], []
+    for j in js:
+        own = [] if j.stuffed else [(i, j.lines[i].strip()) for i in j.own()]
+        own = own if sum(len(x) for _, x in own) >= LEAST_TEXT else []
+        spans.append(own)
+        texts += [x for _, x in own]
+    langs, conf = m.classify(texts)
+    out, at = [], 0
+    for j, label, own in zip(js, labels, spans, strict=True):
+        said = list(zip(own, langs[at : at + len(own)], conf[at : at + len(own)].tolist(), strict=True))
+        at += len(own)
+        weight: dict[str, float] = {}
+        sure: dict[str, float] = {}
+        for (_, x), lang, c in said:
+            if lang:
+                weight[lang] = weight.get(lang, 0.0) + len(x)
+                sure[lang] = sure.get(lang, 0.0) + len(x) * c
+        if not weight:
+            continue
+        main = min(weight, key=lambda x: (-weight[x], x))
+        out.append((j.id, -1, main, sure[main] / sum(weight.values()), label))
+        if len(weight) == 1:
+            continue
+        # a short line is not enough to bring in another language; it has one of those that longer lines have
+        known = {lang for (_, x), lang, c in said if lang and c >= SURE and len(x) >= (LEAST_TEXT if lang != "zh" else LEAST_LINE)} | {main}
+        rows = [(i, lang if lang in known and (c >= 0.7 or len(x) >= LEAST_TEXT) else main, c) for (i, x), lang, c in said if lang and len(x) >= LEAST_LINE]
+        if any(lang != main for _, lang, _ in rows):
+            out += [(j.id, i, lang, c, label) for i, lang, c in rows]
+    return out
 
 
 def languages(spark: SparkSession, d: str) -> DataFrame:
-    """(id, line_no, lang, confidence, label, mixed): line_no -1 is the document; one row for each own line of mixed ones."""
+    """(id, line_no, lang, confidence, label): line_no -1 is the document; one row for each own line of mixed ones."""
     docs = labelled(spark, d)
     c = corpus(docs, "doc_id", doc_site())
-    m = spark.sparkContext.broadcast(train(c, docs))
-    whole = Corpus(docs.select(F.col("doc_id").alias("id"), F.coalesce(doc_site(), F.lit("")).alias("site"), "title", "text", "label"), c.found, c.known, c.model)
-
-    def emit(j: Judged, label: str | None) -> list[tuple]:
-        if j.stuffed:
-            return []
-        main, conf, rows, mixed = judge_language(j, m.value)
-        if main is None:
-            return []
-        out = [(j.id, -1, main, conf, label, mixed)]
-        if mixed:
-            out += [(j.id, i, lang, c, label, mixed) for i, lang, c in rows]
-        return out
-
-    return each_record(whole, emit, "id bigint, line_no bigint, lang string, confidence double, label string, mixed boolean", ["id", "line_no", "lang", "confidence", "label", "mixed"], [F.col("label")])
+    records = docs.select(F.col("doc_id").alias("id"), F.coalesce(doc_site(), F.lit("")).alias("site"), "title", "text", "label")
+    m = spark.sparkContext.broadcast(train(c, records))
+    return each_slice(
+        c,
+        lambda js, labels: judge_languages(js, labels, m.value),
+        "id bigint, line_no bigint, lang string, confidence double, label string",
+        [F.col("label")],
+        records,
+    )
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
