@@ -23,12 +23,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from corpusloom.llm.garble import Model, pair_counts, values_of
-from corpusloom.llm.lines import line_counts, line_keys, line_table, per_site, site_lines
+from corpusloom.llm.garble import COMMON, Model, pair_counts, values_of
+from corpusloom.llm.lines import line_counts, line_keys, line_table, per_site, site_lines, site_sizes
 from corpusloom.llm.page import Known, kinds, stuffing
 
 SHORT_SHARE = 0.003
 TITLE_SHARE = 0.0005
+#: What stands between the parts of a title.
+SEPARATORS = (": ", " – ")
 
 
 @dataclass
@@ -45,18 +47,18 @@ def corpus(table: DataFrame, id_col: str, site: Column, share: float = 0.1) -> C
     """Learn the lines, titles and characters of a table; every row counts."""
     records = table.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(site, F.lit("")).alias("site"), "title", "text")
     lines = line_table(records, "id", F.col("site"))
-    counted = line_counts(lines)
-    found = site_lines(lines, share, counted=counted)
-    n = lines.count()
+    sizes, counted = site_sizes(lines), line_counts(lines)
+    found = site_lines(lines, share, counted=counted, sizes=sizes)
+    n = sizes.agg(F.sum("n_site")).first()[0] or 0
     often = counted.groupBy("key").agg(F.sum("d_in").alias("n")).where(F.col("n") >= max(5, SHORT_SHARE * n))
-    openings = []
-    for sep in (": ", " – "):
-        part = F.substring_index(F.col("title"), sep, 1)
-        rows = records.where(F.col("title").contains(sep)).groupBy(part.alias("p")).count().where(F.col("count") >= max(3, TITLE_SHARE * n))
-        openings.append(frozenset(r["p"] for r in rows.select("p").collect()))
+    parts = F.filter(
+        F.array(*[F.struct(F.lit(sep).alias("sep"), F.when(F.col("title").contains(sep), F.substring_index("title", sep, 1)).alias("part")) for sep in SEPARATORS]), lambda x: x["part"].isNotNull()
+    )
+    rows = records.where(F.col("title").isNotNull()).select(F.explode(parts).alias("p")).groupBy("p.sep", "p.part").count().where(F.col("count") >= max(3, TITLE_SHARE * n)).collect()
+    openings = [frozenset(r["part"] for r in rows if r["sep"] == sep) for sep in SEPARATORS]
     known = Known(frozenset(r["key"] for r in often.select("key").collect()), *openings)
     sc = table.sparkSession.sparkContext
-    return Corpus(records, found, sc.broadcast(known), sc.broadcast(Model(pair_counts(values_of(records, "id")))))
+    return Corpus(records, found, sc.broadcast(known), sc.broadcast(Model(pair_counts(values_of(records, "id")), COMMON)))
 
 
 def as_written(texts: list[str], model: Model) -> list[list[str]]:
@@ -71,6 +73,14 @@ def as_written(texts: list[str], model: Model) -> list[list[str]]:
     return split
 
 
+def restored_titles(titles: list[str | None], model: Model) -> list[str]:
+    """Titles as they were written, each a single line."""
+    lines = [(t or "").replace("\n", " ") for t in titles]
+    for k in np.flatnonzero(model.suspects(lines)):
+        lines[k] = model.restore(lines[k])[0]
+    return lines
+
+
 @dataclass
 class Judged:
     """One record after the pass; `kind` is 0 for empty lines, 1 for the body, 2 for the rest."""
@@ -78,11 +88,11 @@ class Judged:
     id: int
     title: str | None
     lines: list[str]
-    kind: np.ndarray
+    kind: list[int]
     stuffed: bool
 
     def own(self) -> list[int]:
-        return np.flatnonzero(self.kind == 1).tolist()
+        return [i for i, k in enumerate(self.kind) if k == 1]
 
 
 def judge(i: int, title: str | None, written: list[str], keys: list[int], own: set[int], known: Known) -> Judged:
@@ -109,7 +119,7 @@ def each_slice(c: Corpus, emit: Callable[..., list[tuple]], schema: str, extra:
                     if site not in own:
                         own[site] = set(sites[k].as_py() or ())
                 written = as_written(part["text"], model.value)
-                titles = ["".join(t) for t in as_written([(t or "").replace("\n", " ") for t in part["title"]], model.value)]
+                titles = restored_titles(part["title"], model.value)
                 judged = [judge(i, titles[k], written[k], part["keys"][k], own[part["site"][k]], known.value) for k, i in enumerate(part["id"])]
                 out = emit(judged, *(part[m] for m in more))
                 if out:

@@ -19,6 +19,7 @@ import re
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 
@@ -27,10 +28,11 @@ LANGUAGES = ("de", "en", "es", "fr", "pt", "ru", "zh")
 SLOTS = 1 << 13
 #: Labelled documents that the machines are fitted on, at most; and lines of each language.
 SAMPLE = 3_000
-LINES = 1_500
+LINES = 700
 
 _HAN = re.compile(r"[㐀-鿿]")
 _CYRILLIC = re.compile(r"[Ѐ-ӿ]")
+_OTHER_SCRIPT = re.compile(r"[㐀-鿿Ѐ-ӿ]")
 _LATIN_WORD = re.compile(r"[a-zÀ-ɏ]+")
 _LATIN = re.compile(r"[A-Za-zÀ-ɏ]")
 _ADDRESS = re.compile(r"(?:https?://|www\.)\S+")
@@ -43,12 +45,26 @@ def word_slots(word: str) -> list[int]:
     return [zlib.crc32(padded.encode("utf-8", "surrogatepass")) % SLOTS, *(zlib.crc32(padded[i : i + 3].encode("utf-8", "surrogatepass")) % SLOTS for i in range(len(padded) - 2))]
 
 
-def plain(line: str, vocabulary: frozenset[str] = frozenset()) -> list[str]:
-    """The words of a line in lower case. Long words that the sample does not know are mostly names, which tell nothing of the
-    language around them; they are left out if known words remain."""
-    words = _WORD.findall((_ADDRESS.sub(" ", line) if "://" in line or "www." in line else line).lower())
-    known = [w for w in words if len(w) < 6 or w in vocabulary]
-    return known if len(known) >= 2 else words
+def words_of(line: str) -> list[str]:
+    """The words of a line in lower case with the punctuation at them, without addresses."""
+    return (_ADDRESS.sub(" ", line) if "://" in line or "www." in line else line).lower().split()
+
+
+class _Rows(dict):
+    """Row of each word in the table of a process, made when first asked for.
+
+    Long words that the sample does not know are mostly names, which tell nothing of the language around them: with
+    `only_known` they have row 0.
+    """
+
+    def __init__(self, machines: Machines, only_known: bool) -> None:
+        super().__init__()
+        self.machines, self.only_known = machines, only_known
+
+    def __missing__(self, word: str) -> int:
+        known = not self.only_known or len(word) < 6 or word in self.machines.vocabulary
+        self[word] = row = self.machines.add(word) if known else 0
+        return row
 
 
 @dataclass
@@ -61,8 +77,10 @@ class Machines:
     vocabulary: frozenset[str] = frozenset()
 
     def __post_init__(self) -> None:
-        self._rows: dict[str, int] = {}
+        # caches of this process: summed weights of each word, the last column counting its features; row 0 is a word left out
         self._table = np.zeros((1024, self.weights.shape[1] + 1))
+        self._used = 1
+        self._known, self._any = _Rows(self, True), _Rows(self, False)
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
@@ -71,29 +89,32 @@ class Machines:
         self.__dict__.update(state)
         self.__post_init__()
 
-    def _row(self, word: str) -> int:
-        """Number of the word in the table of summed weights; the last column counts its features. A cache of this process."""
-        n = len(self._rows)
-        if n == len(self._table):
+    def add(self, word: str) -> int:
+        if self._used == len(self._table):
             self._table = np.concatenate([self._table, np.zeros_like(self._table)])
         slots = word_slots(word)
-        self._table[n, :-1] = self.weights[slots].sum(axis=0)
-        self._table[n, -1] = len(slots)
-        self._rows[word] = n
-        return n
-
-    def margins(self, lines: list[list[str]]) -> np.ndarray:
-        """Margin of every line of words under every machine; feature counts are scaled to unit length."""
-        if len(self._rows) > 200_000:
-            self.__post_init__()
+        self._table[self._used, :-1] = self.weights[slots].sum(axis=0)
+        self._table[self._used, -1] = len(slots)
+        self._used += 1
+        return self._used - 1
+
+    def rows_of(self, line: str) -> list[int]:
+        """Rows of a line's words, of long unknown ones only where hardly a known word is left."""
+        words = words_of(line)
+        rows = list(map(self._known.__getitem__, words))
+        return rows if len(rows) - rows.count(0) >= 2 else list(map(self._any.__getitem__, words))
+
+    def margins(self, lines: list[list[int]]) -> np.ndarray:
+        """Margin of every line of rows under every machine; feature counts are scaled to unit length."""
         out = np.zeros((len(lines), len(self.columns)))
-        filled = [i for i, words in enumerate(lines) if words]
+        filled = [i for i, rows in enumerate(lines) if rows]
         if filled:
-            rows = self._rows
-            flat = np.array([rows[w] if w in rows else self._row(w) for i in filled for w in lines[i]], dtype=np.int64)
+            flat = np.fromiter(chain.from_iterable(lines), dtype=np.int64)
             starts = np.cumsum([0, *(len(lines[i]) for i in filled[:-1])])
             sums = np.add.reduceat(self._table[flat], starts, axis=0)
-            out[filled] = sums[:, :-1] / np.sqrt(sums[:, -1:])
+            out[filled] = sums[:, :-1] / np.sqrt(np.maximum(sums[:, -1:], 1))
+        if self._used > 200_000:
+            self.__post_init__()
         return out + self.bias
 
     def classify(self, lines: list[str]) -> tuple[list[str | None], np.ndarray]:
@@ -105,6 +126,9 @@ class Machines:
             if x.isascii():
                 latin.append(i)
                 continue
+            if not _OTHER_SCRIPT.search(x):
+                latin.append(i)
+                continue
             x = _ADDRESS.sub(" ", x) if "://" in x else x
             han, cyr = len(_HAN.findall(x)), len(_CYRILLIC.findall(x))
             if not han and not cyr:
@@ -118,12 +142,12 @@ class Machines:
                 langs[i], conf[i] = "ru", cyr / (han + lat + cyr)
             else:
                 latin.append(i)
-        texts = [plain(lines[i], self.vocabulary) for i in latin]
+        texts = [self.rows_of(lines[i]) for i in latin]
         if texts:
             m = self.margins(texts)
             names, sure = self.decide(m)
             for row, i in enumerate(latin):
-                if texts[row]:
+                if texts[row] and _LATIN.search(lines[i]):
                     langs[i], conf[i] = names[row], sure[row]
         return langs, conf
 
@@ -148,7 +172,7 @@ def _columns() -> tuple[tuple[str, str], ...]:
     return (("germanic", "romance"), *pairs)
 
 
-def _svm(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 8, lam: float = 5e-4, seed: int = 0) -> tuple[np.ndarray, float]:
+def _svm(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 6, lam: float = 5e-4, seed: int = 0) -> tuple[np.ndarray, float]:
     """A linear machine by stochastic sub-gradients of the hinge loss, averaged over the last half."""
     w, b = np.zeros(SLOTS), 0.0
     total, total_b, n, t = np.zeros(SLOTS), 0.0, 0, 1.0
@@ -174,11 +198,13 @@ def _svm(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 8,
 def fit(samples: list[tuple[str, str]], rounds: int = 2) -> Machines:
     """Machines from (language, line) pairs, of which some labels may be wrong; only Latin-script lines are used."""
     by: dict[str, list[list[str]]] = {}
-    seen = Counter(w for line in {line for _, line in samples} for w in set(_WORD.findall(line.lower())))
+    seen = Counter(w for line in {line for _, line in samples} for w in set(words_of(line)))
     vocabulary = frozenset(w for w, n in seen.items() if n >= 3)
     for lang, line in samples:
         if any(lang in f for f in LATIN_FAMILIES.values()) and len(_LATIN.findall(line)) >= 0.6 * len(line.replace(" ", "")) and len(line) >= 15:
-            by.setdefault(lang, []).append(plain(line, vocabulary))
+            words = words_of(line)
+            known = [w for w in words if w in vocabulary or len(w) < 6]
+            by.setdefault(lang, []).append(known if len(known) >= 2 else words)
     kept = {lang: lines[:LINES] for lang, lines in by.items()}
     machines = Machines(np.zeros((SLOTS, len(_columns()))), np.zeros(len(_columns())), _columns(), vocabulary)
     family_of = {lang: f for f, langs in LATIN_FAMILIES.items() for lang in langs}
@@ -198,7 +224,7 @@ def fit(samples: list[tuple[str, str]], rounds: int = 2) -> Machines:
             machines.weights[:, k], machines.bias[k] = _svm([feats[i] for i in pick], np.array([side[i] for i in pick]), seed=k)
         if r + 1 < rounds:
             for lang, lines in kept.items():
-                said, sure = machines.decide(machines.margins(lines))
+                said, sure = machines.decide(machines.margins([[machines._any[w] for w in words] for words in lines]))
                 good = [x for x, s, c in zip(lines, said, sure, strict=True) if s == lang or c < 0.7]
                 kept[lang] = good if len(good) >= 0.5 * len(lines) else lines
     return machines

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.operators.scale import BROADCAST_ROWS, hot_keys, salted_join
+from corpusloom.operators.scale import BROADCAST_ROWS, hot_keys, salted_join, sized
 from corpusloom.sources.tables import stored
 
 #: Share of false discoveries allowed among the significant (site, line) pairs.
@@ -77,25 +77,36 @@ def _threshold(z: DataFrame, tests: int, fdr: float) -> float:
     return least
 
 
+def site_sizes(lines: DataFrame) -> DataFrame:
+    """(site, n_site, d_site), stored: records of each site, and how many of them are no repeats."""
+    return stored(lines.groupBy("site").agg(F.count(F.lit(1)).alias("n_site"), F.count_distinct("sig").alias("d_site")), "site-sizes")
+
+
 def line_counts(lines: DataFrame) -> DataFrame:
-    """(site, key, n_in, d_in), stored: documents of a site with a line, and how many of them are no repeats."""
-    first = lines.groupBy("site", "sig").agg(F.min("id").alias("id")).select("id", F.lit(1).alias("first"))
+    """(site, key, n_in, d_in), stored: documents of a site with a line, and how many of them are no repeats.
+
+    Which records are repeats is settled on (id, site, sig) alone, so the arrays of keys stay where they are unless there are
+    too many repeats to send.
+    """
+    slim = lines.select("id", "site", "sig")
+    first = slim.groupBy("site", "sig").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    again = slim.join(first, ["site", "sig"]).where(F.col("id") != F.col("first")).select("id").distinct().withColumn("again", F.lit(1))
     counted = (
-        lines.join(first, "id", "left")
-        .select("site", F.coalesce("first", F.lit(0)).alias("first"), F.explode(F.array_distinct("keys")).alias("key"))
+        lines.join(sized(again, 200_000), "id", "left")
+        .select("site", F.when(F.col("again").isNull(), 1).otherwise(0).alias("new"), F.explode(F.array_distinct("keys")).alias("key"))
         .where(F.col("key") != 0)
         .groupBy("site", "key")
-        .agg(F.count(F.lit(1)).alias("n_in"), F.sum("first").alias("d_in"))
+        .agg(F.count(F.lit(1)).alias("n_in"), F.sum("new").alias("d_in"))
     )
     return stored(counted, "line-counts")
 
 
-def site_lines(lines: DataFrame, share: float = 0.1, least: int = 4, fdr: float = FDR, counted: DataFrame | None = None) -> DataFrame:
+def site_lines(lines: DataFrame, share: float = 0.1, least: int = 4, fdr: float = FDR, counted: DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """(site, key, n_in, n_site, n_out, z): the lines a site repeats over `share` of its documents and at least `least`."""
-    sizes = lines.groupBy("site").agg(F.count(F.lit(1)).alias("n_site"), F.count_distinct("sig").alias("d_site"))
+    sizes = site_sizes(lines) if sizes is None else sizes
     counted = line_counts(lines) if counted is None else counted
     tests = counted.count()
-    total = lines.select(F.count_distinct("site", "sig")).first()[0]
+    total = sizes.agg(F.sum("d_site")).first()[0] or 0
     much = stored(counted.where((F.col("n_in") >= least) & (F.col("d_in") >= 2)).join(sizes, "site").where(F.col("n_in") >= F.col("n_site") * share), "line-cases")
     outside = counted.join(much.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.sum("d_in").alias("d_all"))
     a, n = F.col("d_in"), F.col("d_site")
@@ -140,5 +151,5 @@ def without_site_lines(docs: DataFrame, id_col: str, site: Column, found: DataFr
     parts = F.arrays_zip(F.split("__text", "\n", -1).alias("line"), F.col("keys").alias("key"))
     kept = F.filter(parts, lambda x: ~F.array_contains(own, x["key"]))
     return per_site(rows, found).select(
-        "id", (F.size("keys") - F.size(kept)).cast("bigint").alias("n_removed"), F.when(F.col("__text").isNotNull(), F.array_join(kept["line"], "\n")).alias("clean")
+        "id", F.coalesce(F.size("keys") - F.size(kept), F.lit(0)).cast("bigint").alias("n_removed"), F.when(F.col("__text").isNotNull(), F.array_join(kept["line"], "\n")).alias("clean")
     )

@@ -27,7 +27,9 @@ from corpusloom.llm.encode import encode
 from corpusloom.operators.scale import sized
 from corpusloom.sources.tables import stored
 
+#: Blocks of a source at least; more where blocks would hold over BLOCK_ROWS documents.
 BLOCKS = 512
+BLOCK_ROWS = 1_000_000
 
 
 def source_sizes(docs: DataFrame, id_col: str, source: Column, path: str | None = None) -> DataFrame:
@@ -90,10 +92,11 @@ def plan(sizes: DataFrame, targets: DataFrame, budget: float | None = None) -> l
     return [(name, t, s / shares * total, m) for name, s, t, m in known]
 
 
-def mix(sizes: DataFrame, targets: DataFrame, budget: float | None = None, seed: int = 0, blocks: int = BLOCKS) -> DataFrame:
+def mix(sizes: DataFrame, targets: DataFrame, budget: float | None = None, seed: int = 0, blocks: int | None = None) -> DataFrame:
     """(id, source, n_tokens, times): how often each document is used; rows of 0 uses are left out."""
     quotas = plan(sizes, targets, budget)
     spark = sizes.sparkSession
+    blocks = blocks or max(BLOCKS, -(-sizes.count() // BLOCK_ROWS))
     each = [(s, int(q // t), float(q - int(q // t) * t), m) for s, t, q, m in quotas]
     base = spark.createDataFrame(each, "source string, full int, rest double, max_repeats int")
     rows = sizes.where(F.col("n_tokens") > 0).join(sized(base), "source")

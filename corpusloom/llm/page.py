@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import pairwise
 
 import numpy as np
 
@@ -34,7 +35,7 @@ FUNCTION_WORDS = frozenset(
     after our until into once during because if its be which who they had has have then than there
     der die das den dem des ein eine einen einem und oder zu im ist sind mit auf nach vor bei wird werden nicht wenn was aber
     denn am jede jeden unser dieser dann noch nur erst
-    le la les un une et ou à est sont dans pour par sur avec qui que ne mais car au aux du ce cette chaque notre dès quand puis
+    de le la les un une et ou à est sont dans pour par sur avec qui que ne mais car au aux du ce cette chaque notre dès quand puis
     el los las una y o es son en con por para que no pero porque al del este cada nuestro cuando mientras después se su
     os as um uma e é são em no na nos nas por para que não mas porque ao dos das cada nosso quando enquanto depois se
     и в во на не но а что как это по за из к до при с со для этот наш каждый каждого пока если потом чтобы перед после
@@ -98,10 +99,10 @@ def _is_teaser(s: str, known: Known) -> bool:
     return bool(m) and all(worded_like_title(p.strip(), known) for p in re.split(r"\s+·\s+", m[2]))
 
 
-def kinds(lines: list[str], keys: list[int], own: set[int], known: Known, title: str | None) -> np.ndarray:
+def kinds(lines: list[str], keys: list[int], own: set[int], known: Known, title: str | None) -> list[int]:
     """0 for an empty line, 1 for the main body, 2 for everything else."""
     n = len(lines)
-    kind = np.zeros(n, dtype=np.int8)
+    kind = [0] * n
     plain = [_TAG.sub(" ", x).strip() if "<" in x else x.strip() for x in lines]
     name = (title or "").strip()
     has_name = bool(name) and "://" not in name and name in plain
@@ -124,24 +125,25 @@ def kinds(lines: list[str], keys: list[int], own: set[int], known: Known, title:
             kind[i] = 3
         elif len(s) <= 40 and keys[i] in known.frequent and not _DIGIT.search(s):
             kind[i] = 2
-    filled = np.flatnonzero(kind)
-    if not has_name:  # the headline is the bare title-like line right above the body
-        for at, i in enumerate(filled[:-1]):
-            if kind[i] == 3 and kind[filled[at + 1]] == 1 and not _BULLET.match(plain[i]) and not _COUNT.search(plain[i]) and worded_like_title(plain[i], known):
+    filled = [i for i, k in enumerate(kind) if k]
+    if not has_name and 3 in kind:  # the headline is the bare title-like line right above the body
+        for i, after in pairwise(filled):
+            if kind[i] == 3 and kind[after] == 1 and not _BULLET.match(plain[i]) and not _COUNT.search(plain[i]) and worded_like_title(plain[i], known):
                 headline = i
                 break
-    kind[kind == 3] = 2
+    kind = [2 if k == 3 else k for k in kind]
     if headline >= 0:
         kind[headline] = 1
     # block distribution over the lines that are not empty
-    weight = np.array([len(plain[i]) if kind[i] == 1 else 0 for i in filled], dtype=np.int64)
-    if len(weight):
-        block = np.convolve(weight, np.ones(WINDOW, dtype=np.int64), "same") if len(weight) >= WINDOW else np.full(len(weight), weight.sum())
-        inside = np.flatnonzero((block >= min(BLOCK, max(1, block.max() // 2))) & (weight > 0))
-        if len(inside):
-            for at in (*range(inside[0]), *range(inside[-1] + 1, len(filled))):
-                if filled[at] != headline:
-                    kind[filled[at]] = 2
+    weight = [len(plain[i]) if kind[i] == 1 else 0 for i in filled]
+    half = WINDOW // 2
+    block = [sum(weight[max(0, at - half) : at + half + 1]) for at in range(len(weight))] if len(weight) >= WINDOW else [sum(weight)] * len(weight)
+    least = min(BLOCK, max(1, max(block, default=0) // 2))
+    inside = [at for at, w in enumerate(weight) if w and block[at] >= least]
+    if inside:
+        for at in (*range(inside[0]), *range(inside[-1] + 1, len(filled))):
+            if filled[at] != headline:
+                kind[filled[at]] = 2
     return kind
 
 
@@ -152,12 +154,13 @@ def regularity(text: str) -> tuple[int, float, float, float]:
     In running text neighbouring content words seldom meet again, and a word seldom returns after the same distance. Keywords
     strewn into sentences do both. A pair can only reach its share if one of its words does, which is looked at first.
     """
-    low = text.lower()
-    tokens = low.split()
+    tokens = text.split()
     pair, share, auto, alone = 0, 0.0, 0.0, 0.0
     most = Counter(tokens)
-    least = max(5, 0.03 * len(tokens))
-    if any(w.isalpha() and w not in FUNCTION_WORDS for w in [w for w, n in most.items() if n >= least]):
+    least = max(5, 0.045 * len(tokens))
+    again = [w for w, n in most.items() if n > 1]
+    if any(w.isalpha() and w.lower() not in FUNCTION_WORDS for w in again if most[w] >= least):
+        low = text.lower()
         placed = [(w, i) for i, x in enumerate(low.split("\n")) for w in _WORD.findall(x) if w not in FUNCTION_WORDS and not _HAN.search(w)]
         words = [w for w, _ in placed]
         n = len(words)
@@ -173,9 +176,9 @@ def regularity(text: str) -> tuple[int, float, float, float]:
                 at = np.flatnonzero(pairs == ids[times.argmax()])
                 pair = pair if pair >= 1.5 * len({placed[i][1] for i in at}) else 0
                 auto = float(np.mean([(codes[lag:] == codes[:-lag]).mean() for lag in range(1, min(LAGS, n // 2) + 1)]))
-    if not text.isascii() and _HAN.search(text) and sum(n for w, n in most.items() if len(w) <= 6 and _HAN.match(w)) >= 6:
-        runs = _HAN_RUN.findall(low)
-        single = [x.strip() for x in _ALONE.findall(low)]
+    if any("㐀" <= w[0] <= "鿿" and len(w) <= 6 for w in again):
+        runs = _HAN_RUN.findall(text)
+        single = [x.strip() for x in _ALONE.findall(text)]
         if len(single) >= 6 and len(set(single)) <= 0.6 * len(single):
             alone = len(single) / max(1, len(runs))
     return pair, share, auto, alone
@@ -199,7 +202,7 @@ def _states(text: str) -> bool:
 
 
 _TAGGED = re.compile(r"(?<!\S)#\S+")
-_LETTERS = re.compile(r"[\W\d_]+")
+_ENDS = " .!?。！？…\t"
 _SENTENCE = re.compile(r"[^.!?。！？]+(?:[.!?。！？]+(?=\s|$|[^\x00-\x7f])|[.!?](?=\S))*[.!?。！？]*")
 
 
@@ -216,7 +219,7 @@ def statement_share(lines: list[str], enough: float = 2.0) -> tuple[float, int]:
         new = 0
         for sentence in _SENTENCE.findall(text):
             if len(sentence) > 5 and _states(sentence):
-                key = _LETTERS.sub("", sentence).lower()
+                key = sentence.strip(_ENDS).lower()
                 if key not in heard:
                     heard.add(key)
                     new += len(sentence)

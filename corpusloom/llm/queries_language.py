@@ -64,8 +64,14 @@ def judge_languages(js: list[Judged], labels: list[str | None], m: Machines) ->
     langs, conf = m.classify(texts)
     out, at = [], 0
     for j, label, own in zip(js, labels, spans, strict=True):
-        said = list(zip(own, langs[at : at + len(own)], conf[at : at + len(own)].tolist(), strict=True))
+        part, sures = langs[at : at + len(own)], conf[at : at + len(own)].tolist()
         at += len(own)
+        if len(set(part)) == 1:
+            if part[0]:
+                sizes = [len(x) for _, x in own]
+                out.append((j.id, -1, part[0], sum(map(float.__mul__, map(float, sizes), sures)) / sum(sizes), label))
+            continue
+        said = list(zip(own, part, sures, strict=True))
         weight: dict[str, float] = {}
         sure: dict[str, float] = {}
         for (_, x), lang, c in said:
@@ -79,7 +85,7 @@ def judge_languages(js: list[Judged], labels: list[str | None], m: Machines) ->
         if len(weight) == 1:
             continue
         # a short line is not enough to bring in another language; it has one of those that longer lines have
-        known = {lang for (_, x), lang, c in said if lang and c >= SURE and len(x) >= (LEAST_TEXT if lang != "zh" else LEAST_LINE)} | {main}
+        known = {lang for (_, x), lang, c in said if lang and (c >= SURE and len(x) >= (LEAST_TEXT if lang != "zh" else LEAST_LINE) or c >= 0.95 and len(x) >= 45)} | {main}
         rows = [(i, lang if lang in known and (c >= 0.7 or len(x) >= LEAST_TEXT) else main, c) for (i, x), lang, c in said if lang and len(x) >= LEAST_LINE]
         if any(lang != main for _, lang, _ in rows):
             out += [(j.id, i, lang, c, label) for i, lang, c in rows]
