@@ -10,6 +10,7 @@ from corpusloom.functions import http as P
 from corpusloom.functions import misc as M
 from corpusloom.functions import text as T
 from corpusloom.functions import url as U
+from corpusloom.functions import view as V
 from corpusloom.operators import crawl as C
 from corpusloom.operators import frontier as R
 from corpusloom.operators import graph as G
@@ -526,3 +527,31 @@ def keyword_bars(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT doc_id, to_json({'doc_id': doc_id, 'url': url}) AS json FROM documents")
 def json_rows(spark: SparkSession, d: str) -> DataFrame:
     return documents(spark, d).select("doc_id", F.to_json(F.struct("doc_id", "url")).cast("string").alias("json"))
+
+
+# --- views ----------------------------------------------------------------------------------------------------------------
+
+_HINT = "regexp_extract(coalesce(title, ''), '^([^\\s·]*)', 1)"
+
+
+@query(f"SELECT doc_id, {_HINT} AS hint, regexp_matches(lower(trim(title)), '^https?://') AS seed FROM documents WHERE title IS NOT NULL AND trim(title) <> '' AND NOT contains(title, chr(10))")
+def search_hints(spark: SparkSession, d: str) -> DataFrame:
+    rows = documents(spark, d).where((F.trim("title") != "") & ~F.col("title").contains("\n"))
+    return rows.select("doc_id", V.search_hint(F.col("title")).alias("hint"), V.valid_seeds(F.col("title")).alias("seed"))
+
+
+@query(_EDGES + _ENDS + "SELECT id, round(3 + least(degree, 8) * 0.6, 4)::DOUBLE AS radius FROM ends")
+def node_radii(spark: SparkSession, d: str) -> DataFrame:
+    nodes = G.degree(G.simple_edges(table(spark, d, "edges")))
+    return nodes.select("id", F.round(V.node_radius(F.col("degree")), 4).cast("double").alias("radius"))
+
+
+@query(
+    _MINUTES
+    + """, k AS (SELECT b, n / 60.0 AS rps FROM x ORDER BY b DESC LIMIT 40)
+SELECT to_timestamp(b * 60)::TIMESTAMP AS t, round((row_number() OVER (ORDER BY b) - 1) / greatest(count(*) OVER () - 1, 1) * 100.0, 6)::DOUBLE AS x,
+  round(36 - rps / greatest(max(rps) OVER (), 1) * 32, 6)::DOUBLE AS y FROM k"""
+)
+def rate_curve(spark: SparkSession, d: str) -> DataFrame:
+    c = V.curve(S.throughput(table(spark, d, "events").select("ts"), "ts", 60), 40, 36, 32)
+    return c.select("t", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))

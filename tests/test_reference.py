@@ -12,6 +12,7 @@ from corpusloom.functions import http as P
 from corpusloom.functions import misc as M
 from corpusloom.functions import text as T
 from corpusloom.functions import url as U
+from corpusloom.functions import view as V
 from corpusloom.operators import crawl as C
 from corpusloom.operators import frontier as R
 from corpusloom.operators import graph as G
@@ -315,3 +316,12 @@ def test_merge_meta(spark):
     old = spark.createDataFrame([("u", 5, "e"), ("v", 1, "f")], "url string, length long, etag string")
     new = spark.createDataFrame([("u", 0, "g"), ("w", 3, "")], "url string, length long, etag string")
     assert {tuple(r) for r in L.merge_meta(old, new).collect()} == {("u", 5, "g"), ("v", 1, "f"), ("w", 3, "")}
+
+
+def test_views(spark):
+    assert one(spark, V.seed_lines, " http://a \n\n b ") == ["http://a", "b"]
+    assert one(spark, V.valid_seeds, "HTTP://a\nhttps://b") and one(spark, V.valid_seeds, None) and not one(spark, V.valid_seeds, "ftp://a")
+    assert one(spark, V.search_hint, "Page 3 · x") == "Page" and one(spark, V.search_hint, None) == ""
+    assert [one(spark, V.node_radius, n, "int") for n in (0, 1, 8, 99)] == pytest.approx([3.6, 3.6, 7.8, 7.8])
+    df = spark.createDataFrame([(i, float(i)) for i in range(5)], "t int, rps double")
+    assert [(r["x"], r["y"]) for r in V.curve(df, 3, 36, 32).orderBy("t").collect()] == [(0.0, 20.0), (50.0, 12.0), (100.0, 4.0)]
