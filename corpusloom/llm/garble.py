@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from unicodedata import category
 
 import numpy as np
 import pandas as pd
@@ -35,6 +36,8 @@ SLOTS = 1 << 19
 RARE = 0.001
 #: A line is a suspect if more than this share of its pairs is rare.
 SUSPECT = 0.34
+#: So many pairs that all turn from rare to common are enough to learn a rule from one line.
+SURE_PAIRS = 40
 _WIDE = np.dtype("<u4")
 _CONTROL = re.compile("[�\x80-\x84\x86-\x9f]")
 
@@ -233,6 +236,10 @@ class Model:
         a, b = self.log[a], self.log[b]
         return (b < self.rare).mean() <= (a < self.rare).mean() and b.mean() > a.mean() + 0.7
 
+    def settled(self, line: str) -> bool:
+        """Whether nothing in a line looks wrong any more."""
+        return not self.rare_share(line)[0] and not _CONTROL.search(line) and not len(run_starts(line + "  "))
+
     def sure_rule(self, line: str) -> tuple[str, str] | None:
         """The rule after which a line of at least 10 pairs has hardly a rare one left, if most were rare before."""
         share, n = self.rare_share(line)
@@ -255,12 +262,12 @@ class Model:
                 if new != now and (m := self.mean(new)) > mean + 1e-6:
                     best, mean = new, m
                     self.last = (right, wrong)
-                    if right == "utf-8" and not self.rare_share(new)[0] and not _CONTROL.search(new):
+                    if right == "utf-8" and self.settled(new):
                         break
             if best == now:
                 break
             now, changed = best, True
-            if not self.rare_share(now)[0]:
+            if self.settled(now):
                 break
         return now, changed
 
@@ -294,6 +301,10 @@ def apply_rule(line: str, right: str, wrong: str, model: Model | None = None) ->
         runs = _RUNS[wrong]
         found = list(runs.finditer(line))
         old = pieces = [m[0] for m in found]
+        # marks without width have no usual neighbours; nothing else looks like them
+        marks = {x: y for x in old if x != (y := runs.sub(_decoded(wrong), x)) and all(category(c) == "Cf" for c in y)}
+        if marks:
+            return apply_rule(runs.sub(lambda m: marks.get(m[0], m[0]), line), right, wrong, model)
         for _ in range(3 if model else 1):  # text decoded wrongly twice makes sense only at the end
             pieces = [runs.sub(_decoded(wrong), x) for x in pieces]
             if pieces == old:
@@ -417,7 +428,8 @@ def twins(values: DataFrame, suspects: DataFrame) -> DataFrame:
 def learn(paired: DataFrame, model: Model, least: int = 1, sure: int = 2) -> tuple[tuple[str, str], ...]:
     """Rules with votes of `least` twins, or of `sure` lines without a twin that turn from rare pairs into common ones.
 
-    Scripts other than Latin leave little ASCII to find a twin by; there the pairs of the clean collection are the witness.
+    Scripts other than Latin leave little ASCII to find a twin by; there the pairs of the clean collection are the witness, and a
+    line of SURE_PAIRS pairs is witness enough.
     Most votes first; at most as many as candidates, counted by one aggregation.
     """
 
@@ -430,7 +442,7 @@ def learn(paired: DataFrame, model: Model, least: int = 1, sure: int = 2) -> tup
                 found = votes(line, twin) if isinstance(twin, str) else []
                 out += [(*r, 1, 0) for r in found]
                 if not found and (r := sent.value.sure_rule(line)):
-                    out.append((*r, 0, 1))
+                    out.append((*r, 0, 1 if sent.value.rare_share(line)[1] < SURE_PAIRS else sure))
             yield pd.DataFrame(out, columns=["right", "wrong", "by_twin", "by_pairs"])
 
     got = _even(paired.select("line", "twin")).mapInPandas(run, "right string, wrong string, by_twin bigint, by_pairs bigint").groupBy("right", "wrong").agg(F.sum("by_twin").alias("t"), F.sum("by_pairs").alias("p"))
