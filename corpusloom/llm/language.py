@@ -27,7 +27,7 @@ LATIN_FAMILIES = {"germanic": ("de", "en"), "romance": ("es", "fr", "pt")}
 LANGUAGES = ("de", "en", "es", "fr", "pt", "ru", "zh")
 SLOTS = 1 << 13
 #: Labelled documents that the machines are fitted on, at most; and lines of each language.
-SAMPLE = 3_000
+SAMPLE = 1_500
 LINES = 700
 
 _HAN = re.compile(r"[㐀-鿿]")

@@ -192,7 +192,12 @@ def _states(text: str) -> bool:
             if text.count("、") * 6 > han:
                 return False
             return sum(map(text.count, FUNCTION_CHARS)) >= 0.045 * han or (han >= 8 and text.rstrip()[-1:] in "。！？")
-    words = _WORD.findall(text.lower())
+    low = text.lower()
+    words = low.split()
+    marks = sum(map(FUNCTION_WORDS.__contains__, words))
+    if marks > 1 and marks >= 0.1 * len(words):  # most sentences are settled without looking for word borders
+        return True
+    words = _WORD.findall(low)
     marks = sum(map(FUNCTION_WORDS.__contains__, words))
     if not words:
         return False
