@@ -325,3 +325,29 @@ def test_views(spark):
     assert [one(spark, V.node_radius, n, "int") for n in (0, 1, 8, 99)] == pytest.approx([3.6, 3.6, 7.8, 7.8])
     df = spark.createDataFrame([(i, float(i)) for i in range(5)], "t int, rps double")
     assert [(r["x"], r["y"]) for r in V.curve(df, 3, 36, 32).orderBy("t").collect()] == [(0.0, 20.0), (50.0, 12.0), (100.0, 4.0)]
+
+
+def test_rest_of_the_functions(spark):
+    assert one(spark, P.sniff_html, " \n<!DOCTYPE html><p>") is True and one(spark, P.sniff_html, "<?xml ?>") is False
+    assert one(spark, P.looks_utf8, bytearray(b"\xef\xbb\xbf\xff"), "binary") is True and one(spark, P.looks_utf8, bytearray(b"\xff"), "binary") is False
+    assert one(spark, P.head_bytes, bytearray(b"abc"), "binary") == b"abc" and one(spark, lambda c: P.head_bytes(c, 2), bytearray(b"abc"), "binary") == b"ab"
+    df = spark.createDataFrame([("text/html", "<meta charset=big-5>"), (None, "<meta charset=big-5>"), (None, "plain"), ("a; charset=Latin1", "x")], "ct string, page string")
+    assert [r[0] for r in df.select(P.detect_charset(F.col("page"), F.col("ct"))).collect()] == ["big5", "big5", "utf-8", "iso-8859-1"]
+    assert one(spark, P.is_binary, "image/png") and not one(spark, P.is_binary, "") and not one(spark, P.is_binary, "application/json")
+    assert one(spark, lambda c: P.redirected(c, F.lit("/x")), 302, "int") and not one(spark, lambda c: P.redirected(c, F.lit("")), 302, "int") and one(spark, P.not_modified, 304, "int")
+    assert one(spark, P.may_crawl, None) and not one(spark, P.may_crawl, "application/json")
+    ts = spark.sql("SELECT timestamp'2024-01-01 00:00:00' AS now, timestamp'2024-01-01 00:00:02' AS until, CAST(NULL AS timestamp) AS none")
+    got = ts.select(M.wait_until(F.lit(5.0), F.col("now"), F.col("until")), M.wait_until(F.lit(5.0), F.col("until"), F.col("now")), M.wait_until(F.lit(5.0), F.col("now"), F.col("none"))).first()
+    assert tuple(got) == (2.0, 0.0, 5.0)
+    assert ts.select(M.local_time(F.col("now")), M.local_time(F.col("none"))).first() == ("2024-01-01 08:00:00", "")
+    assert one(spark, M.gap_of_rate, 4.0, "double") == 0.25 and one(spark, M.gap_of_rate, 0.0, "double") == 0.0
+    assert 0.8 <= one(spark, lambda c: M.with_jitter(c, 0.2, 1), 1.0, "double") <= 1.2
+    assert one(spark, U.default_port, "HTTPS") == "443" and one(spark, U.clean_loc, " http://x.test/a#b ") == "http://x.test/a" and one(spark, U.clean_loc, "ftp://x/") == ""
+    assert one(spark, lambda c: U.without_default_port(c, F.lit("http")), "x:443") == "x:443"
+    assert one(spark, lambda c: H.has_lang(c, "EN"), "<html LANG='en-US'>") and not one(spark, lambda c: H.has_lang(c, ""), "<html>")
+    assert one(spark, lambda c: C.within(c, "http://a/"), "http://a/b") is True
+    assert [r["loc"] for r in L.with_prefix(spark.createDataFrame([("http://a/x",), ("http://b/y",)], "loc string"), " http://a/ ").collect()] == ["http://a/x"]
+    seen = spark.createDataFrame([("u",)], "url string")
+    items = spark.createDataFrame([("u", 1), ("v", 3), ("v", 2), (None, 0)], "url string, depth int")
+    assert R.unseen(R.first_depth(items), seen).collect() == [("v", 2)]
+    assert one(spark, lambda c: U.private_host_any(c), "[::1]:80") is True
