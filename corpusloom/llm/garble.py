@@ -52,12 +52,6 @@ CANDIDATES = (
     *((right, wrong) for right in ("cp1251", "koi8-r", "cp866") for wrong in ("cp1251", "koi8-r", "cp866") if right != wrong),
     *((right, wrong) for right in ("latin-1", "cp1252") for wrong in ("cp437", "cp850", "cp1251", "mac-roman")),
 )
-#: The candidates that readers of single records try without learning: the encodings pages are mostly written in and misread as.
-COMMON = tuple(
-    (right, wrong)
-    for right, wrong in CANDIDATES
-    if right in ("utf-8", "gb18030", "cp1251", "koi8-r") and wrong in ("cp1252", "latin-1", "cp437", "cp850", "cp1251", "koi8-r", "gbk") and (right, wrong) != ("cp1251", "koi8-r")
-)
 #: Well-formed sequences of these hardly occur in clean text of any language, so they make a suspect by themselves.
 STRUCTURAL = ("cp1252", "latin-1", "cp437", "cp850", "cp1251")
 

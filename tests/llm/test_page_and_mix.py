@@ -147,3 +147,17 @@ def test_temperature():
     a, w = temperature(known, repeats={"a": 1, "b": 3, "c": 5}, budget=500)
     assert all(w[s] * 500 <= known[s] * k * (1 + 1e-9) for s, k in (("a", 1), ("b", 3), ("c", 5)))
     assert temperature({}, entropy=1.0) == (1.0, {})
+
+
+def test_garbled_text_is_restored_whatever_was_mistaken(spark):
+    clean = {
+        "mac-roman": "Ninguém reparou que a fila já não tem espaço para as ligações.",
+        "cp1250": "The error report – “notes” – was read before the next round.",
+        "cp866": "Очередь сохраняет короткие ответы, а счётчик пропускает пустые.",
+        "iso8859-15": "L’été a passé près de la forêt, où chaque élève préfère la lumière.",
+    }
+    rows = [(10 * k + j, f"T{k} – é", f"{text}\nName {10 * k + j} {PROSE}") for k, text in enumerate(clean.values()) for j in range(8)]
+    rows += [(1000 + k, None, f"{text.encode().decode(seen, 'replace')}\nName {k} {PROSE}") for k, (seen, text) in enumerate(clean.items())]
+    df = spark.createDataFrame(rows, "doc_id long, title string, text string")
+    got = {r["id"]: r["body"] for r in main_body(corpus(df, "doc_id", F.col("doc_id").cast("string"))).collect()}
+    assert [got[1000 + k].split("\n")[0] for k in range(len(clean))] == list(clean.values())
