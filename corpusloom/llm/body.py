@@ -6,8 +6,10 @@ of each kind. Both are sent to all tasks. A site's own lines are a bounded array
 
 Garbled lines are judged by their restored wording. Texts are never shuffled; they are read once more for the pass.
 
-Defined cases: null, empty or blank texts have no lines outside the body and are not stuffed; a null title or one that is an
-address names no headline; null links count as none; repeated rows are judged each; other columns are ignored.
+Where a table has `links`, a record with little or no own text is judged by them, see `link_list`.
+
+Defined cases: null, empty or blank texts have no lines outside the body and are stuffed only by their links; a null title or one
+that is an address names no headline; null links count as none; repeated rows are judged each; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql.types import StructType
 
 from corpusloom.llm.garble import Model, pair_counts, values_of
 from corpusloom.llm.lines import line_counts, line_keys, line_table, per_site, site_lines, site_sizes
-from corpusloom.llm.page import Known, kinds, stuffing
+from corpusloom.llm.page import LINKS, LITTLE_TEXT, Known, kinds, link_list, stuffing
 
 SHORT_SHARE = 0.003
 TITLE_SHARE = 0.0005
@@ -35,7 +37,7 @@ SEPARATORS = (": ", " – ")
 
 @dataclass
 class Corpus:
-    """A table of records (id, site, title, text) with what was learned about it."""
+    """A table of records (id, site, title, text, links) with what was learned about it."""
 
     records: DataFrame
     found: DataFrame
@@ -44,8 +46,9 @@ class Corpus:
 
 
 def corpus(table: DataFrame, id_col: str, site: Column, share: float = 0.1) -> Corpus:
-    """Learn the lines, titles and characters of a table; every row counts."""
-    records = table.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(site, F.lit("")).alias("site"), "title", "text")
+    """Learn the lines, titles and characters of a table; every row counts. Its `links`, if it has any, are carried along."""
+    links = F.col("links") if "links" in table.columns else F.lit(None).cast("array<string>")
+    records = table.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(site, F.lit("")).alias("site"), "title", "text", links.alias("links"))
     lines = line_table(records, "id", F.col("site"))
     sizes, counted = site_sizes(lines), line_counts(lines)
     found = site_lines(lines, share, counted=counted, sizes=sizes)
@@ -95,32 +98,42 @@ class Judged:
         return [i for i, k in enumerate(self.kind) if k == 1]
 
 
-def judge(i: int, title: str | None, written: list[str], keys: list[int], own: set[int], known: Known) -> Judged:
+def judge(i: int, title: str | None, written: list[str], keys: list[int], own: set[int], known: Known, site: str = "", links: list[str | None] | None = None) -> Judged:
     kind = kinds(written, keys, own, known, title)
-    return Judged(i, title, written, kind, stuffing([x for x, k in zip(written, kind, strict=True) if k == 1])[0])
+    lines = [x for x, k in zip(written, kind, strict=True) if k == 1]
+    listed = links is not None and len(links) >= LINKS and sum(map(len, lines)) < LITTLE_TEXT and link_list(links, site)
+    return Judged(i, title, written, kind, listed or stuffing(lines)[0])
 
 
-def each_slice(c: Corpus, emit: Callable[..., list[tuple]], schema: str, extra: list[Column] | None = None, records: DataFrame | None = None) -> DataFrame:
-    """Rows that `emit` makes of lists of judged records; the values of extra columns follow as lists."""
+def each_slice(c: Corpus, emit: Callable[..., list[tuple]], schema: str, extra: list[Column] | None = None, records: DataFrame | None = None, bare: bool = False) -> DataFrame:
+    """Rows that `emit` makes of lists of judged records; the values of extra columns follow as lists. `bare` adds the records
+    without text that have links enough for a list."""
     known, model = c.known, c.model
     source = c.records if records is None else records
-    rows = source.where(F.col("text").isNotNull()).select("id", "site", "title", "text", line_keys(F.col("text")).alias("keys"), *(extra or []))
+    links = F.col("links") if "links" in source.columns else F.lit(None).cast("array<string>")
+    wanted = F.col("text").isNotNull()
+    text = F.col("text")
+    if bare:
+        wanted, text = wanted | (F.size(links) >= LINKS), F.coalesce("text", F.lit(""))
+    # fewer links are no list, so they need not travel
+    links = F.when(F.size(links) >= LINKS, links).alias("links")
+    rows = source.where(wanted).select("id", "site", "title", text.alias("text"), line_keys(text).alias("keys"), links, *(extra or []))
     rows = per_site(rows, c.found)
-    more = [x for x in rows.columns if x not in ("id", "site", "title", "text", "keys", "own")]
+    more = [x for x in rows.columns if x not in ("id", "site", "title", "text", "keys", "links", "own")]
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[str, set[int]] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                part = {n: batch.column(n).slice(at, 256).to_pylist() for n in ("id", "site", "title", "text", "keys", *more)}
+                part = {n: batch.column(n).slice(at, 256).to_pylist() for n in ("id", "site", "title", "text", "keys", "links", *more)}
                 sites = batch.column("own").slice(at, 256)
                 for k, site in enumerate(part["site"]):
                     if site not in own:
                         own[site] = set(sites[k].as_py() or ())
                 written = as_written(part["text"], model.value)
                 titles = restored_titles(part["title"], model.value)
-                judged = [judge(i, titles[k], written[k], part["keys"][k], own[part["site"][k]], known.value) for k, i in enumerate(part["id"])]
+                judged = [judge(i, titles[k], written[k], part["keys"][k], own[part["site"][k]], known.value, part["site"][k], part["links"][k]) for k, i in enumerate(part["id"])]
                 out = emit(judged, *(part[m] for m in more))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
@@ -135,7 +148,7 @@ def furniture(c: Corpus) -> DataFrame:
 
 def stuffed_records(c: Corpus) -> DataFrame:
     """(id) of records that are mostly keywords, link lists, tags or products."""
-    return each_slice(c, lambda js: [(j.id,) for j in js if j.stuffed], "id bigint")
+    return each_slice(c, lambda js: [(j.id,) for j in js if j.stuffed], "id bigint", bare=True)
 
 
 def main_body(c: Corpus) -> DataFrame:

@@ -27,6 +27,11 @@ WINDOW = 3
 BLOCK = 80
 #: Longest lag of the autocorrelation.
 LAGS = 48
+#: Own text of fewer characters says too little; the record is then judged by its links.
+LITTLE_TEXT = 60
+#: Different links to other sites from which links are a list, and the share of the links they must be.
+LINKS = 30
+OUTWARD = 0.8
 
 # fixed values: common function words
 FUNCTION_WORDS = frozenset(
@@ -235,6 +240,22 @@ def statement_share(lines: list[str], enough: float = 2.0) -> tuple[float, int]:
     return (min(said / total, 1.0) if total else 1.0), total
 
 
+_HOST = re.compile(r"(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)")
+
+
+def link_site(url: str) -> str:
+    """The site of an address, as `lines.host_site` has it."""
+    m = _HOST.match(url.strip(" ").lower())
+    return re.sub(r"\.[a-z0-9-]+$", "", re.sub(r"^(?:www|m)\.", "", m[1])) if m else ""
+
+
+def link_list(links: list[str | None], site: str) -> bool:
+    """Whether a record's links are a list of addresses elsewhere: menus and references lead back to the site or are few."""
+    apart = {x for x in links if x}
+    outward = sum(link_site(x) != site for x in apart)
+    return outward >= LINKS and outward >= OUTWARD * len(apart)
+
+
 def stuffing(own_lines: list[str]) -> tuple[bool, tuple[float, int, int, float, float, float]]:
     """Whether a record's own lines are mostly keywords, links, tags or products; and the figures behind it.
 

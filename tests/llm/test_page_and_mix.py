@@ -161,3 +161,18 @@ def test_garbled_text_is_restored_whatever_was_mistaken(spark):
     df = spark.createDataFrame(rows, "doc_id long, title string, text string")
     got = {r["id"]: r["body"] for r in main_body(corpus(df, "doc_id", F.col("doc_id").cast("string"))).collect()}
     assert [got[1000 + k].split("\n")[0] for k in range(len(clean))] == list(clean.values())
+
+
+def test_link_lists_without_text(spark):
+    away = [f"http://shop{k}.example/{k}" for k in range(50)]
+    home = [f"https://www.a.test/p/{k}" for k in range(20)]
+    rows = [(i, None, f"{PROSE}\nName {i} {PROSE}", home) for i in range(20)]
+    rows += [
+        (100, None, None, away), (101, None, "Menu | Home | Blog", away + home[:3]), (102, None, "", [*away, None, away[0]]),
+        (200, None, None, home + away[:30]), (201, None, f"{PROSE} Name {PROSE}", away), (202, None, None, away[:20] * 3), (203, None, None, None),
+    ]
+    c = corpus(spark.createDataFrame(rows, "page_id long, title string, text string, links array<string>"), "page_id", F.lit("a"))
+    assert sorted(r["id"] for r in stuffed_records(c).collect()) == [100, 101, 102]
+    assert {r["id"] for r in furniture(c).collect()}.isdisjoint({100, 101, 102})
+    bodies = {r["id"]: r["body"] for r in main_body(c).collect()}
+    assert len(bodies) == len(rows) and bodies[100] is None and bodies[102] == ""
