@@ -356,7 +356,7 @@ def votes(garbled: str, clean: str) -> list[tuple[str, str]]:
                 pass
         if good and good * 2 >= sum(g != c for g, c in runs):
             out.append((right, wrong))
-    if not out and len(garbled) < 4000:  # decoded wrongly twice
+    if not out:  # decoded wrongly twice
         for right, wrong in CANDIDATES[:4]:
             once = apply_rule(garbled, right, wrong)
             if once != garbled and (again := votes(once, clean)) and (right, wrong) in again:

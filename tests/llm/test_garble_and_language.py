@@ -125,3 +125,10 @@ def test_scripts_and_lines_without_letters():
 
 def test_machines_without_samples():
     assert fit([]).classify(["some words here"])[0][0] in {"en", "de", "fr", "es", "pt"}
+
+
+def test_long_lines_decoded_twice_vote():
+    clean = " ".join(DE) + " x" * 2500
+    assert len(clean) > 4000
+    twice = wrong(wrong(clean, "utf-8", "latin-1"), "utf-8", "latin-1")
+    assert ("utf-8", "latin-1") in votes(twice, clean)
