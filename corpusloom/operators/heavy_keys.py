@@ -24,14 +24,17 @@ from corpusloom.sources.tables import stored
 BLOCK_KEYS = 200_000
 
 
-def _accumulate(block_keys: int):
+def _accumulate(block_keys: int, sums_of: tuple[str, ...] = ()):
+    """Sums of the columns that follow the key, or the number of its rows where there are none."""
+    names = sums_of or ("n",)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: dict = {}
-        sums = np.zeros(1024, dtype=np.int64)
+        sums = np.zeros((len(names), 1024), dtype=np.int64)
 
         def block() -> pa.RecordBatch:
             keys = pa.array(list(index), type=pa.string())
-            return pa.RecordBatch.from_arrays([keys, pa.array(sums[: len(index)])], names=["key_value", "n"])
+            return pa.RecordBatch.from_arrays([keys, *(pa.array(x[: len(index)]) for x in sums)], names=["key_value", *names])
 
         for batch in batches:
             coded = batch.column(0).dictionary_encode()
@@ -40,14 +43,17 @@ def _accumulate(block_keys: int):
             if coded.null_count:
                 codes = np.where(np.isnan(codes), len(words), codes).astype(np.int64)
                 words.append(None)
-            counts = np.bincount(codes, minlength=len(words))
             slots = np.fromiter((index.setdefault(w, len(index)) for w in words), dtype=np.int64, count=len(words))
-            if len(index) > len(sums):
-                sums = np.concatenate([sums, np.zeros(max(len(sums), len(index)), dtype=np.int64)])
-            sums[slots] += counts
+            if len(index) > sums.shape[1]:
+                sums = np.concatenate([sums, np.zeros((len(names), max(sums.shape[1], len(index))), dtype=np.int64)], axis=1)
+            if sums_of:
+                for k in range(len(names)):  # weights are doubles, exact to 2 ** 53 in a batch
+                    sums[k, slots] += np.bincount(codes, batch.column(k + 1).to_numpy(zero_copy_only=False), len(words)).astype(np.int64)
+            else:
+                sums[0, slots] += np.bincount(codes, minlength=len(words))
             if len(index) >= block_keys:
                 yield block()
-                index, sums = {}, np.zeros(1024, dtype=np.int64)
+                index, sums = {}, np.zeros((len(names), 1024), dtype=np.int64)
         if index:
             yield block()
 
@@ -73,10 +79,12 @@ def outsized_keys(df: DataFrame, key: str, share: float = 0.01, times_mean: floa
     )
 
 
-def degrees(edges: DataFrame) -> DataFrame:
+def degrees(edges: DataFrame, block_keys: int = BLOCK_KEYS) -> DataFrame:
     """(dst, n_rows, n_sources): stored rows and distinct non-null sources of every non-null `dst`.
 
     Repeats are removed under the pair, which has no heavy key; the pairs' counts then run through the accumulators.
     """
-    pairs = edges.where(F.col("dst").isNotNull()).groupBy("dst", "src").agg(F.count(F.lit(1)).alias("n"))
-    return pairs.groupBy("dst").agg(F.sum("n").alias("n_rows"), F.count("src").alias("n_sources"))
+    pairs = edges.where(F.col("dst").isNotNull()).groupBy("dst", "src").agg(F.count(F.lit(1)).alias("n_rows"))
+    weighed = pairs.select(F.col("dst").cast("string").alias("dst"), "n_rows", F.col("src").isNotNull().cast("bigint").alias("n_sources"))
+    parts = weighed.mapInArrow(_accumulate(block_keys, ("n_rows", "n_sources")), "key_value string, n_rows bigint, n_sources bigint")
+    return parts.groupBy(F.col("key_value").alias("dst")).agg(F.sum("n_rows").alias("n_rows"), F.sum("n_sources").alias("n_sources"))

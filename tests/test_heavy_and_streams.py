@@ -66,3 +66,15 @@ def test_polite_stream_equals_window(spark, tmp_path):
     stream = event_stream(spark, str(tmp_path / "in"), "host string, seq bigint, arrival double")
     got = {r["seq"]: round(r["slot"], 6) for r in drain(polite_slots(stream, 2.0), "polite", str(tmp_path / "c")).collect()}
     assert got == {r["seq"]: round(r["slot"], 6) for r in min_gap(rows, 2.0).collect()}
+
+
+def test_degrees_run_through_the_accumulators(spark):
+    df, rows = _edges(spark)
+    df = df.union(spark.createDataFrame([(None, "hot", 1), (None, "lone", 2), (None, "lone", 3)], df.schema))
+    rows = [*rows, (None, "hot", 1), (None, "lone", 2), (None, "lone", 3)]
+    want = {k: (sum(r[1] == k for r in rows), len({r[0] for r in rows if r[1] == k and r[0]})) for k in {r[1] for r in rows} if k}
+    for block in (10, 200_000):
+        got = degrees(df.repartition(3), block)
+        assert {r["dst"]: (r["n_rows"], r["n_sources"]) for r in got.collect()} == want
+        assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
+    assert degrees(df.limit(0)).collect() == []
