@@ -74,12 +74,14 @@ def search(docs: DataFrame, index: DataFrame, query: str, limit: int = 20, mark:
 
 
 def latest(docs: DataFrame, key: str, order: str) -> DataFrame:
-    """The last version of every key; a null key is a key of its own. Only the winners' order is shuffled twice, never the bodies.
+    """The last version of every key; a null key is a key of its own, and a null order comes before all others. Only the winners'
+    order is shuffled twice, never the bodies.
 
     Repeated addresses are few each, so a max over a struct needs no window.
     """
-    newest = docs.groupBy(key).agg(F.max(F.struct(order, "doc_id")).alias("__v")).select(key, "__v.*").drop(key)
-    return docs.join(newest, [order, "doc_id"], "left_semi")
+    newest = docs.groupBy(key).agg(F.max(F.struct(order, "doc_id")).alias("__v")).select(F.col(key).alias("__k"), F.col(f"__v.{order}").alias("__o"), F.col("__v.doc_id").alias("__d"))
+    same = F.col(key).eqNullSafe(F.col("__k")) & F.col(order).eqNullSafe(F.col("__o")) & F.col("doc_id").eqNullSafe(F.col("__d"))
+    return docs.join(newest, same, "left_semi")
 
 
 def number_by_first_use(docs: DataFrame, key: str, order: str) -> DataFrame:

@@ -351,3 +351,10 @@ def test_rest_of_the_functions(spark):
     items = spark.createDataFrame([("u", 1), ("v", 3), ("v", 2), (None, 0)], "url string, depth int")
     assert R.unseen(R.first_depth(items), seen).collect() == [("v", 2)]
     assert one(spark, lambda c: U.private_host_any(c), "[::1]:80") is True
+
+
+def test_latest_keeps_keys_without_order(spark):
+    rows = [(1, "a", None), (2, "a", None), (3, "b", None), (4, "b", 5), (5, None, None), (6, None, 7), (7, None, 7), (8, "c", 5), (9, "d", 1), (9, "e", 2)]
+    got = I.latest(spark.createDataFrame(rows, "doc_id long, url string, fetched_at long"), "url", "fetched_at")
+    assert sorted((r["doc_id"], r["url"]) for r in got.where("url IS NOT NULL").collect()) == [(2, "a"), (4, "b"), (8, "c"), (9, "d"), (9, "e")]
+    assert [r["doc_id"] for r in got.where("url IS NULL").collect()] == [7]
