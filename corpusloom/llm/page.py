@@ -27,6 +27,8 @@ WINDOW = 3
 BLOCK = 80
 #: Longest lag of the autocorrelation.
 LAGS = 48
+#: Share of the content words from which the most frequent pair of them is a sign of stuffing.
+PAIR_SHARE = 0.09
 #: Own text of fewer characters says too little; the record is then judged by its links.
 LITTLE_TEXT = 60
 #: Different links to other sites from which links are a list, and the share of the links they must be.
@@ -152,21 +154,33 @@ def kinds(lines: list[str], keys: list[int], own: set[int], known: Known, title:
     return kind
 
 
+def word_counts(low: str) -> dict[str, int]:
+    """How often each word comes; most are cut out by the commonest marks and blanks alone."""
+    for mark in ".,:;()":
+        low = low.replace(mark, " ")
+    counts = Counter(low.split())
+    for token in [t for t in counts if not t.isalpha()]:
+        n = counts.pop(token)
+        for w in _WORD.findall(token):
+            counts[w] += n
+    return counts
+
+
 def regularity(text: str) -> tuple[int, float, float, float]:
     """How regularly terms come back in running text: (count and share of the most frequent pair of neighbouring content words,
     mean autocorrelation of the content words over LAGS lags, share of Han terms that stand alone and come back).
 
     In running text neighbouring content words seldom meet again, and a word seldom returns after the same distance. Keywords
-    strewn into sentences do both. A pair can only reach its share if one of its words does, which is looked at first.
+    strewn into sentences do both. Each word of a pair comes at least as often as the pair, so texts without a content word that
+    makes up PAIR_SHARE of the content words are settled by counting words.
     """
-    tokens = text.split()
     pair, share, auto, alone = 0, 0.0, 0.0, 0.0
-    most = Counter(tokens)
-    least = max(5, 0.045 * len(tokens))
-    again = [w for w, n in most.items() if n > 1]
-    if any(w.isalpha() and w.lower() not in FUNCTION_WORDS for w in again if most[w] >= least):
-        low = text.lower()
-        placed = [(w, i) for i, x in enumerate(low.split("\n")) for w in _WORD.findall(x) if w not in FUNCTION_WORDS and not _HAN.search(w)]
+    low = text.lower()
+    counts = word_counts(low)
+    often = [c for w, c in counts.items() if c >= 5 and w not in FUNCTION_WORDS]
+    han = bool(often) and not text.isascii() and _HAN.search(low) is not None
+    if often and max(often) >= PAIR_SHARE * sum(c for w, c in counts.items() if w not in FUNCTION_WORDS and not (han and _HAN.search(w))):
+        placed = [(w, i) for i, x in enumerate(low.split("\n")) for w in _WORD.findall(x) if w not in FUNCTION_WORDS and not (han and _HAN.search(w))]
         words = [w for w, _ in placed]
         n = len(words)
         if n >= 12 and (text.isascii() or 4 * n >= len(_HAN.findall(low))):
@@ -181,7 +195,7 @@ def regularity(text: str) -> tuple[int, float, float, float]:
                 at = np.flatnonzero(pairs == ids[times.argmax()])
                 pair = pair if pair >= 1.5 * len({placed[i][1] for i in at}) else 0
                 auto = float(np.mean([(codes[lag:] == codes[:-lag]).mean() for lag in range(1, min(LAGS, n // 2) + 1)]))
-    if any("㐀" <= w[0] <= "鿿" and len(w) <= 6 for w in again):
+    if not text.isascii() and any(n > 1 and "㐀" <= w[0] <= "鿿" for w, n in counts.items()) and any(n > 1 and "㐀" <= w[0] <= "鿿" and len(w) <= 6 for w, n in Counter(text.split()).items()):
         runs = _HAN_RUN.findall(text)
         single = [x.strip() for x in _ALONE.findall(text)]
         if len(single) >= 6 and len(set(single)) <= 0.6 * len(single):
@@ -266,5 +280,5 @@ def stuffing(own_lines: list[str]) -> tuple[bool, tuple[float, int, int, float,
     said, total = statement_share(own_lines, 0.33)
     pair, share, auto, alone = regularity("\n".join(own_lines))
     listed = said < 0.33 and total >= 60
-    regular = (pair >= 5 and share >= 0.09 and auto >= 0.02) or alone >= 0.25
+    regular = (pair >= 5 and share >= PAIR_SHARE and auto >= 0.02) or alone >= 0.25
     return bool(listed or regular), (said, total, pair, share, auto, alone)

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import math
 import random
-from collections import defaultdict
+import re
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.llm.body import corpus, furniture, main_body, stuffed_records
 from corpusloom.llm.mix import mix, plan, reached, temperature
-from corpusloom.llm.page import Known, kinds, regularity, statement_share, stuffing
+from corpusloom.llm.page import Known, kinds, regularity, statement_share, stuffing, word_counts
 
 PROSE = "The queue stores short pages because the reader checks old entries before the next round, and nobody noticed what happened to them."
 KNOWN = Known(frozenset({7}), frozenset({"The queue"}), frozenset({"Short pages"}))
@@ -176,3 +177,17 @@ def test_link_lists_without_text(spark):
     assert {r["id"] for r in furniture(c).collect()}.isdisjoint({100, 101, 102})
     bodies = {r["id"]: r["body"] for r in main_body(c).collect()}
     assert len(bodies) == len(rows) and bodies[100] is None and bodies[102] == ""
+
+
+@pytest.mark.parametrize("form", ["{}_{},", "#{}-{};", "{},{},"])
+def test_pairs_are_counted_whatever_joins_them(form):
+    """Keywords that never stand alone between blanks, or in changing case, are strewn into sentences."""
+    rng = random.Random(5)
+    names = [a + b + c for a in ("ba", "ke", "to") for b in ("lor", "ran", "tik") for c in ("sem", "vul", "dap")]
+    lines = []
+    for k in range(6):
+        lines.append(" ".join(f"The {rng.choice(names)} of the {rng.choice(names)} is what {rng.choice(names)} has, and it was not {form.format(*(('Casino', 'bonus'), ('CASINO', 'Bonus'))[(k + j) % 2])} so." for j in range(3)))
+    pair, share, auto, _ = regularity("\n".join(lines))
+    assert pair == 18 and share >= 0.09 and auto >= 0.02 and stuffing(lines)[0]
+    words = "a,b;c (d) e_f #g-h don’t 12x3 é́ \u4e2d\u6587，中文 A.a\n x²" * 3
+    assert word_counts(words.lower()) == Counter(re.findall(r"[^\W\d_]+", words.lower()))
