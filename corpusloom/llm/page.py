@@ -29,6 +29,12 @@ BLOCK = 80
 LAGS = 48
 #: Share of the content words from which the most frequent pair of them is a sign of stuffing.
 PAIR_SHARE = 0.09
+#: A single term is strewn in if it makes up so much of the content words, in running text its subject has up to 0.13, and its gaps
+#: spread by no more than this part of their mean; by chance they would spread by all of it.
+TERM_SHARE = 0.17
+GAP_SPREAD = 0.6
+#: Neighbouring lags that are taken together when a term's gaps are looked at.
+LAG_WINDOW = 3
 #: Own text of fewer characters says too little; the record is then judged by its links.
 LITTLE_TEXT = 60
 #: Different links to other sites from which links are a list, and the share of the links they must be.
@@ -166,15 +172,39 @@ def word_counts(low: str) -> dict[str, int]:
     return counts
 
 
+def steady_share(codes: np.ndarray, lines: np.ndarray) -> float:
+    """Share of the most frequent term that comes back at steady gaps; 0 if there is none.
+
+    The gaps between a term's places must spread little, and one window of lags must hold half of them. A term that comes once
+    in each line is the frame of a log.
+    """
+    times = np.bincount(codes)
+    for c in sorted(np.flatnonzero(times >= max(6, TERM_SHARE * len(codes))), key=lambda c: -times[c]):
+        at = np.flatnonzero(codes == c)
+        if times[c] < 1.5 * len(np.unique(lines[at])):
+            continue
+        gaps = np.diff(at)
+        lags = np.convolve(np.bincount(gaps), np.ones(LAG_WINDOW, dtype=np.int64))
+        if gaps.std() <= GAP_SPREAD * gaps.mean() and 2 * lags.max() >= len(gaps):
+            return float(times[c] / len(codes))
+    return 0.0
+
+
 def regularity(text: str) -> tuple[int, float, float, float]:
+    """The first four figures of `recurrence`."""
+    return recurrence(text)[:4]
+
+
+def recurrence(text: str) -> tuple[int, float, float, float, float]:
     """How regularly terms come back in running text: (count and share of the most frequent pair of neighbouring content words,
-    mean autocorrelation of the content words over LAGS lags, share of Han terms that stand alone and come back).
+    mean autocorrelation of the content words over LAGS lags, share of Han terms that stand alone and come back,
+    share of a single term that comes back at steady gaps).
 
     In running text neighbouring content words seldom meet again, and a word seldom returns after the same distance. Keywords
     strewn into sentences do both. Each word of a pair comes at least as often as the pair, so texts without a content word that
     makes up PAIR_SHARE of the content words are settled by counting words.
     """
-    pair, share, auto, alone = 0, 0.0, 0.0, 0.0
+    pair, share, auto, alone, steady = 0, 0.0, 0.0, 0.0, 0.0
     low = text.lower()
     counts = word_counts(low)
     often = [c for w, c in counts.items() if c >= 5 and w not in FUNCTION_WORDS]
@@ -188,6 +218,7 @@ def regularity(text: str) -> tuple[int, float, float, float]:
             codes = np.fromiter((index.setdefault(w, len(index)) for w in words), dtype=np.int64, count=n)
             pairs = codes[:-1] * np.int64(len(index)) + codes[1:]
             ids, times = np.unique(pairs, return_counts=True)
+            steady = steady_share(codes, np.fromiter((i for _, i in placed), dtype=np.int64, count=n))
             pair = int(times.max())
             share = pair / n
             if share >= 0.05:
@@ -200,7 +231,7 @@ def regularity(text: str) -> tuple[int, float, float, float]:
         single = [x.strip() for x in _ALONE.findall(text)]
         if len(single) >= 6 and len(set(single)) <= 0.6 * len(single):
             alone = len(single) / max(1, len(runs))
-    return pair, share, auto, alone
+    return pair, share, auto, alone, steady
 
 
 def _states(text: str) -> bool:
@@ -270,15 +301,15 @@ def link_list(links: list[str | None], site: str) -> bool:
     return outward >= LINKS and outward >= OUTWARD * len(apart)
 
 
-def stuffing(own_lines: list[str]) -> tuple[bool, tuple[float, int, int, float, float, float]]:
+def stuffing(own_lines: list[str]) -> tuple[bool, tuple[float, int, int, float, float, float, float]]:
     """Whether a record's own lines are mostly keywords, links, tags or products; and the figures behind it.
 
     (a) Lists without function words: sentences that say something new hold less than a third of the characters.
     (b) Regular recurrence: one pair of content words makes up 9 % of them and words return at the same lags, or Han terms
-    standing alone between sentences keep coming back. A pair that comes once in each line is the frame of a log or a list.
+    standing alone between sentences keep coming back, or a single term makes up 17 % at steady gaps. A pair or term that comes once in each line is the frame of a log or a list.
     """
     said, total = statement_share(own_lines, 0.33)
-    pair, share, auto, alone = regularity("\n".join(own_lines))
+    pair, share, auto, alone, steady = recurrence("\n".join(own_lines))
     listed = said < 0.33 and total >= 60
-    regular = (pair >= 5 and share >= PAIR_SHARE and auto >= 0.02) or alone >= 0.25
-    return bool(listed or regular), (said, total, pair, share, auto, alone)
+    regular = (pair >= 5 and share >= PAIR_SHARE and auto >= 0.02) or alone >= 0.25 or steady > 0
+    return bool(listed or regular), (said, total, pair, share, auto, alone, steady)

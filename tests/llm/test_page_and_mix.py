@@ -191,3 +191,18 @@ def test_pairs_are_counted_whatever_joins_them(form):
     assert pair == 18 and share >= 0.09 and auto >= 0.02 and stuffing(lines)[0]
     words = "a,b;c (d) e_f #g-h don’t 12x3 é́ \u4e2d\u6587，中文 A.a\n x²" * 3
     assert word_counts(words.lower()) == Counter(re.findall(r"[^\W\d_]+", words.lower()))
+
+
+def test_single_terms_at_steady_gaps():
+    """One keyword strewn between ever different words has no fixed neighbour."""
+    word = lambda k: "".join("bcdfghklmn"[int(x)] + "aeiou"[int(x) % 5] for x in str(1000 + k))
+    said = lambda k, key: f"The {word(5 * k)} of the {key} is what the {word(5 * k + 1)} has, and the {word(5 * k + 2)} was not in the {word(5 * k + 3)}."
+    lines = [" ".join(said(5 * i + j, "casino") for j in range(5)) for i in range(4)]
+    assert regularity("\n".join(lines))[0] < 5 and stuffing(lines)[0]
+    # once in each line, at chance gaps or as seldom as a subject it is no stuffing
+    assert not stuffing([said(k, "casino") for k in range(20)])[0]
+    assert not stuffing([" ".join(said(5 * i + j, "casino" if j < 2 else word(900 + 5 * i + j)) for j in range(5)) for i in range(4)])[0]
+    rng = random.Random(3)
+    at = set(rng.sample(range(400), 80))
+    chance = ["The " + " of the ".join("casino" if k in at else word(1000 + k) for k in range(400)) + "."]
+    assert not stuffing(chance)[0]
