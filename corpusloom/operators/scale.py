@@ -9,17 +9,26 @@ from pyspark.sql import functions as F
 
 from corpusloom.sources.tables import stored
 
-#: A side with at most so many rows may be broadcast; it is counted before.
+#: A side with at most so many rows and bytes may be broadcast; both are counted before.
 BROADCAST_ROWS = 20_000
+BROADCAST_BYTES = 16 << 20
 #: A key is hot when it owns more than this share of the rows; so there are at most 1 / HOT_SHARE hot keys.
 HOT_SHARE = 0.002
 SALTS = 48
 
 
+def is_small(df: DataFrame, limit: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> bool:
+    """Whether `df` was counted to have at most `limit` rows and `most` bytes, long strings and arrays included. Counting stops
+    after `limit` rows."""
+    width = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    n, size = df.limit(limit + 1).agg(F.count(F.lit(1)), F.sum(width)).first()
+    return n <= limit and (size or 0) <= most
+
+
 def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` with a broadcast hint if it was counted to have at most `limit` rows, else as it is (a shuffle join follows)."""
-    few = df.limit(limit + 1).count() <= limit
-    return F.broadcast(df) if few else df
+    """`df` with a broadcast hint if it is small, else as it is (a shuffle join follows). Give it stored or small inputs, as
+    counting reads them once more."""
+    return F.broadcast(df) if is_small(df, limit) else df
 
 
 def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> list:
