@@ -1,7 +1,7 @@
 """Main bodies and stuffed records of whole tables: what the collection knows, and one pass over the records.
 
-What the collection knows is bounded. Frequent short lines stand in more than `SHORT_SHARE` of the records, so there are at most
-(lines per record / SHORT_SHARE) of them; title openings stand in more than `TITLE_SHARE` of the titles, so at most 1 / TITLE_SHARE
+What the collection knows is bounded. Frequent lines stand in more than `LINE_SHARE` of the records, so there are at most
+(lines per record / LINE_SHARE) of them; title openings stand in more than `TITLE_SHARE` of the titles, so at most 1 / TITLE_SHARE
 of each kind. Both are sent to all tasks. A site's own lines are a bounded array per site and travel with the record, see `lines`.
 
 Garbled lines are judged by their restored wording. Texts are never shuffled; they are read once more for the pass.
@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,11 +27,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from corpusloom.llm.garble import Model, pair_counts, values_of
-from corpusloom.llm.lines import line_counts, line_keys, line_table, per_site, site_lines, site_sizes
+from corpusloom.llm.lines import line_counts, line_keys, line_table, line_totals, per_site, site_lines, site_sizes
 from corpusloom.llm.page import LINKS, LITTLE_TEXT, Known, kinds, link_list, stuffing
 
-SHORT_SHARE = 0.003
+LINE_SHARE = 0.003
 TITLE_SHARE = 0.0005
+#: Records and characters that are looked at together.
+SLICE = 256
+SLICE_CHARS = 1_000_000
 #: What stands between the parts of a title.
 SEPARATORS = (": ", " – ")
 
@@ -51,14 +55,16 @@ def corpus(table: DataFrame, id_col: str, site: Column, share: float = 0.1) -> C
     records = table.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(site, F.lit("")).alias("site"), "title", "text", links.alias("links"))
     lines = line_table(records, "id", F.col("site"))
     sizes, counted = site_sizes(lines), line_counts(lines)
-    found = site_lines(lines, share, counted=counted, sizes=sizes)
+    totals = line_totals(counted)
+    found = site_lines(lines, share, counted=counted, sizes=sizes, totals=totals)
     n = sizes.agg(F.sum("n_site")).first()[0] or 0
-    often = counted.groupBy("key").agg(F.sum("d_in").alias("n")).where(F.col("n") >= max(5, SHORT_SHARE * n))
+    often = totals.where(F.col("d_all") >= max(5, LINE_SHARE * n))
     parts = F.filter(
         F.array(*[F.struct(F.lit(sep).alias("sep"), F.when(F.col("title").contains(sep), F.substring_index("title", sep, 1)).alias("part")) for sep in SEPARATORS]), lambda x: x["part"].isNotNull()
     )
-    rows = records.where(F.col("title").isNotNull()).select(F.explode(parts).alias("p")).groupBy("p.sep", "p.part").count().where(F.col("count") >= max(3, TITLE_SHARE * n)).collect()
-    openings = [frozenset(r["part"] for r in rows if r["sep"] == sep) for sep in SEPARATORS]
+    opened = records.where(F.col("title").isNotNull()).select(F.length("title").alias("size"), F.explode(parts).alias("p")).groupBy("p.sep", "p.part")
+    rows = opened.agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size")).where(F.col("n") >= max(3, TITLE_SHARE * n)).collect()
+    openings = [{r["part"]: r["size"] for r in rows if r["sep"] == sep} for sep in SEPARATORS]
     known = Known(frozenset(r["key"] for r in often.select("key").collect()), *openings)
     sc = table.sparkSession.sparkContext
     return Corpus(records, found, sc.broadcast(known), sc.broadcast(Model(pair_counts(values_of(records, "id")))))
@@ -86,23 +92,47 @@ def restored_titles(titles: list[str | None], model: Model) -> list[str]:
 
 @dataclass
 class Judged:
-    """One record after the pass; `kind` is 0 for empty lines, 1 for the body, 2 for the rest."""
+    """One record after the pass; `kind` is 0 for empty lines, 1 for the body, 2 for known lines, 3 for others outside the body."""
 
     id: int
     title: str | None
     lines: list[str]
     kind: list[int]
-    stuffed: bool
+    by_links: bool = False
 
     def own(self) -> list[int]:
         return [i for i, k in enumerate(self.kind) if k == 1]
 
+    def unknown(self) -> list[str]:
+        """The lines that tell whether the record is stuffed; lists have no running text, so windows do not find them."""
+        return [x for x, k in zip(self.lines, self.kind, strict=True) if k in (1, 3)]
+
 
 def judge(i: int, title: str | None, written: list[str], keys: list[int], own: set[int], known: Known, site: str = "", links: list[str | None] | None = None) -> Judged:
     kind = kinds(written, keys, own, known, title)
-    lines = [x for x, k in zip(written, kind, strict=True) if k == 1]
-    listed = links is not None and len(links) >= LINKS and sum(map(len, lines)) < LITTLE_TEXT and link_list(links, site)
-    return Judged(i, title, written, kind, listed or stuffing(lines)[0])
+    by_links = links is not None and len(links) >= LINKS and sum(len(x) for x, k in zip(written, kind, strict=True) if k in (1, 3)) < LITTLE_TEXT and link_list(links, site)
+    return Judged(i, title, written, kind, by_links)
+
+
+def stuffed(js: list[Judged]) -> list[bool]:
+    """Which of the records are stuffed; their terms are counted together."""
+    return [j.by_links or s for j, s in zip(js, stuffing([j.unknown() for j in js]), strict=True)]
+
+
+def unstuffed(js: list[Judged]) -> list[Judged]:
+    return [j for j, s in zip(js, stuffed(js), strict=True) if not s]
+
+
+def slices(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of at most SLICE rows and, beyond the first row, SLICE_CHARS characters; nothing is cut out."""
+    start = chars = 0
+    for at, n in enumerate(sizes):
+        if at > start and (at - start >= SLICE or chars + n > SLICE_CHARS):
+            yield start, at
+            start, chars = at, 0
+        chars += n
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def each_slice(c: Corpus, emit: Callable[..., list[tuple]], schema: str, extra: list[Column] | None = None, records: DataFrame | None = None, bare: bool = False) -> DataFrame:
@@ -125,9 +155,9 @@ def each_slice(c: Corpus, emit: Callable[..., list[tuple]], schema: str, extra:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[str, set[int]] = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = {n: batch.column(n).slice(at, 256).to_pylist() for n in ("id", "site", "title", "text", "keys", "links", *more)}
-                sites = batch.column("own").slice(at, 256)
+            for start, stop in slices(pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_pylist()):
+                part = {n: batch.column(n).slice(start, stop - start).to_pylist() for n in ("id", "site", "title", "text", "keys", "links", *more)}
+                sites = batch.column("own").slice(start, stop - start)
                 for k, site in enumerate(part["site"]):
                     if site not in own:
                         own[site] = set(sites[k].as_py() or ())
@@ -143,12 +173,12 @@ def each_slice(c: Corpus, emit: Callable[..., list[tuple]], schema: str, extra:
 
 def furniture(c: Corpus) -> DataFrame:
     """(id, line_no) of every line outside the main body; stuffed records are left out."""
-    return each_slice(c, lambda js: [(j.id, i) for j in js if not j.stuffed for i, k in enumerate(j.kind) if k == 2], "id bigint, line_no bigint")
+    return each_slice(c, lambda js: [(j.id, i) for j in unstuffed([j for j in js if 2 in j.kind or 3 in j.kind]) for i, k in enumerate(j.kind) if k > 1], "id bigint, line_no bigint")
 
 
 def stuffed_records(c: Corpus) -> DataFrame:
     """(id) of records that are mostly keywords, link lists, tags or products."""
-    return each_slice(c, lambda js: [(j.id,) for j in js if j.stuffed], "id bigint", bare=True)
+    return each_slice(c, lambda js: [(j.id,) for j, s in zip(js, stuffed(js), strict=True) if s], "id bigint", bare=True)
 
 
 def main_body(c: Corpus) -> DataFrame:

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Characters of a chunk, and of its overlap with the next one.
@@ -96,42 +96,48 @@ def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # the pre-token at the end of the chunk may go on, so its own start is the last one known
             tail.append([s - size for s in starts if s >= size])
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), batch.column("row"), batch.column("chunk"), pa.array(head, pa.list_(pa.int32())), pa.array(tail, pa.list_(pa.int32()))],
-            names=["id", "row", "chunk", "head", "tail"],
+            [batch.column("row"), batch.column("chunk"), pa.array(head, pa.list_(pa.int32())), pa.array(tail, pa.list_(pa.int32()))],
+            names=["row", "chunk", "head", "tail"],
         )
 
 
 def _pieces(long: DataFrame, chunk: int) -> DataFrame:
-    """(id, row, part, piece): long texts cut where neighbouring chunks agree."""
+    """(row, part, piece): long texts cut where neighbouring chunks agree."""
     n = F.ceil(F.length("text") / F.lit(chunk)).cast("int")
-    chunks = long.select("id", "row", "text", F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk")).select(
-        "id", "row", "chunk", F.lit(chunk).alias("size"), F.expr(f"substring(text, chunk * {chunk} + 1, {chunk + OVERLAP})").alias("piece")
+    chunks = long.select("row", "text", F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk")).select(
+        "row", "chunk", F.lit(chunk).alias("size"), F.expr(f"substring(text, chunk * {chunk} + 1, {chunk + OVERLAP})").alias("piece")
     )
-    starts = chunks.repartition("id", "row", "chunk").mapInArrow(_starts, "id bigint, row bigint, chunk int, head array<int>, tail array<int>")
-    order = Window.partitionBy("id", "row").orderBy("chunk")
+    starts = chunks.repartition("row", "chunk").mapInArrow(_starts, "row bigint, chunk int, head array<int>, tail array<int>")
+    order = Window.partitionBy("row").orderBy("chunk")
     agree = F.array_min(F.array_intersect("head", F.lag("tail").over(order)))
     cuts = starts.withColumn("cut", F.when(F.col("chunk") == 0, F.lit(0)).otherwise(F.col("chunk") * F.lit(chunk) + agree)).where(F.col("cut").isNotNull())
-    cuts = cuts.groupBy("id", "row").agg(F.array_sort(F.collect_list("cut")).alias("cuts"))
-    parts = long.join(cuts, ["id", "row"]).select("id", "row", "text", "cuts", F.posexplode("cuts").alias("part", "start"))
+    cuts = cuts.groupBy("row").agg(F.array_sort(F.collect_list("cut")).alias("cuts"))
+    parts = long.join(cuts, "row").select("row", "text", "cuts", F.posexplode("cuts").alias("part", "start"))
     end = F.coalesce(F.try_element_at("cuts", F.col("part") + 2), F.length("text"))
-    return parts.select("id", "row", "part", F.substring(F.col("text"), F.col("start") + 1, end - F.col("start")).alias("piece")).repartition("id", "row", "part")
+    return parts.select("row", "part", F.substring(F.col("text"), F.col("start") + 1, end - F.col("start")).alias("piece")).repartition("row", "part")
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, chunk: int = CHUNK, counts: bool = False) -> DataFrame:
-    """(id, ids ARRAY<INT>) of every row, or (id, n_tokens BIGINT) with `counts`."""
+def encode(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, chunk: int = CHUNK, counts: bool = False, keep: dict[str, Column] | None = None
+) -> DataFrame:
+    """(id, ids ARRAY<INT>) of every row, or (id, n_tokens BIGINT) with `counts`; `keep` adds columns that go along with the row.
+
+    Equal long texts are encoded once; what they belong to is joined again, so repeated ids keep their own columns.
+    """
     if chunk <= 2 * OVERLAP:
         raise ValueError("a chunk must be longer than two overlaps")
-    what = "n_tokens bigint" if counts else "ids array<int>"
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    keep = keep or {}
+    what, out = ("n_tokens bigint", "n_tokens") if counts else ("ids array<int>", "ids")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), *[c.alias(k) for k, c in keep.items()], F.col(text_col).alias("text"))
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     is_long = F.coalesce(F.length("text") > chunk, F.lit(False))
-    short = rows.where(~is_long).mapInArrow(_encode(path, counts), f"id bigint, {what}")
-    # repeated ids stay apart by a number of the row's content
+    short = rows.where(~is_long).mapInArrow(_encode(path, counts), f"{kept}, {what}")
     long = rows.where(is_long).withColumn("row", F.xxhash64("text"))
-    again = long.groupBy("id", "row").agg(F.count(F.lit(1)).alias("times"), F.first("text").alias("text"))
-    coded = _pieces(again.select("id", "row", "text"), chunk).mapInArrow(_encode(path, counts), f"id bigint, row bigint, part int, {what}")
+    texts = long.groupBy("row").agg(F.first("text").alias("text"))
+    coded = _pieces(texts, chunk).mapInArrow(_encode(path, counts), f"row bigint, part int, {what}")
     if counts:
-        joined = coded.groupBy("id", "row").agg(F.sum("n_tokens").alias("n_tokens"))
+        joined = coded.groupBy("row").agg(F.sum("n_tokens").alias("n_tokens"))
     else:
-        joined = coded.groupBy("id", "row").agg(F.flatten(F.array_sort(F.collect_list(F.struct("part", "ids")))["ids"]).alias("ids"))
-    whole = joined.join(again.select("id", "row", "times"), ["id", "row"]).withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
-    return short.unionByName(whole.select("id", "n_tokens" if counts else "ids"))
+        joined = coded.groupBy("row").agg(F.flatten(F.array_sort(F.collect_list(F.struct("part", "ids")))["ids"]).alias("ids"))
+    whole = long.drop("text").join(joined, "row")
+    return short.unionByName(whole.select("id", *keep, out))

@@ -26,9 +26,12 @@ import numpy as np
 LATIN_FAMILIES = {"germanic": ("de", "en"), "romance": ("es", "fr", "pt")}
 LANGUAGES = ("de", "en", "es", "fr", "pt", "ru", "zh")
 SLOTS = 1 << 13
-#: Labelled documents that the machines are fitted on, at most; and lines of each language.
+#: Bounds of the sample that the machines are fitted on: labelled documents, lines of each language and of each document, and
+#: characters of a line. Only fitting is bounded; every line of every document is classified.
 SAMPLE = 1_500
 LINES = 700
+RECORD_LINES = 20
+LINE_CHARS = 2_000
 
 _HAN = re.compile(r"[㐀-鿿]")
 _CYRILLIC = re.compile(r"[Ѐ-ӿ]")

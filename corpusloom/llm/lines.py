@@ -2,9 +2,9 @@
 
 A line is known by its letters alone: figures, dates, letter case, blanks and bullets do not count. For every site and
 line the number of documents that hold it inside the site is compared with the number outside by the log-likelihood
-ratio; the Benjamini-Hochberg procedure over all (site, line) pairs bounds the share of false discoveries. Documents
-fetched again count once in that test. Significant lines in excess within the site that cover enough of its documents
-are the site's lines; they are anti-joined and the rest of each document is put together again by position.
+ratio; the Benjamini-Hochberg procedure over all (site, line) pairs, those of a single document too, bounds the share of false
+discoveries. Documents fetched again count once in that test. Significant lines in excess within the site that cover enough of
+its documents are the site's lines; they are anti-joined and the rest of each document is put together again by position.
 
 Scale: the text is read once. What is stored and shuffled is a 64-bit number per line, never the line. Counts are
 pre-aggregated before their shuffle. A site has at most 10 times its mean lines per document of such lines (each covers
@@ -19,16 +19,19 @@ each; in a collection of one site, which has no outside, the share alone decides
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.operators.scale import BROADCAST_ROWS, hot_keys, salted_join, sized
+from corpusloom.operators.scale import hot_keys, is_small, salted_join, sized
 from corpusloom.sources.tables import stored
 
 #: Share of false discoveries allowed among the significant (site, line) pairs.
 FDR = 0.01
+LINE_ENTRIES = "array<struct<line_no: int, line: string, key: bigint>>"
 
 
 def host_site(url: Column) -> Column:
@@ -91,6 +94,7 @@ def line_counts(lines: DataFrame) -> DataFrame:
     slim = lines.select("id", "site", "sig")
     first = slim.groupBy("site", "sig").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     again = slim.join(first, ["site", "sig"]).where(F.col("id") != F.col("first")).select("id").distinct().withColumn("again", F.lit(1))
+    again = stored(again, "again")
     counted = (
         lines.join(sized(again, 200_000), "id", "left")
         .select("site", F.when(F.col("again").isNull(), 1).otherwise(0).alias("new"), F.explode(F.array_distinct("keys")).alias("key"))
@@ -101,54 +105,110 @@ def line_counts(lines: DataFrame) -> DataFrame:
     return stored(counted, "line-counts")
 
 
-def site_lines(lines: DataFrame, share: float = 0.1, least: int = 4, fdr: float = FDR, counted: DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame:
-    """(site, key, n_in, n_site, n_out, z): the lines a site repeats over `share` of its documents and at least `least`."""
+def line_totals(counted: DataFrame) -> DataFrame:
+    """(key, d_all), stored: documents of the whole collection with a line, repeats once."""
+    return stored(counted.groupBy("key").agg(F.sum("d_in").alias("d_all")), "line-totals")
+
+
+def _root(total: int) -> Column:
+    """Root of the ratio of a pair (d_in, d_site, d_all); 0 where the site has no more of the line than the others."""
+    a, n = F.col("d_in"), F.col("d_site")
+    b, m = F.col("d_all") - a, F.lit(total) - n
+    return F.when(m <= 0, F.lit(1e6)).when(a * m <= b * n, F.lit(0.0)).otherwise(F.sqrt(F.greatest(_g2(a, n, b, m), F.lit(0.0))))
+
+
+def site_lines(
+    lines: DataFrame,
+    share: float = 0.1,
+    least: int = 4,
+    fdr: float = FDR,
+    counted: DataFrame | None = None,
+    sizes: DataFrame | None = None,
+    totals: DataFrame | None = None,
+    tested: bool = True,
+) -> DataFrame:
+    """(site, key, n_in, n_site, n_out, z): the lines a site repeats over `share` of its documents and at least `least`.
+
+    Every (site, line) pair of the collection is tested and ranked, lines seen once too; only then the significant ones are held
+    against `share` and `least`. Without `tested` these two decide alone.
+    """
     sizes = site_sizes(lines) if sizes is None else sizes
     counted = line_counts(lines) if counted is None else counted
-    tests = counted.count()
+    totals = line_totals(counted) if totals is None else totals
     total = sizes.agg(F.sum("d_site")).first()[0] or 0
-    much = stored(counted.where((F.col("n_in") >= least) & (F.col("d_in") >= 2)).join(sizes, "site").where(F.col("n_in") >= F.col("n_site") * share), "line-cases")
-    outside = counted.join(much.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.sum("d_in").alias("d_all"))
-    a, n = F.col("d_in"), F.col("d_site")
-    b, m = F.col("d_all") - a, F.lit(total) - n
-    tested = (
-        much.join(outside, "key")
-        .withColumn("n_out", b)
-        .withColumn("z", F.when(m <= 0, F.lit(1e6)).otherwise(F.sqrt(F.greatest(_g2(a, n, b, m), F.lit(0.0)))))
-        .where((m <= 0) | (a * m > b * n))
-        .where(F.col("d_in") >= least)
-    )
-    tested = stored(tested, "line-tests")
-    return tested.where(F.col("z") >= _threshold(tested, tests, fdr) if total else F.lit(False)).select("site", "key", "n_in", "n_site", "n_out", "z")
+    few = sized(sizes)
+    least_root = 0.0
+    if tested:
+        pairs = counted.select("site", "key", "d_in").join(totals, "key")
+        least_root = _threshold(pairs.join(few, "site").select(_root(total).alias("z")), counted.count(), fdr)
+    much = counted.where((F.col("n_in") >= least) & (F.col("d_in") >= least)).join(few, "site").where(F.col("n_in") >= F.col("n_site") * share)
+    rows = stored(much, "line-cases")
+    rows = rows.join(totals.join(sized(rows.select("key").distinct()), "key", "left_semi"), "key")
+    rows = rows.select("site", "key", "n_in", "n_site", (F.col("d_all") - F.col("d_in")).alias("n_out"), _root(total).alias("z"))
+    return stored(rows.where(F.col("z") >= least_root), "site-lines")
 
 
 def per_site(lines: DataFrame, found: DataFrame) -> DataFrame:
     """`lines` with `own`, the array of its site's lines."""
     sets = found.groupBy("site").agg(F.collect_set("key").alias("own"))
-    if sets.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if is_small(sets):
         return lines.join(F.broadcast(sets), "site", "left")
     return salted_join(lines, sets, "site", "id", hot_keys(lines, "site"))
 
 
 def repeated_lines(lines: DataFrame, found: DataFrame) -> DataFrame:
-    """(id, line_no) of every occurrence of a site's line in the site's documents."""
-    return (
-        per_site(lines, found)
-        .where(F.col("own").isNotNull())
-        .select("id", "own", F.posexplode("keys").alias("line_no", "key"))
-        .where(F.array_contains("own", F.col("key")))
-        .select("id", F.col("line_no").cast("bigint").alias("line_no"))
-    )
+    """(id, line_no) of every occurrence of a site's line in the site's documents: a semi-join of all lines with the found ones."""
+    pairs = found.select("site", "key")
+    if is_small(pairs):
+        each = lines.select("id", "site", F.posexplode("keys").alias("line_no", "key"))
+        return each.join(F.broadcast(pairs), ["site", "key"], "left_semi").select("id", F.col("line_no").cast("bigint").alias("line_no"))
+    # too many to send: each site's lines travel with its documents, whatever part of the rows is one site's
+    each = per_site(lines, found).where(F.col("own").isNotNull()).select("id", "own", F.posexplode("keys").alias("line_no", "key"))
+    return each.where(F.array_contains("own", F.col("key"))).select("id", F.col("line_no").cast("bigint").alias("line_no"))
+
+
+def _reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The kept lines of each row, which stand together, put together by position."""
+    schema = pa.schema([("id", pa.int64()), ("n_removed", pa.int64()), ("clean", pa.string())])
+    now, head, kept = None, (None, 0), []
+
+    def whole() -> tuple:
+        ident, n = head
+        return ident, max(n - len(kept), 0), "\n".join(x for _, x in sorted(kept)) if n else None
+
+    for batch in batches:
+        out = []
+        for row, ident, n, no, line in zip(*(batch.column(c).to_pylist() for c in ("row", "id", "n", "line_no", "line")), strict=True):
+            if row != now:
+                if now is not None:
+                    out.append(whole())
+                now, head, kept = row, (ident, n), []
+            if no >= 0:
+                kept.append((no, line))
+        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], f.type) for i, f in enumerate(schema)], schema=schema)
+    if now is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(whole(), schema, strict=True)], schema=schema)
 
 
 def without_site_lines(docs: DataFrame, id_col: str, site: Column, found: DataFrame, text_col: str = "text") -> DataFrame:
     """(id, n_removed, clean): each text without its site's lines, the others in their order; null stays null.
 
-    The kept lines are chosen inside the row, so the text is never shuffled unless the table of sites is too large to send.
+    Lines are anti-joined with the found ones, sent to all tasks, and put together again in the task that read them, so the text
+    is never shuffled. Every row adds an entry without a key, which no join takes, so rows whose lines all go are kept. Where
+    the found lines are too many to send, each site's set is joined to its documents and the lines are taken out inside the row.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(site, F.lit("")).alias("site"), F.col(text_col).alias("__text"), line_keys(F.col(text_col)).alias("keys"))
-    own = F.coalesce(F.col("own"), F.array().cast("array<bigint>"))
+    text, pairs = F.col(text_col), found.select("site", "key")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(site, F.lit("")).alias("site"), text.alias("__text"), line_keys(text).alias("keys"))
     parts = F.arrays_zip(F.split("__text", "\n", -1).alias("line"), F.col("keys").alias("key"))
+    if is_small(pairs):
+        entry = F.array(F.struct(F.lit(-1).alias("line_no"), F.lit(None).cast("string").alias("line"), F.lit(None).cast("bigint").alias("key")))
+        numbered = F.transform(parts, lambda x, i: F.struct(i.alias("line_no"), x["line"].alias("line"), x["key"].alias("key")))
+        # the number is given before the rows are taken apart
+        each = rows.withColumn("row", F.monotonically_increasing_id()).select("row", "id", "site", F.coalesce(F.size("keys"), F.lit(0)).alias("n"), F.explode(F.concat(entry, F.coalesce(numbered, F.array().cast(LINE_ENTRIES)))).alias("e"))
+        each = each.select("row", "id", "site", F.greatest("n", F.lit(0)).alias("n"), "e.*")
+        kept = each.join(F.broadcast(pairs), ["site", "key"], "left_anti").select("row", "id", "n", "line_no", "line")
+        return kept.mapInArrow(_reassemble, "id bigint, n_removed bigint, clean string")
+    own = F.coalesce(F.col("own"), F.array().cast("array<bigint>"))
     kept = F.filter(parts, lambda x: ~F.array_contains(own, x["key"]))
     return per_site(rows, found).select(
         "id", F.coalesce(F.size("keys") - F.size(kept), F.lit(0)).cast("bigint").alias("n_removed"), F.when(F.col("__text").isNotNull(), F.array_join(kept["line"], "\n")).alias("clean")

@@ -1,40 +1,54 @@
 """The main body of a record, and whether the record is stuffed: one pass over its lines.
 
-Body (line-block distribution): markup is stripped, every line that is no furniture by its form weighs its length, weights
-are summed over sliding windows of WINDOW lines, and the text is kept between the surge, the first window that reaches the
-threshold, and the dive, the last one. Inside, lines that are furniture by their form are cut out as well. Furniture by form
-are lines the site repeats, menus and paths, bylines, teasers that are worded like the collection's titles, and short lines
-without figures that recur all over the collection.
-
-Stuffing: the terms of the record's own lines are numbered in order. Gaps between recurrences of a term, the autocorrelation
-of positions over windows of lags, and the share of text in lists without function words tell repeated keywords, link lists,
-tags and product lines from statements.
-
-All of it needs only the record and three bounded tables: its site's lines, frequent short lines and title openings.
+Body (line-block distribution): markup is stripped, every line weighs the characters of its running text, weights are summed
+over sliding windows of WINDOW lines, and the text is kept between the surge, the first line of weight whose window reaches the
+threshold, and the dive, the last one. Stripping markup takes away what is no running text whatever it says: tags, and the
+short pieces of a line that is cut into three or more by separators (menus, paths, bylines). Lines that the site repeats, lines
+that recur all over the collection and lines that are links to other records (worded like the collection's titles) weigh
+nothing either, and are cut out between surge and dive, as are menus. No rule depends on the length of a line.
+
+Stuffing: the terms of the record's own lines are numbered in order. The gap back to a term's last place, the autocorrelation of
+the places over lags, and the spread of gaps of the most frequent term tell unnaturally regular repetition; the share of text
+in lists of distinct nouns without function words tells keyword lists, link lists, tags and product lines from statements.
+
+All of it needs only the record and three bounded tables: its site's lines, frequent lines and title openings.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from itertools import pairwise
 
 import numpy as np
 
-#: Lines in a window of the block distribution, and the characters that make a block.
+#: Lines in a window of the block distribution, the characters that make a block, and those that a line at its border needs.
 WINDOW = 3
 BLOCK = 80
-#: Longest lag of the autocorrelation.
+LIGHT = 20
+#: A Han character says as much as so many letters; a piece of fewer words and characters is no running text.
+HAN = 2.5
+PIECE_WORDS = 4
+PIECE = 30
+#: Longest lag of the autocorrelation, and the longest gap after which a term still comes back soon.
 LAGS = 48
-#: Share of the content words from which the most frequent pair of them is a sign of stuffing.
-PAIR_SHARE = 0.09
+#: Repetition is unnaturally regular if so many of the content words come back within LAGS places and if places agree that often
+#: at the mean lag; in the running text of these collections they reach 0.38 and 0.12, but never both.
+NEAR = 0.39
+AUTO = 0.015
+#: A term that comes so many times as often as there are lines with it is no frame of a log or list, which has it once in each.
+IN_LINE = 1.5
 #: A single term is strewn in if it makes up so much of the content words, in running text its subject has up to 0.13, and its gaps
 #: spread by no more than this part of their mean; by chance they would spread by all of it.
 TERM_SHARE = 0.17
 GAP_SPREAD = 0.6
 #: Neighbouring lags that are taken together when a term's gaps are looked at.
 LAG_WINDOW = 3
+#: Content words from which repetition says something.
+LEAST_WORDS = 12
+#: Share of characters in statements below which a text is a list.
+SAID = 0.33
 #: Own text of fewer characters says too little; the record is then judged by its links.
 LITTLE_TEXT = 60
 #: Different links to other sites from which links are a list, and the share of the links they must be.
@@ -56,53 +70,42 @@ FUNCTION_WORDS = frozenset(
 )
 FUNCTION_CHARS = frozenset("的了是和并但而与就之不也把被里后前时每对这其所因为各些此个")
 
-_TAG = re.compile(r"<[^<>]{1,200}>")
+_TAG = re.compile(r"<[^<>]+>")
 _URL = re.compile(r"\[[^\]\n]*\]\(\S*\)|(?:https?://|www\.)\S+")
 _WORD = re.compile(r"[^\W\d_]+")
+_TERM = re.compile(r"[^\W\d_㐀-鿿]+|[㐀-鿿]+")
 _HAN = re.compile(r"[㐀-鿿]")
-_HAN_RUN = re.compile(r"[㐀-鿿]+")
-_ALONE = re.compile(r"(?:^|(?<=\s))[㐀-鿿]{1,6}(?=\s|$)", re.M)
 _DIGIT = re.compile(r"\d")
 _BULLET = re.compile(r"^[»•*>·‣▪–—-]+\s+")
 _COUNT = re.compile(r"\s*[(（]\d+[)）]\s*$")
-_MENU_SEP = re.compile(r"\s+[|·/–—>»•]\s+|\s*\|\s*|\s{2,}|\t")
-_MARKS = frozenset("|·/–—>»•›→\t")
-_PATH_SEP = re.compile(r"\s+[>»/›→]\s+")
-_DATE = re.compile(r"\b\d{4}-\d{2}-\d{2}\b")
-_LABEL = re.compile(r"^([^:：]{2,40})[:：]\s*(.+)$")
-_STOP = re.compile(r"[.!?。！？…]$")
+_PIECES = re.compile(r"\s+[|·/–—>»•→]\s+|\s*[|\t]\s*|\s{2,}")
+_COMMA = re.compile(r"\s*[,，]\s+")
+_MARKS = frozenset("|·/–—>»•→\t")
+_LABEL = re.compile(r"^([^:：]+)[:：]\s*(.+)$")
+_ENDED = frozenset(".!?。！？…")
 
 
 @dataclass
 class Known:
-    """What the collection says about lines; all of it bounded by shares of the collection."""
+    """What the collection says about lines; all of it bounded by shares of the collection. Openings of titles come with the
+    length of the longest title that has them."""
 
     frequent: frozenset[int] = frozenset()
-    before_colon: frozenset[str] = frozenset()
-    before_dash: frozenset[str] = frozenset()
-    extra: dict = field(default_factory=dict)
+    before_colon: dict[str, int] = field(default_factory=dict)
+    before_dash: dict[str, int] = field(default_factory=dict)
 
 
 def worded_like_title(s: str, known: Known) -> bool:
-    """Whether `s` opens like several titles of the collection: `A: b` or `A – b`."""
+    """Whether `s` opens like several titles of the collection, `A: b` or `A – b`, and is no longer than they are."""
     a, sep, b = s.partition(": ")
-    if sep and b and a in known.before_colon:
+    if sep and b and known.before_colon.get(a, 0) >= len(s):
         return True
     a, sep, b = s.partition(" – ")
-    return bool(sep and b and a in known.before_dash)
+    return bool(sep and b and known.before_dash.get(a, 0) >= len(s))
 
 
-def _is_menu(s: str) -> bool:
-    if "  " not in s and _MARKS.isdisjoint(s):
-        return False
-    parts = [p for p in _MENU_SEP.split(_BULLET.sub("", s)) if p]
-    if len(parts) >= 3 and not _DIGIT.search(s) and all(len(p) <= 26 and len(p.split()) <= 3 and not _STOP.search(p) for p in parts):
-        return True
-    path = _PATH_SEP.split(s)
-    return len(path) >= 3 and not s.startswith((">", "»")) and all(len(p) <= 60 for p in path) and not _STOP.search(s) and len(path[0].split()) <= 3
-
-
-def _is_teaser(s: str, known: Known) -> bool:
+def _is_link(s: str, known: Known) -> bool:
+    """Whether a line leads to other records: it is worded like a title, or a label before such ones."""
     if ":" not in s and "–" not in s and "：" not in s:
         return False
     core = _COUNT.sub("", _BULLET.sub("", s))
@@ -112,10 +115,48 @@ def _is_teaser(s: str, known: Known) -> bool:
     return bool(m) and all(worded_like_title(p.strip(), known) for p in re.split(r"\s+·\s+", m[2]))
 
 
-def kinds(lines: list[str], keys: list[int], own: set[int], known: Known, title: str | None) -> list[int]:
-    """0 for an empty line, 1 for the main body, 2 for everything else."""
+def mass(s: str) -> int:
+    """Characters, each Han one as much as HAN letters."""
+    return len(s) if s.isascii() else len(s) + int((HAN - 1) * len(_HAN.findall(s)))
+
+
+def weight(s: str, known: Known) -> tuple[int, bool]:
+    """(characters of running text in a line without tags, whether it is a menu: short pieces between marks, each once, no figures)."""
+    marked = "  " in s or not _MARKS.isdisjoint(s)
+    if marked:
+        pieces = [p for p in _PIECES.split(_BULLET.sub("", s)) if p]
+    elif "," in s and s[-1] not in _ENDED:
+        pieces = _COMMA.split(s)
+    else:
+        return mass(s), False
+    if len(pieces) < 3:
+        return mass(s), False
+    long = [p for p in pieces if (p.count(" ") + 1 >= PIECE_WORDS or mass(p) >= PIECE) and not worded_like_title(p, known)]
+    # the last name of a path may be long
+    if 2 * len(long) < len(pieces) and s[-1] not in _ENDED:
+        return 0, marked and not _DIGIT.search(s) and len(set(pieces)) == len(pieces)
+    return sum(map(mass, long)), False
+
+
+def span(weights: Sequence[int]) -> tuple[int, int]:
+    """(surge, dive): the first and the last line of weight whose window holds a block; (0, -1) if there is none.
+
+    Where no window of the record holds a block, half of its heaviest window is one.
+    """
+    n, half = len(weights), WINDOW // 2
+    block = [sum(weights[max(0, at - half) : at + half + 1]) for at in range(n)] if n >= WINDOW else [sum(weights)] * n
+    least = min(BLOCK, max(1, max(block, default=0) // 2))
+    light = min(LIGHT, least)
+    inside = [at for at, w in enumerate(weights) if w >= light and block[at] >= least]
+    return (inside[0], inside[-1]) if inside else (0, -1)
+
+
+def kinds(lines: list[str], keys: list[int], own: set[int], known: Known, title: str | None, windows: bool = True) -> list[int]:
+    """0 for an empty line, 1 for the main body, 2 for known lines and menus, 3 for what else stands before the surge or after the
+    dive. Without `windows` nothing is 3."""
     n = len(lines)
     kind = [0] * n
+    weights = [0] * n
     plain = [_TAG.sub(" ", x).strip() if "<" in x else x.strip() for x in lines]
     name = (title or "").strip()
     has_name = bool(name) and "://" not in name and name in plain
@@ -125,113 +166,123 @@ def kinds(lines: list[str], keys: list[int], own: set[int], known: Known, title:
             continue
         kind[i] = 1
         if has_name and s == name:
+            weights[i] = mass(s)
             if headline < 0:
                 headline = i
-            continue
-        if keys[i] in own:
-            kind[i] = 2
-        elif len(s) > 200:
-            continue
-        elif _is_menu(s) or (len(s) <= 120 and _DATE.search(s) and not _STOP.search(s)):
+        elif keys[i] in own:
             kind[i] = 2
-        elif _is_teaser(s, known):
+        elif _is_link(s, known):
             kind[i] = 3
-        elif len(s) <= 40 and keys[i] in known.frequent and not _DIGIT.search(s):
+        elif keys[i] in known.frequent and not _DIGIT.search(s):
             kind[i] = 2
+        else:
+            weights[i], menu = weight(s, known)
+            if menu:
+                kind[i] = 2
     filled = [i for i, k in enumerate(kind) if k]
     if not has_name and 3 in kind:  # the headline is the bare title-like line right above the body
         for i, after in pairwise(filled):
             if kind[i] == 3 and kind[after] == 1 and not _BULLET.match(plain[i]) and not _COUNT.search(plain[i]) and worded_like_title(plain[i], known):
-                headline = i
+                headline, weights[i] = i, mass(plain[i])
                 break
     kind = [2 if k == 3 else k for k in kind]
+    if windows:
+        surge, dive = span([weights[i] for i in filled])
+        for at in (*range(surge), *range(dive + 1, len(filled))):
+            if kind[filled[at]] == 1:
+                kind[filled[at]] = 3
     if headline >= 0:
         kind[headline] = 1
-    # block distribution over the lines that are not empty
-    weight = [len(plain[i]) if kind[i] == 1 else 0 for i in filled]
-    half = WINDOW // 2
-    block = [sum(weight[max(0, at - half) : at + half + 1]) for at in range(len(weight))] if len(weight) >= WINDOW else [sum(weight)] * len(weight)
-    least = min(BLOCK, max(1, max(block, default=0) // 2))
-    inside = [at for at, w in enumerate(weight) if w and block[at] >= least]
-    if inside:
-        for at in (*range(inside[0]), *range(inside[-1] + 1, len(filled))):
-            if filled[at] != headline:
-                kind[filled[at]] = 2
     return kind
 
 
-def word_counts(low: str) -> dict[str, int]:
-    """How often each word comes; most are cut out by the commonest marks and blanks alone."""
-    for mark in ".,:;()":
-        low = low.replace(mark, " ")
-    counts = Counter(low.split())
-    for token in [t for t in counts if not t.isalpha()]:
-        n = counts.pop(token)
-        for w in _WORD.findall(token):
-            counts[w] += n
-    return counts
+class _Codes(dict):
+    """Number of each term, -1 for function words; of every number whether it stands for Han characters."""
 
+    def __init__(self) -> None:
+        super().__init__()
+        self.han = bytearray()
 
-def steady_share(codes: np.ndarray, lines: np.ndarray) -> float:
-    """Share of the most frequent term that comes back at steady gaps; 0 if there is none.
+    def __missing__(self, term: str) -> int:
+        if term in FUNCTION_WORDS:
+            self[term] = -1
+            return -1
+        self[term] = code = len(self.han)
+        self.han.append("㐀" <= term[0] <= "鿿")
+        return code
 
-    The gaps between a term's places must spread little, and one window of lags must hold half of them. A term that comes once
-    in each line is the frame of a log.
-    """
-    times = np.bincount(codes)
-    for c in sorted(np.flatnonzero(times >= max(6, TERM_SHARE * len(codes))), key=lambda c: -times[c]):
-        at = np.flatnonzero(codes == c)
-        if times[c] < 1.5 * len(np.unique(lines[at])):
-            continue
-        gaps = np.diff(at)
-        lags = np.convolve(np.bincount(gaps), np.ones(LAG_WINDOW, dtype=np.int64))
-        if gaps.std() <= GAP_SPREAD * gaps.mean() and 2 * lags.max() >= len(gaps):
-            return float(times[c] / len(codes))
-    return 0.0
+
+#: Terms of this process; started anew when there are too many.
+_CODES = _Codes()
+MOST_CODES = 1_000_000
 
 
-def regularity(text: str) -> tuple[int, float, float, float]:
-    """The first four figures of `recurrence`."""
-    return recurrence(text)[:4]
+def steady_share(places: np.ndarray, total: int) -> float:
+    """Share of a term that comes back at steady gaps; 0 for others. The gaps between its places must spread little, and one
+    window of lags must hold half of them."""
+    gaps = np.diff(places)
+    lags = np.convolve(np.bincount(gaps), np.ones(LAG_WINDOW, dtype=np.int64))
+    return len(places) / total if gaps.std() <= GAP_SPREAD * gaps.mean() and 2 * lags.max() >= len(gaps) else 0.0
 
 
-def recurrence(text: str) -> tuple[int, float, float, float, float]:
-    """How regularly terms come back in running text: (count and share of the most frequent pair of neighbouring content words,
-    mean autocorrelation of the content words over LAGS lags, share of Han terms that stand alone and come back,
-    share of a single term that comes back at steady gaps).
+def recurrence(records: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """How regularly terms come back in the lines of each record; all records at once.
 
-    In running text neighbouring content words seldom meet again, and a word seldom returns after the same distance. Keywords
-    strewn into sentences do both. Each word of a pair comes at least as often as the pair, so texts without a content word that
-    makes up PAIR_SHARE of the content words are settled by counting words.
+    (content words, share of their places whose term came at most LAGS places before, mean autocorrelation of the places over
+    LAGS lags, share of a term that comes back at steady gaps). A run of Han characters is a term. In running text a word
+    seldom returns after a short gap or again and again after the same one; keywords strewn into sentences do both. Terms that
+    come hardly more than once in a line are the frame of a log or list and do not count.
     """
-    pair, share, auto, alone, steady = 0, 0.0, 0.0, 0.0, 0.0
-    low = text.lower()
-    counts = word_counts(low)
-    often = [c for w, c in counts.items() if c >= 5 and w not in FUNCTION_WORDS]
-    han = bool(often) and not text.isascii() and _HAN.search(low) is not None
-    if often and max(often) >= PAIR_SHARE * sum(c for w, c in counts.items() if w not in FUNCTION_WORDS and not (han and _HAN.search(w))):
-        placed = [(w, i) for i, x in enumerate(low.split("\n")) for w in _WORD.findall(x) if w not in FUNCTION_WORDS and not (han and _HAN.search(w))]
-        words = [w for w, _ in placed]
-        n = len(words)
-        if n >= 12 and (text.isascii() or 4 * n >= len(_HAN.findall(low))):
-            index: dict[str, int] = {}
-            codes = np.fromiter((index.setdefault(w, len(index)) for w in words), dtype=np.int64, count=n)
-            pairs = codes[:-1] * np.int64(len(index)) + codes[1:]
-            ids, times = np.unique(pairs, return_counts=True)
-            steady = steady_share(codes, np.fromiter((i for _, i in placed), dtype=np.int64, count=n))
-            pair = int(times.max())
-            share = pair / n
-            if share >= 0.05:
-                # entries of a log have their fixed words once each; keywords come several times in a line
-                at = np.flatnonzero(pairs == ids[times.argmax()])
-                pair = pair if pair >= 1.5 * len({placed[i][1] for i in at}) else 0
-                auto = float(np.mean([(codes[lag:] == codes[:-lag]).mean() for lag in range(1, min(LAGS, n // 2) + 1)]))
-    if not text.isascii() and any(n > 1 and "㐀" <= w[0] <= "鿿" for w, n in counts.items()) and any(n > 1 and "㐀" <= w[0] <= "鿿" and len(w) <= 6 for w, n in Counter(text.split()).items()):
-        runs = _HAN_RUN.findall(text)
-        single = [x.strip() for x in _ALONE.findall(text)]
-        if len(single) >= 6 and len(set(single)) <= 0.6 * len(single):
-            alone = len(single) / max(1, len(runs))
-    return pair, share, auto, alone, steady
+    global _CODES
+    if len(_CODES) > MOST_CODES:
+        _CODES = _Codes()
+    r = len(records)
+    terms: list[str] = []
+    sizes, owner = [], []
+    for k, lines in enumerate(records):
+        for x in lines:
+            found = _TERM.findall(x.lower())
+            terms += found
+            sizes.append(len(found))
+            owner.append(k)
+    code = np.fromiter(map(_CODES.__getitem__, terms), dtype=np.int64, count=len(terms))
+    keep = np.flatnonzero(code >= 0)
+    line = np.repeat(np.arange(len(sizes)), sizes)[keep]
+    rec = np.repeat(np.array(owner, dtype=np.int64), sizes)[keep]
+    code = code[keep]
+    n = np.bincount(rec, minlength=r)
+    near, auto, steady = np.zeros(r), np.zeros(r), np.zeros(r)
+    if not len(code):
+        return n, near, auto, steady
+    key = rec * np.int64(len(_CODES.han)) + code
+    order = np.argsort(key, kind="stable")
+    by_key, by_line = key[order], line[order]
+    first = np.ones(len(order), dtype=bool)
+    first[1:] = by_key[1:] != by_key[:-1]
+    in_line = first.copy()
+    in_line[1:] |= by_line[1:] != by_line[:-1]
+    run = np.cumsum(first) - 1
+    times, held = np.bincount(run), np.bincount(run, weights=in_line)
+    strewn = (times > 1) & (times >= IN_LINE * held)
+    counts = np.empty(len(order), dtype=bool)
+    counts[order] = strewn[run]
+    longest = np.minimum(LAGS, np.maximum(n // 2, 1))
+    back = np.zeros(len(order), dtype=bool)
+    for lag in range(1, min(LAGS, len(order) - 1) + 1):
+        at = np.flatnonzero((key[lag:] == key[:-lag]) & counts[lag:]) + lag
+        back[at] = True
+        auto += np.where(lag <= longest, np.bincount(rec[at], minlength=r) / np.maximum(n - lag, 1), 0.0)
+    auto /= longest
+    near = np.bincount(rec, weights=back, minlength=r) / np.maximum(n, 1)
+    starts = np.flatnonzero(first)
+    han = np.bincount(rec, weights=np.frombuffer(bytes(_CODES.han), dtype=np.uint8)[code], minlength=r)
+    of = rec[order[starts]]
+    for k in np.flatnonzero(strewn & (times >= np.maximum(6, TERM_SHARE * n[of])) & (2 * han[of] <= n[of])):
+        # places within the record; a stable order keeps them sorted
+        steady[of[k]] = max(steady[of[k]], steady_share(order[starts[k] : starts[k] + times[k]], int(n[of[k]])))
+    few = n < LEAST_WORDS
+    near[few], auto[few], steady[few] = 0.0, 0.0, 0.0
+    return n, near, auto, steady
 
 
 def _states(text: str) -> bool:
@@ -301,15 +352,21 @@ def link_list(links: list[str | None], site: str) -> bool:
     return outward >= LINKS and outward >= OUTWARD * len(apart)
 
 
-def stuffing(own_lines: list[str]) -> tuple[bool, tuple[float, int, int, float, float, float, float]]:
-    """Whether a record's own lines are mostly keywords, links, tags or products; and the figures behind it.
+def regular(records: list[list[str]]) -> np.ndarray:
+    """Which records repeat their terms with unnatural regularity."""
+    _, near, auto, steady = recurrence(records)
+    return ((near >= NEAR) & (auto >= AUTO)) | (steady > 0)
+
+
+def listed(lines: list[str]) -> bool:
+    """Whether lines are mostly lists without function words: sentences that say something new hold less than SAID of them."""
+    said, total = statement_share(lines, SAID)
+    return said < SAID and total >= LITTLE_TEXT
+
+
+def stuffing(records: list[list[str]]) -> list[bool]:
+    """Whether the own lines of each record are mostly keywords, links, tags or products.
 
-    (a) Lists without function words: sentences that say something new hold less than a third of the characters.
-    (b) Regular recurrence: one pair of content words makes up 9 % of them and words return at the same lags, or Han terms
-    standing alone between sentences keep coming back, or a single term makes up 17 % at steady gaps. A pair or term that comes once in each line is the frame of a log or a list.
+    Unnaturally regular repetition of terms decides first; what is not repeated is a list if it does without function words.
     """
-    said, total = statement_share(own_lines, 0.33)
-    pair, share, auto, alone, steady = recurrence("\n".join(own_lines))
-    listed = said < 0.33 and total >= 60
-    regular = (pair >= 5 and share >= PAIR_SHARE and auto >= 0.02) or alone >= 0.25 or steady > 0
-    return bool(listed or regular), (said, total, pair, share, auto, alone, steady)
+    return [bool(r) or listed(lines) for r, lines in zip(regular(records), records, strict=True)]

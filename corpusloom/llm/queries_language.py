@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import zlib
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.body import Corpus, Judged, corpus, each_slice
-from corpusloom.llm.language import LANGUAGES, SAMPLE, Machines, fit
+from corpusloom.llm.body import Corpus, Judged, corpus, each_slice, stuffed
+from corpusloom.llm.language import LANGUAGES, LINE_CHARS, LINES, RECORD_LINES, SAMPLE, Machines, fit
 from corpusloom.llm.queries_text import doc_site
 from corpusloom.operators.scale import sized
 from corpusloom.sources.tables import table
@@ -14,8 +16,11 @@ from corpusloom.sources.tables import table
 #: A document of fewer characters in own lines has no language; a stretch is an own line of at least so many.
 LEAST_TEXT = 60
 LEAST_LINE = 30
-#: Confidence from which a single own line in another language makes a document a mixed one.
+#: Confidence from which a single own line in another language makes a document of up to CHANCE_LINES lines a mixed one; of more
+#: lines it must be so much surer, or FAIR_PART of the lines must be in that language.
 SURE = 0.8
+CHANCE_LINES = 20
+FAIR_PART = 0.05
 
 
 def labelled(spark: SparkSession, d: str) -> DataFrame:
@@ -36,63 +41,86 @@ def train(c: Corpus, records: DataFrame, sample: int = SAMPLE) -> Machines:
         share = F.when(F.col("label") == lang, F.lit(min(1_000_000, each * 1_000_000 // max(n, 1)))).otherwise(share)
     lines = each_slice(
         c,
-        lambda js, labels: [(label, j.lines[i]) for j, label in zip(js, labels, strict=True) if not j.stuffed for i in j.own() if 15 <= len(j.lines[i]) <= 2000],
+        lambda js, labels: [(label, x) for j, label in zip(*labelled_ones(js, labels), strict=True) for x in drawn(j)],
         "label string, line string",
         [F.col("label")],
         records.where(F.col("label").isin(*LANGUAGES[:5]) & (spread < share)),
     )
-    got = [(r["label"], r["line"]) for r in lines.collect()]
-    return fit(sorted(got, key=lambda x: hash_of(x[1])))
+    # a fixed order that has nothing to do with the documents' order decides which lines are taken
+    ranked = lines.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("line"), "line"))).where(F.col("r") <= 2 * LINES)
+    return fit([(r["label"], r["line"]) for r in ranked.orderBy("label", "r").select("label", "line").collect()])
+
+
+def drawn(j: Judged) -> list[str]:
+    """The own lines of a record for the sample: at most RECORD_LINES, in an order of their content, each cut to LINE_CHARS."""
+    own = sorted((j.lines[i][:LINE_CHARS] for i in j.own() if len(j.lines[i]) >= 15), key=lambda x: zlib.crc32(x.encode("utf-8", "surrogatepass")))
+    return own[:RECORD_LINES]
+
+
+def labelled_ones(js: list[Judged], labels: list[str]) -> tuple[list[Judged], list[str]]:
+    """The records that are not stuffed, and their labels."""
+    kept = [(j, x) for j, x, bad in zip(js, labels, stuffed(js), strict=True) if not bad]
+    return [j for j, _ in kept], [x for _, x in kept]
 
 
-def hash_of(line: str) -> int:
-    """A fixed order that has nothing to do with the documents' order."""
-    import zlib
+def others(said: list[tuple[int, str | None, float]], main: str) -> set[str]:
+    """Languages beside `main` that lines (length, language, confidence) bring into a document.
 
-    return zlib.crc32(line.encode("utf-8", "surrogatepass"))
+    A short line is not enough, and the more lines there are the surer one must be, as some are mistaken by chance; or a
+    language has a fair part of them.
+    """
+    n = sum(lang is not None for _, lang, _ in said)
+    sure = 1 - (1 - SURE) * min(1.0, CHANCE_LINES / max(n, 1))
+    votes: dict[str, int] = {}
+    out = set()
+    for size, lang, c in said:
+        if lang is None or lang == main:
+            continue
+        if c >= SURE and size >= (LEAST_TEXT if lang != "zh" else LEAST_LINE) or c >= 0.95 and size >= 45:
+            votes[lang] = votes.get(lang, 0) + 1
+            if c >= sure:
+                out.add(lang)
+    return out | {lang for lang, k in votes.items() if k >= FAIR_PART * n}
 
 
-def judge_languages(js: list[Judged], labels: list[str | None], m: Machines) -> list[tuple]:
+def judge_languages(js: list[Judged], labels: list[str | None], m: Machines, cases: bool = False) -> list[tuple]:
     """(id, line_no, language, confidence, label) of records with enough own text: line_no -1 is the main language, and own lines
-    from LEAST_LINE on follow if the record is a mixed one. The lines of all records are classified together."""
+    from LEAST_LINE on follow if the record is a mixed one. The lines of all records are classified together. With `cases` only
+    records with a missing or wrong label and mixed ones remain. Whether a record is stuffed is asked at the end, of those left."""
     texts, spans = [], []
     for j in js:
-        own = [] if j.stuffed else [(i, j.lines[i].strip()) for i in j.own()]
+        own = [(i, j.lines[i].strip()) for i in j.own()]
         own = own if sum(len(x) for _, x in own) >= LEAST_TEXT else []
         spans.append(own)
         texts += [x for _, x in own]
     langs, conf = m.classify(texts)
-    out, at = [], 0
+    found: list[tuple[Judged, list[tuple]]] = []
+    at = 0
     for j, label, own in zip(js, labels, spans, strict=True):
         part, sures = langs[at : at + len(own)], conf[at : at + len(own)].tolist()
         at += len(own)
-        if len(set(part)) == 1:
-            if part[0]:
-                sizes = [len(x) for _, x in own]
-                out.append((j.id, -1, part[0], sum(map(float.__mul__, map(float, sizes), sures)) / sum(sizes), label))
-            continue
-        said = list(zip(own, part, sures, strict=True))
         weight: dict[str, float] = {}
         sure: dict[str, float] = {}
-        for (_, x), lang, c in said:
+        for (_, x), lang, c in zip(own, part, sures, strict=True):
             if lang:
                 weight[lang] = weight.get(lang, 0.0) + len(x)
                 sure[lang] = sure.get(lang, 0.0) + len(x) * c
         if not weight:
             continue
         main = min(weight, key=lambda x: (-weight[x], x))
-        out.append((j.id, -1, main, sure[main] / sum(weight.values()), label))
-        if len(weight) == 1:
-            continue
-        # a short line is not enough to bring in another language; it has one of those that longer lines have
-        known = {lang for (_, x), lang, c in said if lang and (c >= SURE and len(x) >= (LEAST_TEXT if lang != "zh" else LEAST_LINE) or c >= 0.95 and len(x) >= 45)} | {main}
-        rows = [(i, lang if lang in known and (c >= 0.7 or len(x) >= LEAST_TEXT) else main, c) for (i, x), lang, c in said if lang and len(x) >= LEAST_LINE]
-        if any(lang != main for _, lang, _ in rows):
-            out += [(j.id, i, lang, c, label) for i, lang, c in rows]
-    return out
-
-
-def languages(spark: SparkSession, d: str) -> DataFrame:
+        rows = []
+        if len(weight) > 1:
+            known = others([(len(x), lang, c) for (_, x), lang, c in zip(own, part, sures, strict=True)], main) | {main}
+            if len(known) > 1:
+                rows = [(j.id, i, lang if lang in known and (c >= 0.7 or len(x) >= LEAST_TEXT) else main, c, label) for (i, x), lang, c in zip(own, part, sures, strict=True) if lang and len(x) >= LEAST_LINE]
+                rows = rows if any(r[2] != main for r in rows) else []
+        if rows or not cases or label != main:
+            found.append((j, [(j.id, -1, main, sure[main] / sum(weight.values()), label), *rows]))
+    clean = stuffed([j for j, _ in found])
+    return [r for (_, rows), bad in zip(found, clean, strict=True) if not bad for r in rows]
+
+
+def languages(spark: SparkSession, d: str, cases: bool = False) -> DataFrame:
     """(id, line_no, lang, confidence, label): line_no -1 is the document; one row for each own line of mixed ones."""
     docs = labelled(spark, d)
     c = corpus(docs, "doc_id", doc_site())
@@ -100,7 +128,7 @@ def languages(spark: SparkSession, d: str) -> DataFrame:
     m = spark.sparkContext.broadcast(train(c, records))
     return each_slice(
         c,
-        lambda js, labels: judge_languages(js, labels, m.value),
+        lambda js, labels: judge_languages(js, labels, m.value, cases),
         "id bigint, line_no bigint, lang string, confidence double, label string",
         [F.col("label")],
         records,
@@ -109,7 +137,7 @@ def languages(spark: SparkSession, d: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents with a missing or wrong label, and the own lines of mixed documents."""
-    rows = languages(spark, d)
+    rows = languages(spark, d, True)
     wrong = (F.col("line_no") == -1) & ~F.col("label").eqNullSafe(F.col("lang"))
     return rows.where(wrong | (F.col("line_no") >= 0)).select(F.col("id").alias("doc_id"), "line_no", "lang")
 

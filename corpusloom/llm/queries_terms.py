@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.terms import current_postings, last_seen_counts, log_entropy, marked_terms
+from corpusloom.llm.terms import current_postings, current_rows, last_seen_counts, log_entropy, marked_terms
 from corpusloom.operators.scale import hot_keys, salted_join
 from corpusloom.sources.tables import table
 
@@ -36,12 +36,12 @@ def p3_hits(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Terms too rare or too common to be useful."""
-    return marked_terms(current_postings(table(spark, d, "postings"))).where(F.col("mark").isNotNull()).select("term", "mark")
+    return marked_terms(current_rows(table(spark, d, "postings"))).where(F.col("mark").isNotNull()).select("term", "mark")
 
 
 def p4_counts(spark: SparkSession, d: str) -> DataFrame:
     """Occurrences and documents of every term, with its mark."""
-    return marked_terms(current_postings(table(spark, d, "postings"))).select("term", "freq", "n_docs", "mark")
+    return marked_terms(current_rows(table(spark, d, "postings"))).select("term", "freq", "n_docs", "mark")
 
 
 def p4_reports(spark: SparkSession, d: str) -> DataFrame:
@@ -54,7 +54,7 @@ def p4_reports(spark: SparkSession, d: str) -> DataFrame:
         .groupBy("term")
         .agg(F.sum("freq").alias("reported"), F.count(F.lit(1)).alias("n_shards"))
     )
-    true = last_seen_counts(current_postings(table(spark, d, "postings")))
+    true = last_seen_counts(current_rows(table(spark, d, "postings")))
     return said.join(true, "term", "left").select("term", "reported", "n_shards", F.col("freq").alias("true_freq"), "n_docs")
 
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.encode import encode
 from corpusloom.llm.lines import host_site
-from corpusloom.llm.mix import mix, reached, source_sizes, temperature
-from corpusloom.sources.tables import table
+from corpusloom.llm.mix import mix, reached, source_sizes, temperature, tempered_targets
+from corpusloom.sources.tables import stored, table
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -34,18 +34,25 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stored_mix(spark: SparkSession, d: str) -> DataFrame:
-    from corpusloom.sources.tables import stored
-
     return stored(mix(_sizes(spark, d), table(spark, d, "mix_targets")), "mix")
 
 
+def p9_tempered(spark: SparkSession, d: str) -> DataFrame:
+    """Temperature mixing: weights are the sources' token shares to the power whose entropy is that of the targets, realised under
+    the repetition limits; the shares really reached beside them."""
+    sizes, targets = _sizes(spark, d), table(spark, d, "mix_targets")
+    exponent, weights = tempered_targets(sizes, targets)
+    got = reached(stored(mix(sizes, weights), "mix"), weights)
+    return got.select("source", F.lit(exponent).alias("exponent"), F.col("target_share").alias("weight"), "tokens", "share", "n_docs", "most_times")
+
+
 def p9_temperature(spark: SparkSession, d: str) -> DataFrame:
-    """Weights by temperature: the flattest mix of the corpus' own size that repeats no source more than its limit."""
+    """Weights by temperature: the flattest mix of half the corpus' size that repeats no source more than its limit."""
     sizes = {r["source"]: float(r["n"]) for r in _sizes(spark, d).groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
     limits = {r["source"]: float(r["max_repeats"] or 1) for r in table(spark, d, "mix_targets").collect()}
-    exponent, weights = temperature(sizes, repeats=limits, budget=sum(sizes.values()))
+    exponent, weights = temperature(sizes, repeats=limits, budget=sum(sizes.values()) / 2)
     return spark.createDataFrame([(s, sizes[s], exponent, w) for s, w in sorted(weights.items())], "source string, tokens double, exponent double, weight double")
 
 
-QUERIES = {"p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_temperature": p9_temperature}
+QUERIES = {"p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_temperature": p9_temperature, "p9_tempered": p9_tempered}
 SQL: dict[str, str] = {}

@@ -11,37 +11,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.operators.scale import hot_keys, salt, salted_join
+from corpusloom.operators.scale import hot_keys, is_small, salt, salted_join
 from corpusloom.sources.tables import stored
 
 
-def current_postings(postings: DataFrame) -> DataFrame:
-    """(term, doc_id, freq): the latest version of each document, each term once; stored, as several steps read it.
+def current_rows(postings: DataFrame) -> DataFrame:
+    """(term, doc_id, freq): the stored rows of the latest version of each document, repeats included; nothing is grouped by pair.
 
-    The first grouping is by (term, doc_id), which no heavy term or document can skew; documents that own a large part
-    of the rows are spread over salted tasks in the join with their latest version.
+    Only (doc_id, latest time) is aggregated. It is sent to all tasks if it is small; otherwise documents that own a large part of
+    the rows are spread over salted tasks.
     """
     at = F.coalesce(F.col("indexed_at").cast("timestamp"), F.lit("0001-01-01").cast("timestamp"))
     rows = postings.where(F.col("term").isNotNull() & F.col("doc_id").isNotNull()).select("term", "doc_id", F.coalesce("freq", F.lit(0)).cast("bigint").alias("freq"), at.alias("at"))
-    latest = rows.groupBy("doc_id").agg(F.max("at").alias("latest"))
-    once = rows.groupBy("term", "doc_id").agg(F.max(F.struct("at", "freq")).alias("v")).select("term", "doc_id", "v.at", "v.freq")
-    joined = salted_join(once, latest, "doc_id", "term", hot_keys(rows, "doc_id"), "inner")
-    return stored(joined.where(F.col("at") == F.col("latest")).select("term", "doc_id", "freq"), "postings")
+    latest = stored(rows.groupBy("doc_id").agg(F.max("at").alias("latest")), "latest")
+    joined = rows.join(F.broadcast(latest), "doc_id") if is_small(latest, 200_000) else salted_join(rows, latest, "doc_id", "term", hot_keys(rows, "doc_id"), "inner")
+    return joined.where(F.col("at") == F.col("latest")).select("term", "doc_id", "freq")
+
+
+def current_postings(postings: DataFrame) -> DataFrame:
+    """(term, doc_id, freq): the latest version of each document, each term once; stored, as several steps read it.
+
+    The grouping is by (term, doc_id), which no heavy term or document can skew.
+    """
+    return stored(current_rows(postings).groupBy("term", "doc_id").agg(F.max("freq").alias("freq")), "postings")
 
 
-def last_seen_counts(current: DataFrame) -> DataFrame:
-    """(term, freq, n_docs): occurrences and records of every term by last-seen counters.
+def last_seen_counts(rows: DataFrame, hot: list | None = None) -> DataFrame:
+    """(term, freq, n_docs): occurrences and records of every term by last-seen counters over stored rows with repeats.
 
-    Tokens are hash-partitioned by term and ordered by record. Walking along, a term adds to its occurrences and adds
-    one record whenever the record differs from the one last seen, so no set of records is kept. Heavy terms are spread
-    by a hash of the record: a record falls into one part, so the parts' counters add up.
+    Rows are hash-partitioned by term and ordered by record, the largest freq first. Walking along, a term counts a row only if
+    its record differs from the one last seen: then its occurrences are added and one record; a repeat adds nothing. So neither
+    pairs are grouped nor sets of records kept. Heavy terms are spread by a hash of the record: all rows of a record fall into
+    one part, so the parts' counters add up.
     """
-    hot = hot_keys(current, "term")
-    part = current.withColumn("__part", salt(F.col("term"), hot, F.col("doc_id")))
-    seen = F.lag("doc_id").over(Window.partitionBy("term", "__part").orderBy("doc_id"))
-    new = F.when(seen.isNull() | (seen != F.col("doc_id")), 1).otherwise(0)
+    hot = hot_keys(rows, "term") if hot is None else hot
+    part = rows.withColumn("__part", salt(F.col("term"), hot, F.col("doc_id")))
+    seen = F.lag("doc_id").over(Window.partitionBy("term", "__part").orderBy("doc_id", F.desc("freq")))
+    new = seen.isNull() | (seen != F.col("doc_id"))
     return (
-        part.select("term", "__part", "freq", new.alias("new"))
+        part.select("term", "__part", F.when(new, F.col("freq")).otherwise(0).alias("freq"), F.when(new, 1).otherwise(0).alias("new"))
         .groupBy("term", "__part")
         .agg(F.sum("freq").alias("freq"), F.sum("new").alias("n_docs"))
         .groupBy("term")
@@ -49,11 +57,11 @@ def last_seen_counts(current: DataFrame) -> DataFrame:
     )
 
 
-def marked_terms(current: DataFrame, rare_docs: int = 2, common_share: float = 0.3, n_docs: int | None = None) -> DataFrame:
+def marked_terms(rows: DataFrame, rare_docs: int = 2, common_share: float = 0.3, n_docs: int | None = None) -> DataFrame:
     """The counts with `mark`: rare (in at most `rare_docs` records), common (in more than `common_share` of them) or null."""
-    n = current.select(F.count_distinct("doc_id")).first()[0] if n_docs is None else n_docs
+    n = rows.select(F.count_distinct("doc_id")).first()[0] if n_docs is None else n_docs
     mark = F.when(F.col("n_docs") > F.lit(n * common_share), "common").when(F.col("n_docs") <= rare_docs, "rare")
-    return last_seen_counts(current).withColumn("mark", mark)
+    return last_seen_counts(rows).withColumn("mark", mark)
 
 
 def log_entropy(current: DataFrame) -> DataFrame:

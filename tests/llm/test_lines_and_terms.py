@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.llm.lines import host_site, line_table, repeated_lines, site_lines, without_site_lines
-from corpusloom.llm.terms import current_postings, last_seen_counts, log_entropy, marked_terms
+from corpusloom.llm.terms import current_postings, current_rows, last_seen_counts, log_entropy, marked_terms
 
 SCHEMA = "doc_id long, url string, source string, text string, key string, own string, site string"
 
@@ -145,3 +145,73 @@ def test_terms_of_nothing(spark):
     assert last_seen_counts(none).collect() == [] and log_entropy(none).collect() == [] and marked_terms(none).collect() == []
     single = current_postings(postings(spark, [("a", 1, 1, "2024-01-01")]))
     assert log_entropy(single).first()["weight"] == pytest.approx(1.0)
+
+
+def test_counters_walk_over_stored_rows(spark):
+    """Repeats reach the counters; counting rows instead of comparing with the record last seen gives other results."""
+    rows = sample()
+    want = truth(rows)
+    freq, docs = Counter(), Counter()
+    for (t, _), f in want.items():
+        freq[t] += f
+        docs[t] += 1
+    raw = current_rows(postings(spark, rows))
+    assert raw.count() > len(want)
+    for hot in ([], ["t0", "t1"]):
+        assert {r["term"]: (r["freq"], r["n_docs"]) for r in last_seen_counts(raw, hot).collect()} == {t: (freq[t], docs[t]) for t in docs}
+    assert {r["term"]: r["count"] for r in raw.groupBy("term").count().collect()} != dict(docs)
+    marks = {r["term"]: r["mark"] for r in marked_terms(raw).collect()}
+    n = len({d for _, d in want})
+    assert marks == {t: "common" if k > 0.3 * n else "rare" if k <= 2 else None for t, k in docs.items()}
+
+
+def test_significance_decides(spark):
+    """Lines that are as common elsewhere are no site's own; share and count alone would take them."""
+    lines = line_table(spark.createDataFrame(corpus(), SCHEMA), "doc_id", site())
+    ours, plain = ({(r["site"], r["key"]) for r in site_lines(lines, tested=t).collect()} for t in (True, False))
+    assert ours < plain and len(ours) == 4
+
+
+def test_ranking_covers_all_pairs(spark):
+    """The threshold is that of Benjamini-Hochberg over every (site, line) pair, singletons too."""
+    from corpusloom.llm.lines import FDR, line_counts, site_sizes
+
+    lines = line_table(spark.createDataFrame(corpus(), SCHEMA), "doc_id", site())
+    sizes = {r["site"]: r["d_site"] for r in site_sizes(lines).collect()}
+    pairs = [(r["site"], r["key"], r["d_in"]) for r in line_counts(lines).collect()]
+    whole, total = Counter(), sum(sizes.values())
+    for _, k, d in pairs:
+        whole[k] += d
+
+    def root(s, k, a):
+        n, b = sizes[s], whole[k] - a
+        m = total - n
+        if a * m <= b * n:
+            return 0.0
+        q = (a + b) / (n + m)
+        part = lambda x, y: (x * math.log(x / (y * q)) if x else 0.0) + ((y - x) * math.log((y - x) / (y * (1 - q))) if x < y else 0.0)
+        return math.sqrt(max(2 * (part(a, n) + part(b, m)), 0.0))
+
+    z = sorted((root(*p) for p in pairs), reverse=True)
+    accepted = [x for i, x in enumerate(z, 1) if math.erfc(x / math.sqrt(2)) <= FDR * i / len(z)]
+    found = site_lines(lines, share=0.0, least=1)
+    assert found.count() == pytest.approx(len(accepted), abs=max(3, 0.02 * len(accepted)))
+
+
+def test_lines_without_broadcast(spark, monkeypatch):
+    """The way for site lines too many to send gives the same."""
+    df = spark.createDataFrame(corpus(), SCHEMA)
+    lines = line_table(df, "doc_id", site())
+    found = site_lines(lines)
+    one = sorted(map(tuple, repeated_lines(lines, found).collect())), sorted(map(str, without_site_lines(df, "doc_id", site(), found).collect()))
+    monkeypatch.setattr("corpusloom.llm.lines.is_small", lambda *_: False)
+    two = sorted(map(tuple, repeated_lines(lines, found).collect())), sorted(map(str, without_site_lines(df, "doc_id", site(), found).collect()))
+    assert one == two and len(one[1]) == len(corpus())
+
+
+def test_text_of_nothing_but_site_lines(spark):
+    rows = [(i, "http://a.test/x", "a", "Copyright 1 by House A", None, None, None) for i in range(6)] + [(100 + i, "http://b.test/x", "b", f"line {chr(97 + i)}", None, None, None) for i in range(20)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = site_lines(line_table(df.withColumn("doc_id", F.col("doc_id")), "doc_id", site()), fdr=0.5)
+    got = {r["id"]: (r["n_removed"], r["clean"]) for r in without_site_lines(df, "doc_id", site(), found).collect()}
+    assert len(got) == 26 and all(got[i] in ((1, ""), (0, "Copyright 1 by House A")) for i in range(6))

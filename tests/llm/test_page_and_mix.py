@@ -4,22 +4,22 @@ from __future__ import annotations
 
 import math
 import random
-import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.llm.body import corpus, furniture, main_body, stuffed_records
 from corpusloom.llm.mix import mix, plan, reached, temperature
-from corpusloom.llm.page import Known, kinds, regularity, statement_share, stuffing, word_counts
+from corpusloom.llm.page import Known, kinds, recurrence, statement_share, stuffing
 
 PROSE = "The queue stores short pages because the reader checks old entries before the next round, and nobody noticed what happened to them."
-KNOWN = Known(frozenset({7}), frozenset({"The queue"}), frozenset({"Short pages"}))
+KNOWN = Known(frozenset({7}), {"The queue": 60}, {"Short pages": 60})
 
 
-def marks(lines, title=None, own=(), keys=None):
-    return list(kinds(lines, keys or [0] * len(lines), set(own), KNOWN, title))
+def marks(lines, title=None, own=(), keys=None, **more):
+    """2 for everything outside the body, whatever put it there."""
+    return [min(k, 2) for k in kinds(lines, keys or [0] * len(lines), set(own), KNOWN, title, **more)]
 
 
 def test_menu_path_byline_teaser_and_headline():
@@ -64,19 +64,20 @@ def spam(kind, seed=0):
 
 @pytest.mark.parametrize("kind", ["list", "tags", "links", "products", "again", "strewn"])
 def test_stuffed(kind):
-    assert all(stuffing(spam(kind, s))[0] for s in range(5))
+    assert stuffing([spam(kind, s) for s in range(5)]) == [True] * 5
 
 
 def test_not_stuffed():
     logs = [f"* {i}.1.2: The reader number{chr(97 + i)} stores old entries of host{chr(97 + i)} in the cache." for i in range(20)]
     refs = [f"[{i}] The archive of town{chr(97 + i)} keeps a list of its pages. https://a{i}.example/b" for i in range(10)]
     for lines in ([PROSE], [PROSE, "4.2 short pages – Name"], logs, refs, [], [""], ["OK"], ["404"], ["抓取程序在下一轮之前保存多个快照。归档库在高负载下检查过期的条目。"]):
-        assert not stuffing(lines)[0], lines
+        assert not stuffing([lines])[0], lines
 
 
 def test_figures():
     assert statement_share([]) == (1.0, 0)
-    assert regularity("") == (0, 0.0, 0.0, 0.0)
+    assert [list(x) for x in recurrence([[], [""], ["of the"]])] == [[0, 0, 0]] + [[0.0, 0.0, 0.0]] * 3
+    assert stuffing([]) == []
     said, total = statement_share([PROSE, "a b c"])
     assert said == pytest.approx(len(PROSE) / (len(PROSE) + 5)) and total == len(PROSE) + 5
 
@@ -187,10 +188,8 @@ def test_pairs_are_counted_whatever_joins_them(form):
     lines = []
     for k in range(6):
         lines.append(" ".join(f"The {rng.choice(names)} of the {rng.choice(names)} is what {rng.choice(names)} has, and it was not {form.format(*(('Casino', 'bonus'), ('CASINO', 'Bonus'))[(k + j) % 2])} so." for j in range(3)))
-    pair, share, auto, _ = regularity("\n".join(lines))
-    assert pair == 18 and share >= 0.09 and auto >= 0.02 and stuffing(lines)[0]
-    words = "a,b;c (d) e_f #g-h don’t 12x3 é́ \u4e2d\u6587，中文 A.a\n x²" * 3
-    assert word_counts(words.lower()) == Counter(re.findall(r"[^\W\d_]+", words.lower()))
+    _, near, auto, _ = recurrence([lines])
+    assert near[0] >= 0.39 and auto[0] >= 0.03 and stuffing([lines])[0]
 
 
 def test_single_terms_at_steady_gaps():
@@ -198,11 +197,108 @@ def test_single_terms_at_steady_gaps():
     word = lambda k: "".join("bcdfghklmn"[int(x)] + "aeiou"[int(x) % 5] for x in str(1000 + k))
     said = lambda k, key: f"The {word(5 * k)} of the {key} is what the {word(5 * k + 1)} has, and the {word(5 * k + 2)} was not in the {word(5 * k + 3)}."
     lines = [" ".join(said(5 * i + j, "casino") for j in range(5)) for i in range(4)]
-    assert regularity("\n".join(lines))[0] < 5 and stuffing(lines)[0]
+    n, near, _, steady = recurrence([lines])
+    assert near[0] < 0.39 and steady[0] == pytest.approx(20 / n[0]) and stuffing([lines])[0]
     # once in each line, at chance gaps or as seldom as a subject it is no stuffing
-    assert not stuffing([said(k, "casino") for k in range(20)])[0]
-    assert not stuffing([" ".join(said(5 * i + j, "casino" if j < 2 else word(900 + 5 * i + j)) for j in range(5)) for i in range(4)])[0]
+    assert not stuffing([[said(k, "casino") for k in range(20)]])[0]
+    assert not stuffing([[" ".join(said(5 * i + j, "casino" if j < 2 else word(900 + 5 * i + j)) for j in range(5)) for i in range(4)]])[0]
     rng = random.Random(3)
     at = set(rng.sample(range(400), 80))
     chance = ["The " + " of the ".join("casino" if k in at else word(1000 + k) for k in range(400)) + "."]
-    assert not stuffing(chance)[0]
+    assert not stuffing([chance])[0]
+
+
+def brute(lines):
+    """Figures of `recurrence` by loops over the places of one record."""
+    import re
+
+    from corpusloom.llm.page import FUNCTION_WORDS, IN_LINE, LAGS
+
+    placed = [(w, i) for i, x in enumerate(lines) for w in re.findall(r"[^\W\d_㐀-鿿]+|[㐀-鿿]+", x.lower()) if w not in FUNCTION_WORDS]
+    n, words = len(placed), [w for w, _ in placed]
+    strewn = {w for w in set(words) if words.count(w) > 1 and words.count(w) >= IN_LINE * len({i for x, i in placed if x == w})}
+    near = sum(w in strewn and w in words[max(0, at - LAGS) : at] for at, w in enumerate(words)) / max(n, 1)
+    lags = range(1, min(LAGS, max(n // 2, 1)) + 1)
+    auto = sum(sum(words[at] in strewn and words[at] == words[at - lag] for at in range(lag, n)) / max(n - lag, 1) for lag in lags) / len(lags)
+    return (n, near, auto) if n >= 12 else (n, 0.0, 0.0)
+
+
+def test_recurrence_against_brute_force():
+    rng = random.Random(9)
+    records = [[" ".join(rng.choice(["alpha", "beta", "gamma", "the", "delta", "数据", "x1y"]) for _ in range(rng.randrange(0, 30))) for _ in range(rng.randrange(0, 5))] for _ in range(40)]
+    records += [spam(k, 3) for k in ("list", "tags", "links", "products", "again", "strewn")] + [[PROSE] * 3]
+    n, near, auto, _ = recurrence(records)
+    for k, lines in enumerate(records):
+        assert (n[k], near[k], auto[k]) == pytest.approx(brute(lines)), lines
+
+
+def test_recurrence_decides(monkeypatch):
+    """Without gaps and autocorrelation keywords strewn into sentences are not found; lists of distinct nouns still are."""
+    strewn, distinct = [spam("strewn", s) for s in range(5)], [", ".join(f"{a}{b} lamp" for a in "bcdfg" for b in "aeiou")]
+    assert stuffing([*strewn, distinct]) == [True] * 6
+    monkeypatch.setattr("corpusloom.llm.page.regular", lambda records: [False] * len(records))
+    assert stuffing([*strewn, distinct]) == [False] * 5 + [True]
+
+
+def test_windows_decide():
+    """Without surge and dive the short lines around the body stay."""
+    lines = ["Login", "Jobs", "By A B, 2024-01-02, 3 min", PROSE, "4.2 Release notes", PROSE, "Prices", "Contact"]
+    assert marks(lines) == [2, 2, 2, 1, 1, 1, 2, 2]
+    assert marks(lines, windows=False) == [1] * 8
+
+
+def test_length_of_lines_does_not_matter():
+    menu = " | ".join(f"Place {a}{b}" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrst")
+    tag = "<a href='http://x.test/" + "y" * 500 + "'>Home</a>"
+    assert len(menu) > 5000
+    assert marks([menu, PROSE, menu, PROSE, menu]) == [2, 1, 2, 1, 2]
+    assert marks([tag, PROSE]) == [2, 1] and marks([f"<p class='{'z' * 900}'>{PROSE}</p>", "Home"]) == [1, 2]
+    related = "Related articles that other readers of these pages have liked a lot: " + " · ".join(["The queue: old entries"] * 20)
+    assert marks([PROSE, related, PROSE]) == [1, 2, 1]
+
+
+def test_log_entries_with_dates_belong_to_the_body():
+    lines = [f"2024-01-{k:02d} Released the fix of parser {chr(97 + k)}" for k in range(1, 9)]
+    assert marks(lines) == [1] * 8
+
+
+def test_slices_hold_every_row():
+    from corpusloom.llm.body import SLICE_CHARS, slices
+
+    assert list(slices([])) == [] and list(slices([3, SLICE_CHARS + 1, 4])) == [(0, 1), (1, 2), (2, 3)]
+    sizes = [7] * 600
+    assert [stop - start for start, stop in slices(sizes)] == [256, 256, 88]
+
+
+def test_mix_passes_over_what_does_not_fit(spark):
+    """One document larger than the source's quota does not end the selection."""
+    rows = [(i, "a", 1000) for i in range(250)] + [(900, "a", 90_000)] + [(1000 + i, "b", 500) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, source string, n_tokens long")
+    targets = spark.createDataFrame([("a", 0.25, 1), ("b", 0.75, 1)], "source string, target_share double, max_repeats int")
+    for seed in range(3):
+        got = {r["source"]: r["share"] for r in reached(mix(df, targets, seed=seed), targets).collect()}
+        assert got["a"] == pytest.approx(0.25, rel=0.01) and got["b"] == pytest.approx(0.75, rel=0.01)
+
+
+def test_sizes_of_repeated_ids_stay_with_their_source(spark):
+    from corpusloom.llm.mix import source_sizes
+
+    rows = [(1, "a", "one two three"), (1, "b", "one"), (1, "c", None), (2, "a", "word " * 30_000), (2, "b", "word " * 30_000), (2, "b", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = sorted((r["id"], r["source"], r["n_tokens"]) for r in source_sizes(df, "doc_id", F.col("source")).collect())
+    assert [g[:2] for g in got] == [(1, "a"), (1, "b"), (1, "c"), (2, "a"), (2, "b"), (2, "b")]
+    assert got[0][2] == 3 and got[1][2] == 1 and got[2][2] == 0 and got[3][2] == got[5][2] > 30_000 - 1 and got[4][2] == 1
+
+
+def test_tempered_weights_are_realised(spark):
+    from corpusloom.llm.mix import tempered_targets
+
+    df, _ = sizes(spark)
+    targets = spark.createDataFrame([("a", 0.1, 3), ("b", 0.2, 2), ("c", 0.7, None)], "source string, target_share double, max_repeats int")
+    for wanted in (None, 0.4, 1.0):
+        exponent, weights = tempered_targets(df, targets, wanted)
+        shares = [r["target_share"] for r in weights.collect()]
+        entropy = -sum(x * math.log(x) for x in (0.1, 0.2, 0.7)) if wanted is None else wanted
+        assert -sum(x * math.log(x) for x in shares) == pytest.approx(entropy, abs=1e-6) and exponent > 0
+        for r in reached(mix(df, weights), weights).collect():
+            assert r["share"] == pytest.approx(r["target_share"], rel=0.01)
