@@ -39,7 +39,7 @@ def media_type(content_type: Column) -> Column:
 
 def charset_param(content_type: Column) -> Column:
     """The last charset parameter in lower case, without quotes; empty without one."""
-    params = F.slice(F.split(F.coalesce(content_type, F.lit("")), ";"), 2, 1_000)
+    params = F.filter(F.split(F.coalesce(content_type, F.lit("")), ";"), lambda p, i: i > 0)
     found = F.filter(F.transform(params, lambda p: F.lower(F.trim(p))), lambda p: p.startswith("charset="))
     return F.coalesce(F.trim(F.regexp_replace(F.try_element_at(found, F.lit(-1)), r"""^charset=["' ]*|["' ]+$""", "")), F.lit(""))
 
@@ -97,9 +97,13 @@ def charset_of_header(content_type: Column) -> Column:
     return F.coalesce(normalize_charset(F.regexp_replace(first, """^charset=["']*|["']+$""", "")), F.lit(""))
 
 
-def charset_of_page(page: Column) -> Column:
-    """What follows the first charset= in the first 4096 characters; empty without one."""
-    head = F.lower(F.left(page, F.lit(4096)))
+#: Characters of a page that are searched for its character set unless another limit is given; None searches all.
+HEAD_LIMIT = 4096
+
+
+def charset_of_page(page: Column, limit: int | None = HEAD_LIMIT) -> Column:
+    """What follows the first charset= in the first `limit` characters; empty without one."""
+    head = F.lower(page if limit is None else F.left(page, F.lit(limit)))
     return F.coalesce(normalize_charset(F.regexp_extract(head, """charset=[ \\t"']*([^"' ;>]*)""", 1)), F.lit(""))
 
 
@@ -112,6 +116,11 @@ def detect_charset(page: Column, content_type: Column) -> Column:
     return F.coalesce(F.nullif(charset_of_header(content_type), F.lit("")), F.nullif(charset_of_page(page), F.lit("")), F.when(F.is_valid_utf8(page), "utf-8"), F.lit(""))
 
 
+def decoded(body: Column, charset: Column | None = None) -> Column:
+    """The text of a body: its bytes as UTF-8 whatever the character set is said to be, invalid ones replaced."""
+    return F.make_valid_utf8(body.cast("string"))
+
+
 def sniff_html(page: Column) -> Column:
     head = F.left(F.trim(F.lower(page)), F.lit(256))
     return head.contains("<html") | head.contains("<!doctype html")

@@ -55,13 +55,16 @@ def query_terms(text: Column) -> Column:
     return F.array_distinct(tokenize(text))
 
 
-def tokens_of(text: str) -> list[str]:
-    """The same tokens for a single string on the driver, where a query arrives."""
-    low = text.replace("İ", "i").lower()
-    out: list[str] = []
-    for run in re.findall(r"[⺀-⿕々〇〡-〩〸-〻㐀-䶿一-鿿豈-龎\U00020000-\U000323af]+", low):
-        out += [run] if len(run) == 1 else [run[i : i + 2] for i in range(len(run) - 1)]
-    for w in re.findall("[a-z0-9]+", low):
+_HAN_RUN = re.compile(r"[⺀-⿕々〇〡-〩〸-〻㐀-䶿一-鿿豈-龎\U00020000-\U000323af]+")
+_LATIN_RUN = re.compile("[a-z0-9]+")
+_STOPPED = frozenset(STOP_WORDS)
+
+
+class _Stems(dict):
+    """The token of each Latin word, empty for those that are not indexed; made when first asked for."""
+
+    def __missing__(self, word: str) -> str:
+        w = word
         if len(w) > 4 and w.endswith("ies"):
             w = w[:-3] + "y"
         elif len(w) > 5 and w.endswith("ing"):
@@ -70,9 +73,26 @@ def tokens_of(text: str) -> list[str]:
             w = w[:-2]
         elif len(w) > 3 and w.endswith("s") and not w.endswith("ss"):
             w = w[:-1]
-        if len(w) >= 2 and w not in STOP_WORDS:
-            out.append(w)
-    return out
+        w = w if len(w) >= 2 and w not in _STOPPED else ""
+        if len(self) > 1_000_000:  # bounded in long running workers
+            self.clear()
+        self[word] = w
+        return w
+
+
+_STEMS = _Stems()
+
+
+def tokens_of(text: str) -> list[str]:
+    """The same tokens for a single string: of a query on the driver, or of a text in an Arrow batch."""
+    low = (text.replace("İ", "i") if "İ" in text else text).lower()
+    out = [w for w in map(_STEMS.__getitem__, _LATIN_RUN.findall(low)) if w]
+    if low.isascii():
+        return out
+    han: list[str] = []
+    for run in _HAN_RUN.findall(low):
+        han += [run] if len(run) == 1 else [run[i : i + 2] for i in range(len(run) - 1)]
+    return han + out
 
 
 def escape_html(text: Column) -> Column:

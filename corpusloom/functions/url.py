@@ -12,7 +12,7 @@ import re
 from urllib.parse import parse_qsl, quote, unquote, urlencode, urlsplit
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # fixed values: paths with these endings are not pages
@@ -150,6 +150,22 @@ def canonical_url(url: Column) -> Column:
     return _batched(canonical_one)(url)
 
 
+#: An address in which nothing needs escaping or resolving beyond what the column expression does.
+_PLAIN = r"^(?i:https?)://[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[A-Za-z0-9/._~-]*)?(?:\?[A-Za-z0-9._~&=-]*)?(?:#[A-Za-z0-9/._~&=?-]*)?$"
+
+
+def with_keys(rows: DataFrame, *columns: str) -> DataFrame:
+    """`rows` with the addresses in `columns` turned into their crawl keys; rows with an address that has none are left out.
+
+    Plain addresses, nearly all, stay in the JVM; only the others go through Arrow batches.
+    """
+    for c in columns:
+        plain = F.coalesce(F.col(c).rlike(_PLAIN), F.lit(False))
+        one = rows.where(plain).withColumn(c, normalize_plain(F.col(c)))
+        rows = one.unionByName(rows.where(~plain & F.col(c).isNotNull()).withColumn(c, normalize_url(F.col(c)))).where(F.col(c).isNotNull())
+    return rows
+
+
 def strip_fragment(url: Column) -> Column:
     return F.split_part(url, F.lit("#"), F.lit(1))
 

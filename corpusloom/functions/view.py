@@ -37,3 +37,16 @@ def curve(samples: DataFrame, last: int, height: float, span: float) -> DataFram
     i, n = F.row_number().over(every) - 1, F.count(F.lit(1)).over(whole)
     top = F.greatest(F.max(F.coalesce("rps", F.lit(0.0))).over(whole), F.lit(1.0))
     return kept.select("t", (i / F.greatest(n - 1, F.lit(1)) * 100).alias("x"), (F.lit(float(height)) - F.coalesce("rps", F.lit(0.0)) / top * span).alias("y"))
+
+
+def valid_form(seeds: Column, workers: Column, depth: Column, pages: Column) -> Column:
+    """Whether a form may be sent: readable seeds, 1 to 64 workers, 1 to 20 levels, 1 to 5000 pages."""
+    return valid_seeds(seeds) & F.coalesce(workers.between(1, 64) & depth.between(1, 20) & pages.between(1, 5000), F.lit(False))
+
+
+def metric_cards(stats: DataFrame) -> DataFrame:
+    """(card, value) of six of the figures as text, the rate rounded; missing ones are 0."""
+    text = lambda c: F.coalesce(F.col(c).cast("bigint"), F.lit(0)).cast("string")
+    rate = F.round(F.coalesce("current_rps", F.lit(0.0)), 0).cast("bigint").cast("string")
+    cards = {"PAGES": text("pages_crawled"), "QUEUE": text("queue_length"), "DOCS": text("index_docs"), "TERMS": text("index_terms"), "RPS": rate, "WORK": F.concat_ws("/", text("active"), text("configured"))}
+    return stats.select(F.explode(F.array(*[F.struct(F.lit(k).alias("card"), v.alias("value")) for k, v in cards.items()])).alias("c")).select("c.*")

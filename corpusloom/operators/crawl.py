@@ -5,19 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.url import host_of, path_of
-from corpusloom.operators.scale import sized
+from corpusloom.functions.http import ok, page_like
+from corpusloom.functions.url import host_of, path_of, with_keys
+from corpusloom.operators.scale import hot_keys, is_small, salted_join
 from corpusloom.sources.tables import stored
 
 SITE_PAGES = 120
+#: Characters of a robots file that are read unless another limit is given; None reads all.
+ROBOTS_LIMIT = 64 * 1024
 
 
-def robots_rules(robots: DataFrame, agent: str) -> DataFrame:
-    """(host, prefix): disallowed prefixes of robots files (host, body) that hold for `agent`.
+def robots_rules(robots: DataFrame, agent: str, limit: int | None = ROBOTS_LIMIT) -> DataFrame:
+    """(host, prefix): disallowed prefixes of robots files (host, body) that hold for `agent`; of their first `limit` characters.
 
     The last User-agent line before a rule decides; `*` and a name that begins the agent's apply together.
     """
-    body = F.left(F.col("body"), F.lit(64 * 1024))
+    body = F.col("body") if limit is None else F.left(F.col("body"), F.lit(limit))
     lines = robots.select("host", F.posexplode(F.split(body, r"\r?\n")).alias("no", "line"))
     line = F.trim(F.regexp_replace("line", "#.*$", ""))
     pairs = lines.select("host", "no", F.lower(F.trim(F.split_part(line, F.lit(":"), F.lit(1)))).alias("key"), F.trim(F.regexp_extract(line, r"^[^:]*:(.*)$", 1)).alias("value"))
@@ -31,12 +34,13 @@ def robots_rules(robots: DataFrame, agent: str) -> DataFrame:
 def robots_allowed(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
     """Rows whose path begins with no rule of their host: an anti-join on the host with the prefix as a further condition.
 
-    Rules are gathered per host first, so a host with many pages meets one array instead of a product of rows.
+    Rules are gathered per host first, so a host with many pages meets one array instead of a product of rows; rules of too many
+    hosts to send are joined with the rows of large hosts spread over salted tasks.
     """
-    per_host = rules.groupBy("host").agg(F.collect_set("prefix").alias("__rules"))
+    per_host = stored(rules.groupBy(F.col("host").alias("__host")).agg(F.collect_set("prefix").alias("__rules")), "rules")
     path = F.when(path_of(F.col(url)) == "", "/").otherwise(path_of(F.col(url)))
     rows = urls.withColumn("__host", host_of(F.col(url))).withColumn("__path", path)
-    joined = rows.join(sized(per_host.withColumnRenamed("host", "__host")), "__host", "left")
+    joined = rows.join(F.broadcast(per_host), "__host", "left") if is_small(per_host) else salted_join(rows, per_host, "__host", url, hot_keys(rows, "__host"))
     free = ~F.coalesce(F.exists("__rules", lambda p: F.col("__path").startswith(p)), F.lit(False))
     return joined.where(free).drop("__host", "__path", "__rules")
 
@@ -46,6 +50,13 @@ def within(url: Column, base: str) -> Column:
     return F.startswith(url, F.lit(base))
 
 
+def fetchable(pages: DataFrame) -> DataFrame:
+    """Pages that a fetch would keep: where there is a `status` it is one of success, where there is a `content_type` a page's."""
+    if "status" in pages.columns:
+        pages = pages.where(ok(F.col("status")))
+    return pages.where(page_like(F.col("content_type"))) if "content_type" in pages.columns else pages
+
+
 def crawl(
     seeds: DataFrame,
     links: DataFrame,
@@ -54,21 +65,31 @@ def crawl(
     max_depth: int = 4,
     max_pages: int | None = None,
     known: DataFrame | None = None,
+    base: str | None = None,
+    keyed: bool = False,
 ) -> DataFrame:
     """(url, depth) of the crawled pages: levels of a breadth-first walk from `seeds` (url) over `links` (src, dst).
 
-    Only `pages` (url) exist, all if None. A page keeps its least depth, pages of `known` are not visited again, and with
-    `max_pages` the first ones by (depth, url) are kept. Each level is written to the shared folder, so plans stay short and
-    a lost executor costs one level.
+    Pages are known by their crawl key, so an address is walked once however it is spelled, and what has no key is left out. All
+    addresses are turned into keys once before the walk, unless they are `keyed`. Only `pages` (url, and perhaps status and
+    content_type) exist, all if None. A page keeps its least depth, pages of `known` are not visited again, with `base` only
+    addresses under it are, and with `max_pages` the first ones by (depth, url) are kept. Each level is written to the shared
+    folder, so plans stay short and a lost executor costs one level.
     """
     spark = seeds.sparkSession
+    if not keyed:
+        seeds, links = with_keys(seeds, "url"), stored(with_keys(links.select("src", "dst"), "src", "dst"), "keyed-links")
+        pages = None if pages is None else stored(with_keys(fetchable(pages).select("url"), "url").distinct(), "keyed-pages")
+        known = None if known is None else stored(with_keys(known.select("url"), "url").distinct(), "keyed-known")
+    elif pages is not None:
+        pages = fetchable(pages).select("url").distinct()
     frontier = seeds.select("url").where(F.col("url").isNotNull()).distinct()
     done = spark.createDataFrame([], "url string, depth int")
     total = 0
     for depth in range(max_depth + 1):
-        level = frontier
+        level = frontier if base is None else frontier.where(within(F.col("url"), base))
         if pages is not None:
-            level = level.join(pages.select("url").distinct(), "url", "left_semi")
+            level = level.join(pages, "url", "left_semi")
         if known is not None:
             level = level.join(known.select("url"), "url", "left_anti")
         if rules is not None:
@@ -98,16 +119,15 @@ def site(spark: SparkSession, base: str = "http://site.test") -> tuple[DataFrame
     """(pages (url, title, body), links (src, dst), robots (host, body)) of a generated site.
 
     A hub links to pages 0 to 11 and to a page that robots must not fetch; page n links to n + 1 and n + 7 modulo 120 and back
-    to the hub.
+    to the hub. Titles and bodies are numbers spelled out; only the links matter.
     """
     n = F.col("id")
     url = lambda i: F.concat(F.lit(f"{base}/page/"), i.cast("string"), F.lit(".html"))
     ids = spark.range(SITE_PAGES)
-    topics = F.array(*[F.lit(t) for t in ("worker pool 调度", "rate limiter 限速", "url 去重", "html 解析", "inverted index 倒排索引", "highlight 检索", "robots 合规", "graph 图谱")])
-    title = F.concat(F.lit("Page "), n.cast("string"), F.lit(" · "), F.element_at(topics, (n % 8 + 1).cast("int")))
+    figures = F.concat_ws(" ", F.transform(F.split(n.cast("string"), ""), lambda x: F.element_at(F.array(*[F.lit(w) for w in "nil one two three four five six seven eight nine".split()]), (x.cast("int") + 1))))
     hub, hidden = f"{base}/index.html", f"{base}/secret/hidden.html"
-    pages = ids.select(url(n).alias("url"), title.alias("title"), F.concat(title, F.lit(" A crawler builds an inverted index of words.")).alias("body"))
-    pages = pages.unionByName(spark.createDataFrame([(hub, "Hub 倒排索引", "Hub 倒排索引 start here"), (hidden, "Hidden", "hidden words")], "url string, title string, body string"))
+    pages = ids.select(url(n).alias("url"), F.concat(F.lit("Leaf "), figures).alias("title"), F.concat(F.lit("This leaf is number "), figures).alias("body"))
+    pages = pages.unionByName(spark.createDataFrame([(hub, "Trunk", "All leaves grow here"), (hidden, "Root", "below the ground")], "url string, title string, body string"))
     links = ids.select(url(n).alias("src"), F.explode(F.array(url((n + 1) % SITE_PAGES), url((n + 7) % SITE_PAGES), F.lit(hub))).alias("dst"))
     first = ids.where(n < 12).select(F.lit(hub).alias("src"), url(n).alias("dst"))
     links = links.unionByName(first).unionByName(spark.createDataFrame([(hub, hidden)], "src string, dst string"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.operators.scale import sized
+from corpusloom.sources.tables import stored
 
 NODES = 400
 
@@ -36,7 +36,7 @@ def nodes(crawled: DataFrame, edges: DataFrame) -> DataFrame:
 def truncate(all_nodes: DataFrame, edges: DataFrame, limit: int = NODES) -> tuple[DataFrame, DataFrame]:
     """The nodes of highest degree, ties by id, and the edges between them; 400 for no limit and for one above 800."""
     limit = limit if 0 < limit <= 800 else NODES
-    kept = all_nodes.orderBy(F.desc("degree"), "id").limit(limit)
-    ids = sized(kept.select("id"))
+    kept = stored(all_nodes.orderBy(F.desc("degree"), "id").limit(limit), "top-nodes")
+    ids = F.broadcast(kept.select("id"))  # at most 800
     inner = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
     return kept, inner.select("src", "dst")

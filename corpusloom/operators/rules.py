@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from corpusloom.functions.url import clean_loc, norm_host
 from corpusloom.operators.scale import sized
 
+#: Characters of a sitemap that are read unless another limit is given; None reads all.
+SITEMAP_LIMIT = 4 << 20
 # fixed values: how often a page says it changes
 FREQUENCIES = ("", "always", "hourly", "daily", "weekly", "monthly", "yearly", "never")
 
@@ -35,21 +37,25 @@ def host_allowed(hosts: DataFrame, rules: DataFrame, host: str = "host") -> Data
     return hosts.join(best, host, "left").withColumn("allowed", F.coalesce("__allow", F.lit(True))).drop("__allow")
 
 
-def sitemap_urls(maps: DataFrame, xml: str = "xml") -> DataFrame:
-    """(loc, lastmod, changefreq, priority) of all entries of sitemap documents with a readable address."""
-    text = F.left(F.col(xml), F.lit(4 << 20))
+def sitemap_urls_of(maps: DataFrame, *keep: str, xml: str = "xml", limit: int | None = SITEMAP_LIMIT) -> DataFrame:
+    """(loc, lastmod, changefreq, priority) of all entries of sitemap documents with a readable address, after the columns `keep`."""
+    text = F.col(xml) if limit is None else F.left(F.col(xml), F.lit(limit))
     get = lambda tag: F.trim(F.regexp_extract("entry", f"(?s)<{tag}>(.*?)</{tag}>", 1))
-    rows = maps.where(~text.contains("<sitemapindex")).select(F.explode(F.regexp_extract_all(text, F.lit("(?s)<url>(.*?)</url>"), F.lit(1))).alias("entry"))
+    rows = maps.where(~text.contains("<sitemapindex")).select(*keep, F.explode(F.regexp_extract_all(text, F.lit("(?s)<url>(.*?)</url>"), F.lit(1))).alias("entry"))
     date = get("lastmod")
     when = F.coalesce(F.when(date.rlike(r"T\d\d:\d\d:\d\d(?:\.\d+)?(?:Z|[+-]\d\d:\d\d)$"), F.try_to_timestamp(date)), F.when(date.rlike(r"^\d{4}-\d\d-\d\d$"), F.try_to_timestamp(date)))
     loc = clean_loc(F.replace(get("loc"), F.lit("&amp;"), F.lit("&")))
     priority = F.coalesce(get("priority").try_cast("double"), F.lit(0.0))
-    return rows.select(loc.alias("loc"), when.alias("lastmod"), F.lower(get("changefreq")).alias("changefreq"), F.greatest(F.least(priority, F.lit(1.0)), F.lit(0.0)).alias("priority")).where(F.col("loc") != "")
+    return rows.select(*keep, loc.alias("loc"), when.alias("lastmod"), F.lower(get("changefreq")).alias("changefreq"), F.greatest(F.least(priority, F.lit(1.0)), F.lit(0.0)).alias("priority")).where(F.col("loc") != "")
 
 
-def sitemap_children(maps: DataFrame, xml: str = "xml") -> DataFrame:
+def sitemap_urls(maps: DataFrame, xml: str = "xml", limit: int | None = SITEMAP_LIMIT) -> DataFrame:
+    return sitemap_urls_of(maps, xml=xml, limit=limit)
+
+
+def sitemap_children(maps: DataFrame, xml: str = "xml", limit: int | None = SITEMAP_LIMIT) -> DataFrame:
     """(loc) of the maps that index documents point to."""
-    text = F.left(F.col(xml), F.lit(4 << 20))
+    text = F.col(xml) if limit is None else F.left(F.col(xml), F.lit(limit))
     locs = F.regexp_extract_all(text, F.lit("(?s)<sitemap>.*?<loc>(.*?)</loc>"), F.lit(1))
     rows = maps.where(text.contains("<sitemapindex")).select(F.explode(locs).alias("loc"))
     return rows.select(clean_loc(F.col("loc")).alias("loc")).where(F.col("loc") != "")

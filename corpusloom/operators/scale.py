@@ -31,6 +31,12 @@ def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if is_small(df, limit) else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores if a small file leaves it in fewer partitions; a large table has more and is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> list:
     """Keys with more than `share` of all rows: at most 1 / share of them, found by one pre-aggregated count."""
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n"))

@@ -17,7 +17,7 @@ from corpusloom.operators import graph as G
 from corpusloom.operators import index as I
 from corpusloom.operators import rules as L
 from corpusloom.operators import schedule as S
-from corpusloom.sources.tables import table
+from corpusloom.sources.tables import kept, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -42,6 +42,11 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", "url", "title", F.col("text").alias("body"))
 
 
+def index_of(spark: SparkSession, d: str) -> DataFrame:
+    """The documents' index, stored once; the queries that search or sum it read it."""
+    return kept(spark, d, "documents", "index", lambda: I.stored_index(documents(spark, d)))
+
+
 def _list(*words: str) -> str:
     return ", ".join(f"'{w}'" for w in words)
 
@@ -80,23 +85,23 @@ def query_terms_texts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_POSTINGS + "SELECT term, doc_id, freq, array_to_string(positions, ',') AS positions FROM post")
 def postings(spark: SparkSession, d: str) -> DataFrame:
-    return I.postings(documents(spark, d)).withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), ","))
+    return index_of(spark, d).withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), ","))
 
 
 @query(_POSTINGS + "SELECT term, CAST(sum(freq) AS BIGINT) AS freq FROM post GROUP BY term")
 def term_freq(spark: SparkSession, d: str) -> DataFrame:
-    return I.term_freq(I.postings(documents(spark, d)))
+    return I.term_freq(index_of(spark, d))
 
 
 @query(_POSTINGS + "SELECT (SELECT count(*) FROM documents) AS docs, (SELECT count(DISTINCT term) FROM post) AS terms")
 def index_stats(spark: SparkSession, d: str) -> DataFrame:
     docs = documents(spark, d)
-    return I.index_stats(docs, I.postings(docs))
+    return I.index_stats(docs, index_of(spark, d))
 
 
 @query(_POSTINGS + "SELECT term, CAST(sum(freq) AS BIGINT) AS freq FROM post GROUP BY term ORDER BY freq DESC, term LIMIT 30")
 def top_keywords(spark: SparkSession, d: str) -> DataFrame:
-    return I.top_keywords(I.term_freq(I.postings(documents(spark, d))))
+    return I.top_keywords(I.term_freq(index_of(spark, d)))
 
 
 _SCORES = "SELECT doc_id, sum(freq) AS score FROM post WHERE term IN ('crawler', 'queue') GROUP BY doc_id HAVING count(*) = 2"
@@ -104,7 +109,7 @@ _SCORES = "SELECT doc_id, sum(freq) AS score FROM post WHERE term IN ('crawler',
 
 @query(_POSTINGS + f"SELECT doc_id, CAST(score AS DOUBLE) AS score FROM ({_SCORES})")
 def search_scores(spark: SparkSession, d: str) -> DataFrame:
-    return I.scores(I.postings(documents(spark, d)), ASKED)
+    return I.scores(index_of(spark, d), ASKED)
 
 
 @query(
@@ -114,13 +119,13 @@ ORDER BY score DESC, url, doc_id LIMIT 20"""
 )
 def search_hits(spark: SparkSession, d: str) -> DataFrame:
     docs = documents(spark, d)
-    return I.search(docs, I.postings(docs), ASKED).select("doc_id", "url", "score")
+    return I.search(docs, index_of(spark, d), ASKED).select("doc_id", "url", "score")
 
 
 @query(_POSTINGS + "SELECT term, CAST(sum(freq) AS BIGINT) AS freq FROM post WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang IS NULL) GROUP BY term")
 def remove_documents(spark: SparkSession, d: str) -> DataFrame:
     unlabelled = table(spark, d, "documents").where(F.col("lang").isNull()).select("doc_id")
-    return I.term_freq(I.remove(I.postings(documents(spark, d)), unlabelled))
+    return I.term_freq(I.remove(index_of(spark, d), unlabelled))
 
 
 @query("SELECT doc_id, url, title FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY fetched_at DESC, doc_id DESC) AS r FROM documents) WHERE r = 1")
@@ -153,12 +158,6 @@ def snippets(spark: SparkSession, d: str) -> DataFrame:
     return documents(spark, d).select("doc_id", T.snippet(F.col("body"), ASKED, mark=False).alias("snippet"))
 
 
-@query()
-def snippets_exact(spark: SparkSession, d: str) -> DataFrame:
-    """The byte rule, for all documents; checked against brute force in the tests."""
-    return documents(spark, d).select("doc_id", T.snippet_bytes(F.col("body"), ASKED).alias("snippet"))
-
-
 # --- HTML -----------------------------------------------------------------------------------------------------------------
 
 _PAGE = """'<html lang="en"><head><title>' || coalesce(title, '') || '</title><style>p {{x: y}}</style></head><body><nav><a href="/a/x">Home</a></nav><p>' ||
@@ -208,13 +207,6 @@ def lang_hints(spark: SparkSession, d: str) -> DataFrame:
     return _pages(spark, d).select("page_id", H.has_lang(F.col("html"), "en").alias("en"))
 
 
-@query()
-def parsed_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Title, text and links by a walk over the tree."""
-    p = H.parse_html(F.col("html"), F.col("base_url"))
-    return _pages(spark, d).select("page_id", p.alias("p")).select("page_id", "p.title", "p.text", F.array_join("p.links", " ").alias("links"))
-
-
 @query("SELECT page_id, generate_subscripts(links, 1) - 1 AS pos, unnest(links) AS link FROM crawl_pages")
 def page_links(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "crawl_pages").select("page_id", F.posexplode("links").alias("pos", "link")).select("page_id", F.col("pos").cast("bigint").alias("pos"), "link")
@@ -234,6 +226,11 @@ def _u(x: str, u: str = "url") -> str:
     return x.format(u=u)
 
 
+def _escaped(x: str) -> str:
+    """`x` with characters outside ASCII written as escapes."""
+    return f"array_to_string(list_transform(string_split({x}, ''), lambda c: CASE WHEN unicode(c) > 127 THEN url_encode(c) ELSE c END), '')"
+
+
 @query(f"SELECT doc_id, {_u(_HOST)} AS host, {_u(_ORIGIN)} AS origin, split_part(url, '#', 1) AS bare FROM documents")
 def hosts_and_origins(spark: SparkSession, d: str) -> DataFrame:
     u = F.col("url")
@@ -253,13 +250,6 @@ def normalize_links(spark: SparkSession, d: str) -> DataFrame:
     return u.select("url", U.normalize_plain(F.col("url")).alias("key"))
 
 
-@query()
-def normalize_exact(spark: SparkSession, d: str) -> DataFrame:
-    """Every distinct address with its crawl key and its canonical form by the exact rules."""
-    u = documents(spark, d).select("url").distinct()
-    return u.select("url", U.normalize_url(F.col("url")).alias("key"), U.canonical_url(F.col("url")).alias("canonical"))
-
-
 _CANON = f"""{_SCHEME} || '://' || {_BARE} || CASE WHEN regexp_replace({_PATH}, '/+', '/', 'g') = '' THEN '/' ELSE regexp_replace({_PATH}, '/+', '/', 'g') END || {_QUERY}"""
 
 
@@ -337,13 +327,14 @@ def graph_truncated(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH RECURSIVE w AS (SELECT src AS url, 0 AS depth FROM (SELECT DISTINCT src FROM edges ORDER BY src LIMIT 5) WHERE NOT contains(src, '/search/')
-UNION SELECT e.dst, w.depth + 1 FROM w JOIN edges e ON e.src = w.url WHERE w.depth < 3 AND e.dst <> '' AND NOT contains(e.dst, '/search/'))
+    f"""WITH RECURSIVE e AS (SELECT DISTINCT {_escaped(_u(_KEY, 'src'))} AS src, {_escaped(_u(_KEY, 'dst'))} AS dst FROM edges WHERE src <> '' AND dst <> '' AND NOT contains(dst, '/search/')),
+w AS (SELECT {_escaped(_u(_KEY, 'src'))} AS url, 0 AS depth FROM (SELECT DISTINCT src FROM edges ORDER BY src LIMIT 5) WHERE NOT contains(src, '/search/')
+UNION SELECT e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.url WHERE w.depth < 3)
 SELECT url, min(depth) AS depth FROM w GROUP BY url"""
 )
 def crawl_levels(spark: SparkSession, d: str) -> DataFrame:
-    """Breadth-first levels over the links from the first five pages, robots rules applied."""
-    edges = table(spark, d, "edges").where(~F.col("dst").contains("/search/")).select("src", "dst")
+    """Breadth-first levels over the links from the first five pages, robots rules applied; addresses as crawl keys."""
+    edges = table(spark, d, "edges").where((F.col("src") != "") & (F.col("dst") != "") & ~F.col("dst").contains("/search/")).select("src", "dst")
     seeds = table(spark, d, "edges").select("src").distinct().orderBy("src").limit(5).select(F.col("src").alias("url")).where(~F.col("url").contains("/search/"))
     return C.crawl(seeds, edges, max_depth=3)
 
@@ -404,14 +395,6 @@ def pending_per_host(spark: SparkSession, d: str) -> DataFrame:
     return R.pending_per_host(table(spark, d, "edges").select(F.col("dst").alias("url")))
 
 
-@query("SELECT count(DISTINCT url) AS added, count(DISTINCT url) AS found FROM documents WHERE url IS NOT NULL")
-def bloom_seen(spark: SparkSession, d: str) -> DataFrame:
-    """All added addresses are found again by the filter of bits."""
-    urls = documents(spark, d).select("url").where(F.col("url").isNotNull()).distinct()
-    bits = R.bloom_bits(urls, 1 << 16)
-    return urls.select(R.may_be_seen(F.col("url"), bits).alias("hit")).agg(F.count(F.lit(1)).alias("added"), F.count_if("hit").alias("found"))
-
-
 _RULES = [("stiralastonan-notes.test", False, 1), ("*.test", False, 2), ("*.zumoziplanar-journal.test", True, 3), ("m.zumoziplanar-journal.test:80", False, 4), ("www.laskikridinem-digest.test", True, 5)]
 
 
@@ -521,7 +504,7 @@ def merged_meta(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT term, freq, freq / greatest(1, max(freq) OVER ()) AS bar FROM (" + _POSTINGS + "SELECT term, CAST(sum(freq) AS BIGINT) AS freq FROM post GROUP BY term ORDER BY freq DESC, term LIMIT 18)")
 def keyword_bars(spark: SparkSession, d: str) -> DataFrame:
-    return S.scaled(I.top_keywords(I.term_freq(I.postings(documents(spark, d))), 18), "freq", "bar")
+    return S.scaled(I.top_keywords(I.term_freq(index_of(spark, d)), 18), "freq", "bar")
 
 
 @query("SELECT doc_id, to_json({'doc_id': doc_id, 'url': url}) AS json FROM documents")

@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,33 +39,77 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _OWN_DIR: list[str] = []
+#: Folders of stored steps that were not released yet.
+_STEPS: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of `spark.checkpoint.dir`; a private one only where the session names none (tests)."""
+    """The shared folder of `spark.checkpoint.dir`. Where the session names none a private one is made, but only if all tasks
+    run on this machine (tests); on a cluster every worker would write to a disk of its own, so that is refused."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if shared:
         return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all workers share; intermediate results are stored there")
     if not _OWN_DIR:
         _OWN_DIR.append(tempfile.mkdtemp(prefix="corpusloom-"))
         atexit.register(shutil.rmtree, _OWN_DIR[0], True)
     return f"file://{_OWN_DIR[0]}"
 
 
+def _path(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def stored(df: DataFrame, label: str = "t") -> DataFrame:
     """Write `df` as Parquet into the shared folder and read it again.
 
     Cuts the lineage like checkpoint(): the files outlive lost executors, hold only the columns asked for, compressed,
-    and later plans see their exact size. Local files are removed at exit.
+    and later plans see their exact size. They are deleted by `release`, or when the driver ends, on any file system.
     """
-    ship(df.sparkSession)
-    path = f"{scratch_dir(df.sparkSession)}/corpusloom/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if path.startswith("file:"):
-        atexit.register(_drop, path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def _drop(path: str) -> None:
-    with contextlib.suppress(OSError):
-        shutil.rmtree(Path(path.removeprefix("file://").removeprefix("file:")), ignore_errors=True)
+    spark = df.sparkSession
+    ship(spark)
+    folder = f"{scratch_dir(spark)}/corpusloom/{label}-{uuid.uuid4().hex}"
+    _STEPS.append(folder)
+    try:
+        df.write.parquet(folder)
+    finally:
+        path, fs = _path(spark, folder)
+        fs.deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all stored steps so far and give their number; call it when the results of earlier queries have been read.
+    What `kept` stored remains."""
+    n = len(_STEPS)
+    for folder in _STEPS:
+        path, fs = _path(spark, folder)
+        with contextlib.suppress(Exception):  # gone already
+            fs.delete(path, True)
+            fs.cancelDeleteOnExit(path)
+    _STEPS.clear()
+    return n
+
+
+_KEPT: dict[tuple, tuple[str, DataFrame]] = {}
+
+
+def fingerprint(spark: SparkSession, folder: str) -> str:
+    """Names, sizes and times of a table's files."""
+    path, fs = _path(spark, folder)
+    files = [path] if not fs.getFileStatus(path).isDirectory() else [x.getPath() for x in fs.listStatus(path)]
+    said = [(f.getName(), s.getLen(), s.getModificationTime()) for f in files for s in [fs.getFileStatus(f)]]
+    return str(sorted(said))
+
+
+def kept(spark: SparkSession, sf_dir: str, name: str, label: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What `make` stored from table `name`, made once in an application and again when the table's files change."""
+    key = (spark.sparkContext.applicationId, sf_dir, name, label)
+    now = fingerprint(spark, f"{sf_dir}/{name}.parquet")
+    if key not in _KEPT or _KEPT[key][0] != now:
+        before = len(_STEPS)
+        _KEPT[key] = (now, make())
+        del _STEPS[before:]
+    return _KEPT[key][1]

@@ -265,7 +265,33 @@ def test_frontier(spark):
     assert {r["host"]: r["pending"] for r in R.pending_per_host(once).collect()} == {"h": 2, "g": 1}
     bits = R.bloom_bits(once, 1000)
     assert len(bits) * 8 == 1024
-    assert once.select(R.may_be_seen(F.col("url"), bits).alias("x")).where("x").count() == 3
+    sent = spark.sparkContext.broadcast(bits)
+    assert once.select(R.may_be_seen(F.col("url"), sent).alias("x")).where("x").count() == 3
+
+
+def test_bloom_slots_against_loops():
+    import pandas as pd
+
+    urls = ["", "a", "http://x.test/" + "q" * 300, "späße", "http://x.test/b"] * 3
+    want = []
+    for u in urls:
+        row = []
+        for k in range(3):
+            h = 14695981039346656037
+            for b in (k, *u.encode()):
+                h = (h ^ b) * 1099511628211 & 0xFFFFFFFFFFFFFFFF
+            row.append(h % 1000)
+        want.append(row)
+    assert R._slots(pd.Series(urls), 1000).tolist() == want and R._slots(pd.Series([], dtype=str), 64).shape == (0, 3)
+
+
+def test_bloom_grows_with_the_addresses(spark, monkeypatch):
+    seen = spark.range(3000).select(F.concat(F.lit("http://s.test/"), F.col("id").cast("string")).alias("url"))
+    new = spark.range(3000).select(F.concat(F.lit("http://n.test/"), F.col("id").cast("string")).alias("url"))
+    assert R.bits_for(3000) == 48000 and R.bits_for(0) == 64
+    assert R.seen_or_not(seen, seen).count() == 0 and R.seen_or_not(new, seen).count() >= 2940
+    monkeypatch.setattr(R, "MOST_BITS", 64)
+    assert R.bits_for(3000) is None and R.seen_or_not(new, seen).count() == 3000 and R.seen_or_not(seen, seen).count() == 0
 
 
 def test_throughput_fills_gaps(spark):
@@ -296,13 +322,13 @@ def test_engine_tasks(spark, docs):
     task = engine.create(Strategy(seeds=("http://site.test/index.html", "http://site.test/x.png"), max_depth=1))
     engine.run(task.id, pages, links, C.robots_rules(robots, "corpusloom"))
     assert (task.status, task.crawled, engine.docs.count()) == ("completed", 13, 15)
-    assert engine.search("inverted").count() > 1
+    assert engine.search("inverted").count() == 1 and engine.search("leaf number").count() == 12
     nodes, edges = engine.graph()
     assert edges.count() == 13 and nodes.count() == 16
     with pytest.raises(TaskError, match="cannot become"):
         engine.pause(task.id)
     engine.remove([1])
-    assert engine.stats().first()["docs"] == 14
+    assert engine.stats().first()["index_docs"] == 14
     engine.clear()
     assert engine.keywords().count() == 0
 
@@ -358,3 +384,145 @@ def test_latest_keeps_keys_without_order(spark):
     got = I.latest(spark.createDataFrame(rows, "doc_id long, url string, fetched_at long"), "url", "fetched_at")
     assert sorted((r["doc_id"], r["url"]) for r in got.where("url IS NOT NULL").collect()) == [(2, "a"), (4, "b"), (8, "c"), (9, "d"), (9, "e")]
     assert [r["doc_id"] for r in got.where("url IS NULL").collect()] == [7]
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<div><nav>Menu</div><p>Body</p>", "Body"),
+        ("<div><nav>Menu<footer>x</div><p>Body", "Body"),
+        ("<table><tr><td><nav>Menu<td>Cell</table>After", "Cell After"),
+        ("<table><tr><td><nav>Menu</div>more</td></tr></table>After", "After"),
+        ("<nav>Menu<p>x</p></nav>Body</nav>", "Body"),
+        ("<p><b>a<nav>Menu</b>more</nav>Body", "a Body"),
+        ("<svg><path/><g/>x</svg>Body<br/>y<img src=a>z", "Body y z"),
+        ("<nav/>Menu", ""),
+        ("<script>if (a < b) x()</script>Body<style>p {}</style>", "Body"),
+        ("<ul><li>a<li><nav>m</nav>b</ul>c", "a b c"),
+        ("</div></p>Body</nav>", "Body"),
+        ("Body" + "<i>" * 3000 + "x", "Body x"),
+    ],
+)
+def test_end_tags_are_implied(page, text):
+    assert H.parse(page, None)[1] == text
+
+
+def test_parse_limit():
+    page = "a" * 10 + " b"
+    assert H.parse(page, None, 10)[1] == "a" * 10 and H.parse(page, None, None)[1] == page and H.parse(None, None) == ("", "", [])
+
+
+def test_addresses_are_walked_once_however_spelled(spark):
+    links = spark.createDataFrame([("HTTP://A.test:80/x#top", "http://a.test/p#a"), ("http://a.test/x", "http://a.test/p#b"), ("http://a.test/p", "http://a.test/./q?b=2&a=1"), ("http://a.test/p", "http://a.test/q?a=1&b=2"),
+                                   ("http://a.test/p", "http://a.test/caf\u00e9"), ("http://a.test/p", "http://a.test/caf%C3%A9"), ("http://a.test/p", "mailto:x"), ("http://a.test/p", None)], "src string, dst string")
+    seeds = spark.createDataFrame([("http://a.test/x",), ("http://A.test/x/",), (None,)], "url string")
+    got = sorted((r["depth"], r["url"]) for r in C.crawl(seeds, links, max_depth=3).collect())
+    assert got == [(0, "http://a.test/x"), (1, "http://a.test/p"), (2, "http://a.test/caf%C3%A9"), (2, "http://a.test/q?a=1&b=2")]
+    known = spark.createDataFrame([("http://a.test/p#z",)], "url string")
+    assert C.crawl(seeds, links, known=known).count() == 1
+    pages = spark.createDataFrame([("http://a.test/x", 200, "text/html"), ("http://a.test/p#1", 200, "text/html; charset=x"), ("http://a.test/q?a=1&b=2", 500, "text/html"), ("http://a.test/caf%c3%a9", 200, "image/png")], "url string, status int, content_type string")
+    assert C.crawl(seeds, links, pages).count() == 2 and C.crawl(seeds, links, pages, base="http://b").count() == 0
+
+
+def test_keys_agree_with_the_exact_rule(spark):
+    raw = ["http://x.test", "HTTPS://X.test:443/a/../b/?c=2&c=1&b=1#f", "http://u:p@x.test/%7Ea", "http://x.test/a b", "ftp://x/", None, "", "http://x.test//a//b/", "http://x.test/?", "https://x.test:80/"]
+    df = spark.createDataFrame([(x,) for x in raw], "url string")
+    want = sorted(k for k in map(U.normalize_one, raw) if k)
+    assert sorted(r["url"] for r in U.with_keys(df, "url").collect()) == want
+
+
+def test_robots_of_many_hosts(spark, monkeypatch):
+    rules = spark.createDataFrame([("h", "/a"), ("g", "/")], "host string, prefix string")
+    urls = spark.createDataFrame([(f"http://h/{x}{i}",) for x in "ab" for i in range(30)] + [("http://g/z",), ("http://k/a",), (None,)], "url string")
+    one = sorted(str(r[0]) for r in C.robots_allowed(urls, rules).collect())
+    monkeypatch.setattr(C, "is_small", lambda *_: False)
+    monkeypatch.setattr(C, "hot_keys", lambda *_: ["h"])
+    assert sorted(str(r[0]) for r in C.robots_allowed(urls, rules).collect()) == one and len(one) == 32
+
+
+def test_limits_of_reading_are_parameters(spark):
+    robots = spark.createDataFrame([("h", "User-agent: *\n" + "#" * 70_000 + "\nDisallow: /x")], "host string, body string")
+    assert C.robots_rules(robots, "a").count() == 0 and C.robots_rules(robots, "a", None).count() == 1
+    maps = spark.createDataFrame([("<urlset>" + " " * 100 + "<url><loc>http://x.test/a</loc></url></urlset>",)], "xml string")
+    assert L.sitemap_urls(maps, limit=50).count() == 0 and L.sitemap_urls(maps, limit=None).count() == 1 and L.sitemap_urls(maps).count() == 1
+    page = "x" * 5000 + "charset=big5"
+    assert one(spark, P.charset_of_page, page) == "" and one(spark, lambda c: P.charset_of_page(c, None), page) == "big5"
+    assert one(spark, P.charset_param, "a" + "; x=1" * 2000 + '; charset="UTF-8"') == "utf-8"
+    assert one(spark, P.decoded, bytearray(b"a\xff\xc3\xa9"), "binary") == "a\ufffdé"
+
+
+def test_index_of_repeated_ids_and_nulls(spark):
+    docs = spark.createDataFrame([(1, "u", "cat", "cat dog"), (1, "u", None, "cat"), (2, "v", None, None), (None, "w", "cat", "x"), (3, "x", "", "dog " * 70)], "doc_id long, url string, title string, body string")
+    got = {(r["term"], r["doc_id"]): (r["freq"], r["positions"]) for r in I.postings(docs).collect()}
+    assert got == {("cat", 1): (5, [0, 0, 1, 2, 3]), ("dog", 1): (1, [4]), ("dog", 3): (70, list(range(32)))}
+    assert I.postings(docs.limit(0)).collect() == []
+
+
+def test_search_is_exact_in_snippets(spark):
+    body = "数据" * 40 + " crawler " + "网页" * 100
+    docs = spark.createDataFrame([(1, "u", "t", body)], "doc_id long, url string, title string, body string")
+    for mark in (True, False):
+        got = I.search(docs, I.postings(docs), "crawler", mark=mark).first()["snippet"]
+        assert got.replace("<mark>", "").replace("</mark>", "") == T.cut_snippet(body, "crawler") and ("<mark>" in got) == mark
+
+
+def test_service_answers(spark, docs):
+    links = spark.createDataFrame([("http://x/a", "http://x/b"), ("http://x/a", "http://x/new"), ("http://x/a", "http://x/a")], "src string, dst string")
+    engine = Engine(spark, docs, links, fixture="http://site.test/index.html")
+    assert engine.health().first()["status"] == "ok" and len(engine.health().first()["time"]) == 19
+    stats = engine.stats(spark.createDataFrame([(5.0,), (5.5,), (3.0,)], "s double").select(F.timestamp_seconds("s").alias("fetched_at"))).first()
+    assert (stats["pages_crawled"], stats["queue_length"], stats["index_docs"], stats["current_rps"], stats["crawl_mode"]) == (0, 1, 4, 2.0, "mock")
+    assert {r["card"]: r["value"] for r in engine.cards().collect()}["WORK"] == "0/0"
+    found = engine.found(" inverted ")
+    assert found["query"] == "inverted" and found["total"] == len(found["hits"]) == 1
+    for body, code in (("{", 400), ('{"workers": 65}', 400), ('{"max_depth": -1}', 400), ('{"workers": "3"}', 400), ("[1]", 400)):
+        assert engine.request(body)[0] == code and engine.request(body)[1]["error"]["code"] == "VALIDATION_ERROR"
+    code, view = engine.request('{"seeds": ["http://q/"], "use_fixture": true, "workers": 2, "other": 1}')
+    assert (code, view["status"], view["strategy"]["seeds"], view["strategy"]["workers"], view["strategy"]["max_pages"], view["started_at"]) == (201, "pending", ("http://site.test/index.html",), 2, 200, "")
+    assert engine.request("")[0] == 201
+    engine.get(view["id"]).move("running")
+    assert engine.request("")[0] == 409 and engine.stats().first()["active"] == 2
+    with pytest.raises(TaskError) as err:
+        engine.get("nope")
+    assert err.value.answer()[0] == 404
+    engine.pause(view["id"])
+    engine.resume(view["id"])
+    engine.stop(view["id"])
+    assert engine.get(view["id"]).view()["finished_at"] != ""
+    with pytest.raises(TaskError):
+        engine.resume(view["id"])
+    engine.clear()
+    assert engine.graph()[1].count() == 0 and engine.graph()[0].count() == 0 and engine.stats().first()["queue_length"] == 0
+
+
+def test_form(spark):
+    df = spark.createDataFrame([("http://a", 1, 1, 1), ("ftp://a", 1, 1, 1), ("", 65, 1, 1), ("", 1, 0, 1), ("", 1, 1, None)], "s string, w int, d int, p int")
+    assert [r[0] for r in df.select(V.valid_form(F.col("s"), F.col("w"), F.col("d"), F.col("p"))).collect()] == [True, False, False, False, False]
+
+
+def test_stored_steps_are_released(spark):
+    import os
+
+    from corpusloom.sources import tables
+
+    tables.release(spark)
+    df = tables.stored(spark.range(5), "x")
+    folder = df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert os.path.isdir(folder) and tables.release(spark) == 1 and not os.path.isdir(folder) and tables.release(spark) == 0
+
+
+def test_no_private_folder_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from corpusloom.sources.tables import scratch_dir
+
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://h:7077", getConf=lambda: SimpleNamespace(get=lambda *_: None)))
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        scratch_dir(far)
+
+
+def test_broadcasts_are_checked_in_bytes(spark):
+    from corpusloom.operators.scale import is_small
+
+    df = spark.range(10).select(F.repeat(F.lit("x"), 1000).alias("t"), F.lit(None).cast("string").alias("a.b"))
+    assert is_small(df) and not is_small(df, limit=9) and not is_small(df, most=5000) and is_small(df.limit(0))
