@@ -4,7 +4,8 @@ What the collection knows is bounded. Frequent lines stand in more than `LINE_SH
 (lines per record / LINE_SHARE) of them; title openings stand in more than `TITLE_SHARE` of the titles, so at most 1 / TITLE_SHARE
 of each kind. Both are sent to all tasks. A site's own lines are a bounded array per site and travel with the record, see `lines`.
 
-Garbled lines are judged by their restored wording. Texts are never shuffled; they are read once more for the pass.
+Garbled lines are judged by their restored wording. Texts are never shuffled; they are stored once, with the numbers of their
+lines, and read again for the pass.
 
 Where a table has `links`, a record with little or no own text is judged by them, see `link_list`.
 
@@ -27,7 +28,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from corpusloom.llm.garble import Model, pair_counts, values_of
-from corpusloom.llm.lines import line_counts, line_keys, line_table, line_totals, per_site, site_lines, site_sizes
+from corpusloom.llm.lines import line_counts, line_table, line_totals, per_site, site_lines, site_sizes
 from corpusloom.llm.page import LINKS, LITTLE_TEXT, Known, kinds, link_list, stuffing
 
 LINE_SHARE = 0.003
@@ -49,11 +50,18 @@ class Corpus:
     model: Broadcast
 
 
-def corpus(table: DataFrame, id_col: str, site: Column, share: float = 0.1) -> Corpus:
-    """Learn the lines, titles and characters of a table; every row counts. Its `links`, if it has any, are carried along."""
+def corpus(table: DataFrame, id_col: str, site: Column, share: float = 0.1, more: tuple[str, ...] = ()) -> Corpus:
+    """Learn the lines, titles and characters of a table; every row counts. Its `links`, if it has any, are carried along, and so
+    are the columns `more`.
+
+    The records are stored with the numbers of their lines: making those is dearer than reading the text again.
+    """
     links = F.col("links") if "links" in table.columns else F.lit(None).cast("array<string>")
-    records = table.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(site, F.lit("")).alias("site"), "title", "text", links.alias("links"))
-    lines = line_table(records, "id", F.col("site"))
+    # fewer links are no list, so they need not travel
+    links = F.when(F.size(links) >= LINKS, links).alias("links")
+    plain = table.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(site, F.lit("")).alias("site"), "title", "text", links, *more)
+    records = line_table(plain, "id", F.col("site"), keep=("title", "text", "links", *more))
+    lines = records.select("id", "site", "keys", "sig")
     sizes, counted = site_sizes(lines), line_counts(lines)
     totals = line_totals(counted)
     found = site_lines(lines, share, counted=counted, sizes=sizes, totals=totals)
@@ -136,18 +144,15 @@ def slices(sizes: list[int]) -> Iterator[tuple[int, int]]:
 
 
 def each_slice(c: Corpus, emit: Callable[..., list[tuple]], schema: str, extra: list[Column] | None = None, records: DataFrame | None = None, bare: bool = False) -> DataFrame:
-    """Rows that `emit` makes of lists of judged records; the values of extra columns follow as lists. `bare` adds the records
-    without text that have links enough for a list."""
+    """Rows that `emit` makes of lists of judged records; the values of extra columns follow as lists. `records` are some of the
+    corpus' own. `bare` adds the records without text that have links enough for a list."""
     known, model = c.known, c.model
     source = c.records if records is None else records
-    links = F.col("links") if "links" in source.columns else F.lit(None).cast("array<string>")
-    wanted = F.col("text").isNotNull()
-    text = F.col("text")
+    wanted, text = F.col("text").isNotNull(), F.col("text")
     if bare:
-        wanted, text = wanted | (F.size(links) >= LINKS), F.coalesce("text", F.lit(""))
-    # fewer links are no list, so they need not travel
-    links = F.when(F.size(links) >= LINKS, links).alias("links")
-    rows = source.where(wanted).select("id", "site", "title", text.alias("text"), line_keys(text).alias("keys"), links, *(extra or []))
+        wanted, text = wanted | F.col("links").isNotNull(), F.coalesce("text", F.lit(""))
+    keys = F.coalesce("keys", F.array(F.lit(0).cast("bigint")))
+    rows = source.where(wanted).select("id", "site", "title", text.alias("text"), keys.alias("keys"), "links", *(extra or []))
     rows = per_site(rows, c.found)
     more = [x for x in rows.columns if x not in ("id", "site", "title", "text", "keys", "links", "own")]
     arrow = to_arrow_schema(StructType.fromDDL(schema))

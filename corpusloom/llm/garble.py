@@ -4,10 +4,11 @@
    dense array of hashed pairs (fixed size; every task sums its own, the arrays are added). Lines whose pairs are mostly
    rare, and lines with replacement or control characters, are suspects.
 2. Suspects are joined with clean near-twins: lines that are equal once everything outside ASCII is stripped. The runs
-   between the same ASCII characters are aligned, and each aligned pair of runs votes for the (encoding, wrongly decoded
-   as) pairs that turn one into the other. Rules with votes are the learned mappings.
-3. The learned rules are applied to all suspects. A change is kept if the restored text is much likelier under the pair
-   counts. Lines no rule can restore take the wording of their twin, if they have exactly one.
+   between the same ASCII characters are aligned. Each aligned pair of runs votes for the (encoding, wrongly decoded as)
+   pairs that turn one into the other; and, where no known pair does, for the transformation itself: which garbled piece
+   stands for which character. Rules and pieces with votes are the learned mappings.
+3. The learned mappings are applied to all suspects. A change is kept if the restored text is much likelier under the pair
+   counts. Lines no mapping can restore take the wording of their twin, if they have exactly one.
 
 Lines that are always garbled in the same way in documents of several sites and never occur clean show it on purpose.
 
@@ -17,6 +18,7 @@ give repeated results; other columns are ignored.
 
 from __future__ import annotations
 
+import codecs
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -27,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.operators.scale import sized
+from corpusloom.operators.scale import hot_keys, is_small, salted_join, sized
 from corpusloom.sources.tables import stored
 
 #: Slots of the array of pair counts.
@@ -38,6 +40,12 @@ RARE = 0.001
 SUSPECT = 0.34
 #: So many pairs that all turn from rare to common are enough to learn a rule from one line.
 SURE_PAIRS = 40
+#: Letters that a stripped line needs to be known by.
+SKELETON = 4
+#: Share of its votes that a garbled piece's character must have, and the number of pieces that are learned at most; encodings
+#: that are mistaken for one another have some hundred each.
+PIECE_SHARE = 0.9
+MOST_PIECES = 20_000
 _WIDE = np.dtype("<u4")
 _CONTROL = re.compile("[�\x80-\x84\x86-\x9f]")
 
@@ -69,14 +77,8 @@ def _table(encoding: str) -> dict[int, str]:
 
 def encode_wide(text: str, encoding: str) -> bytes | None:
     """`text` as bytes of the encoding it was wrongly decoded with; None if a character has none."""
-    if encoding in SINGLE_BYTE:
-        back = _BACK[encoding]
-        try:
-            return bytes(ord(c) if c < "\x80" else back[c] for c in text)
-        except KeyError:
-            return None
     try:
-        return text.encode(encoding)
+        return codecs.charmap_encode(text, "strict", _BYTES[encoding])[0] if encoding in _BYTES else text.encode(encoding)
     except UnicodeEncodeError:
         return None
 
@@ -89,6 +91,8 @@ for _e in ("cp1252", "latin-1"):
 for _b, _c in _table("cp1252").items():
     _BACK["latin-1"].setdefault(_c, _b)
 
+_BYTES = {e: {**{b: b for b in range(0x80)}, **{ord(c): b for c, b in back.items()}} for e, back in _BACK.items()}
+
 
 def _utf8_runs(wrong: str) -> re.Pattern:
     """What well-formed multi-byte sequences look like after decoding with a single-byte encoding."""
@@ -131,6 +135,8 @@ def run_starts(text: str) -> np.ndarray:
     return at[((_LEAD2[a] & _CONT[b]) | (_LEAD3[a] & _CONT[b] & _CONT[c])) > 0]
 
 _ASCII = frozenset(map(chr, range(128)))
+_RUN = re.compile(r"[^\x00-\x7f]+")
+_FIGURES = re.compile(r"[0-9]+")
 _LATIN = re.compile(r"[A-Za-z]")
 _PAIRS = re.compile(r"(?:[^\x00-\x7f][^\x00-\x3f\x7f])+(?: (?:[^\x00-\x7f][^\x00-\x3f\x7f])+)*")
 _OUTSIDE = re.compile(r"[^\x00-\x7f]+(?:[ \x40-\x7e]{0,1}[^\x00-\x7f]+)*")
@@ -184,7 +190,9 @@ class Model:
 
     counts: np.ndarray
     rules: tuple[tuple[str, str], ...] = CANDIDATES
+    pieces: dict[str, str] = field(default_factory=dict)
     log: np.ndarray = field(init=False)
+    last_logs: dict[str, np.ndarray] = field(init=False, default_factory=dict, repr=False)
 
     def __post_init__(self) -> None:
         # the commonest pairs are those of blanks and punctuation; nearly every value has some
@@ -193,13 +201,21 @@ class Model:
         # a small collection knows few pairs; those of a single value are rare in any
         self.rare = float(np.log(max(RARE * total, 1.5) / total))
 
+    def logs(self, text: str) -> np.ndarray:
+        """Log shares of a text's pairs; those of the last texts are remembered, as each is asked for several times."""
+        if text not in self.last_logs:
+            if len(self.last_logs) >= 64:
+                self.last_logs.clear()
+            self.last_logs[text] = self.log[pair_slots(points_of(text))[1]]
+        return self.last_logs[text]
+
     def rare_share(self, text: str) -> tuple[float, int]:
-        slots = pair_slots(points_of(text))[1]
-        return (float((self.log[slots] < self.rare).mean()), len(slots)) if len(slots) else (0.0, 0)
+        logs = self.logs(text)
+        return (float(np.count_nonzero(logs < self.rare)) / len(logs), len(logs)) if len(logs) else (0.0, 0)
 
     def mean(self, text: str) -> float:
-        slots = pair_slots(points_of(text))[1]
-        return float(self.log[slots].mean()) if len(slots) else -7.0
+        logs = self.logs(text)
+        return float(logs.sum(dtype=np.float64)) / len(logs) if len(logs) else -7.0
 
     def suspects(self, lines: list[str]) -> np.ndarray:
         """Which of the lines are suspects; one pass over all their characters."""
@@ -222,18 +238,43 @@ class Model:
 
     def better(self, old: list[str], new: list[str]) -> bool:
         """Whether restored pieces, each with the character before and after it, are likelier than what stood there."""
-        a, b = (pair_slots(points_of("\n".join(side)))[1] for side in (old, new))
-        if old == new or not len(a):
+        if old == new:
+            return False
+        before, after = "\n".join(old), "\n".join(new)
+        if not len(self.logs(before)):
             return False
-        if not len(b):
+        if not len(self.logs(after)):
             return True
-        a, b = self.log[a], self.log[b]
-        return (b < self.rare).mean() <= (a < self.rare).mean() and b.mean() > a.mean() + 0.7
+        return self.rare_share(after)[0] <= self.rare_share(before)[0] and self.mean(after) > self.mean(before) + 0.7
 
     def settled(self, line: str) -> bool:
         """Whether nothing in a line looks wrong any more."""
         return not self.rare_share(line)[0] and not _CONTROL.search(line) and not len(run_starts(line + "  "))
 
+    def by_pieces(self, line: str) -> str:
+        """The line with every run outside ASCII that learned pieces cover put back, longest pieces first; if that is likelier."""
+        if not self.pieces:
+            return line
+        longest = max(map(len, self.pieces))
+        found, new = [], []
+        for m in _RUN.finditer(line):
+            out, at = "", 0
+            while at < len(m[0]):
+                for size in range(min(longest, len(m[0]) - at), 0, -1):
+                    if m[0][at : at + size] in self.pieces:
+                        out += self.pieces[m[0][at : at + size]]
+                        at += size
+                        break
+                else:
+                    break
+            if at == len(m[0]) and out != m[0]:
+                found.append(m)
+                new.append(out)
+        if not found or not self.better(_in_place(line, found, [m[0] for m in found]), _in_place(line, found, new)):
+            return line
+        put = dict(zip((m.start() for m in found), new, strict=True))
+        return _RUN.sub(lambda m: put.get(m.start(), m[0]), line)
+
     def sure_rule(self, line: str) -> tuple[str, str] | None:
         """The rule after which a line of at least 10 pairs has hardly a rare one left, if most were rare before."""
         share, n = self.rare_share(line)
@@ -244,9 +285,18 @@ class Model:
         return self.last if changed and self.rare_share(new)[0] < 0.1 else None
 
     def restore(self, line: str) -> tuple[str, bool]:
-        """The restored line, and whether anything was changed. Rules are applied up to three times over (double decoding)."""
+        """The restored line, and whether anything was changed. Rules are applied again as long as they help, as text may have been
+        decoded wrongly several times; each time it gets shorter or likelier. Learned pieces come last."""
+        now, changed = self._by_rules(line)
+        if self.pieces and not (changed and self.settled(now)):
+            new = self.by_pieces(now)
+            return new, changed or new != now
+        return now, changed
+
+    def _by_rules(self, line: str) -> tuple[str, bool]:
         now, changed = line, False
-        for _ in range(3):
+        past = {line}
+        while True:
             best, mean = now, -np.inf
             chars = set(now) - _ASCII
             for right, wrong in self.rules:
@@ -258,8 +308,9 @@ class Model:
                     self.last = (right, wrong)
                     if right == "utf-8" and self.settled(new):
                         break
-            if best == now:
+            if best in past:  # nothing helps any more, or a circle
                 break
+            past.add(best)
             now, changed = best, True
             if self.settled(now):
                 break
@@ -336,11 +387,17 @@ def apply_rule(line: str, right: str, wrong: str, model: Model | None = None) ->
     return pattern.sub(lambda m: changes.get(m.start(), m[0]), line)
 
 
+def aligned(garbled: str, clean: str) -> list[tuple[str, str]]:
+    """Pairs of the runs outside ASCII of two lines with equal ASCII characters, figures being alike; none of others."""
+    if garbled == clean or _FIGURES.sub("0", _RUN.sub("", garbled)) != _FIGURES.sub("0", _RUN.sub("", clean)):
+        return []
+    return list(zip(_RUN.findall(garbled), _RUN.findall(clean), strict=False))
+
+
 def votes(garbled: str, clean: str) -> list[tuple[str, str]]:
     """The rules that turn the aligned runs of two lines with equal ASCII characters into one another."""
-    outside = re.compile(r"[^\x00-\x7f]+")
-    runs = list(zip(outside.findall(garbled), outside.findall(clean), strict=False))
-    if not runs or outside.sub("", garbled) != outside.sub("", clean) or garbled == clean:
+    runs = aligned(garbled, clean)
+    if not runs:
         return []
     out = []
     chars = set(garbled) - _ASCII
@@ -364,6 +421,32 @@ def votes(garbled: str, clean: str) -> list[tuple[str, str]]:
     return out
 
 
+def inferred(garbled: str, clean: str) -> list[tuple[str, str]]:
+    """(garbled piece, character) by aligning the characters of two lines whose ASCII is equal.
+
+    Runs must pair one to one. A run is taken apart evenly if its length is a multiple of the clean one's, or else by the number
+    of bytes of each character in UTF-8; a piece must stand for one character throughout the line, and all runs must come out.
+    """
+    g_runs, c_runs = _RUN.findall(garbled), _RUN.findall(clean)
+    if len(g_runs) != len(c_runs) or not aligned(garbled, clean):
+        return []
+    for even in (True, False):
+        known: dict[str, str] = {}
+        good = True
+        for g, c in zip(g_runs, c_runs, strict=True):
+            sizes = [len(g) // len(c)] * len(c) if even else [len(x.encode("utf-8", "surrogatepass")) for x in c]
+            if sum(sizes) != len(g):
+                good = False
+                break
+            at = 0
+            for x, size in zip(c, sizes, strict=True):
+                good &= known.setdefault(g[at : at + size], x) == x
+                at += size
+        if good:
+            return sorted((p, x) for p, x in known.items() if p != x)
+    return []
+
+
 def values_of(docs: DataFrame, id_col: str = "doc_id", fields: tuple[str, ...] = ("text", "title")) -> DataFrame:
     """(id, field, value) of the values with a character outside ASCII; two narrow scans, no shuffle."""
     parts = [docs.where(F.col(f).rlike(r"[^\x00-\x7F]")).select(F.col(id_col).alias("id"), F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields]
@@ -404,27 +487,39 @@ def _even(df: DataFrame) -> DataFrame:
     return df.repartition(max(12, 2 * df.sparkSession.sparkContext.defaultParallelism))
 
 
+def _skeleton(line: Column) -> tuple[Column, Column]:
+    """(number of a line's stripped text, whether it has SKELETON letters to tell it by)."""
+    text = stripped(line)
+    return F.xxhash64(text), F.length(F.regexp_replace(text, r"[^A-Za-z]", "")) >= SKELETON
+
+
 def twins(values: DataFrame, suspects: DataFrame) -> DataFrame:
-    """(skel, twin, n_twins): of each suspect's stripped text the most frequent clean line and the number of different ones."""
-    keys = suspects.select(F.xxhash64(stripped(F.col("line"))).alias("skel")).distinct()
-    bad = suspects.select(F.xxhash64("line").alias("h")).distinct()
+    """(skel, twin, n_twins), stored: of each suspect's stripped text the most frequent clean line and the number of different ones.
+
+    Stripped texts of hardly any letter tell nothing, and all lines of a script without ASCII share them: they have no twins.
+    """
+    skel, told = _skeleton(F.col("line"))
+    keys = stored(suspects.where(told).select(skel.alias("skel")).distinct(), "skeletons")
+    bad = stored(suspects.select(F.xxhash64("line").alias("h")).distinct(), "suspect-lines")
     lines = values.select(F.explode(F.split("value", "\n", -1)).alias("line")).where(F.col("line").rlike(r"[^\x00-\x7F]"))
-    clean = (
-        lines.withColumn("skel", F.xxhash64(stripped(F.col("line"))))
-        .join(sized(keys, 200_000), "skel", "left_semi")
-        .withColumn("h", F.xxhash64("line"))
-        .join(sized(bad, 200_000), "h", "left_anti")
-    )
+    lines = lines.where(told).withColumn("skel", skel).withColumn("h", F.xxhash64("line"))
+    if is_small(keys, 200_000):
+        near = lines.join(F.broadcast(keys), "skel", "left_semi")
+    else:
+        near = salted_join(lines, keys, "skel", "h", hot_keys(lines, "skel"), "inner")
+    clean = near.join(sized(bad, 200_000), "h", "left_anti")
     counts = clean.groupBy("skel", "h").agg(F.first("line").alias("line"), F.count(F.lit(1)).alias("n"))
-    return counts.groupBy("skel").agg(F.max(F.struct("n", "line"))["line"].alias("twin"), F.count(F.lit(1)).alias("n_twins"))
+    return stored(counts.groupBy("skel").agg(F.max(F.struct("n", "line"))["line"].alias("twin"), F.count(F.lit(1)).alias("n_twins")), "twins")
 
 
-def learn(paired: DataFrame, model: Model, least: int = 1, sure: int = 2) -> tuple[tuple[str, str], ...]:
-    """Rules with votes of `least` twins, or of `sure` lines without a twin that turn from rare pairs into common ones.
+def learn(paired: DataFrame, model: Model, least: int = 1, sure: int = 2) -> tuple[tuple[tuple[str, str], ...], dict[str, str]]:
+    """(rules, pieces): rules with votes of `least` twins, or of `sure` lines without a twin that turn from rare pairs into common
+    ones; and the pieces inferred from twins that no rule explains.
 
     Scripts other than Latin leave little ASCII to find a twin by; there the pairs of the clean collection are the witness, and a
-    line of SURE_PAIRS pairs is witness enough.
-    Most votes first; at most as many as candidates, counted by one aggregation.
+    line of SURE_PAIRS pairs is witness enough. A piece must stand for the same character in PIECE_SHARE of its votes, and every
+    vote comes of a line that its twin's wording makes likelier.
+    Most votes first. At most as many rules as candidates reach the driver, and MOST_PIECES pieces.
     """
 
     sent = paired.sparkSession.sparkContext.broadcast(Model(model.counts))
@@ -434,14 +529,19 @@ def learn(paired: DataFrame, model: Model, least: int = 1, sure: int = 2) -> tup
             out = []
             for line, twin in zip(batch["line"], batch["twin"], strict=True):
                 found = votes(line, twin) if isinstance(twin, str) else []
-                out += [(*r, 1, 0) for r in found]
+                out += [("rule", *r, 1, 0) for r in found]
                 if not found and (r := sent.value.sure_rule(line)):
-                    out.append((*r, 0, 1 if sent.value.rare_share(line)[1] < SURE_PAIRS else sure))
-            yield pd.DataFrame(out, columns=["right", "wrong", "by_twin", "by_pairs"])
+                    out.append(("rule", *r, 0, 1 if sent.value.rare_share(line)[1] < SURE_PAIRS else sure))
+                elif not found and isinstance(twin, str) and sent.value.better([line], [twin]):
+                    out += [("piece", *r, 1, 0) for r in inferred(line, twin)]
+            yield pd.DataFrame(out, columns=["kind", "right", "wrong", "by_twin", "by_pairs"])
 
-    got = _even(paired.select("line", "twin")).mapInPandas(run, "right string, wrong string, by_twin bigint, by_pairs bigint").groupBy("right", "wrong").agg(F.sum("by_twin").alias("t"), F.sum("by_pairs").alias("p"))
-    rows = sorted((r for r in got.collect() if r["t"] >= least or r["p"] >= sure), key=lambda r: (-r["t"] - r["p"], CANDIDATES.index((r["right"], r["wrong"]))))
-    return tuple((r["right"], r["wrong"]) for r in rows)
+    got = _even(paired.select("line", "twin")).mapInPandas(run, "kind string, right string, wrong string, by_twin bigint, by_pairs bigint")
+    got = stored(got.groupBy("kind", "right", "wrong").agg(F.sum("by_twin").alias("t"), F.sum("by_pairs").alias("p")), "votes")
+    rows = sorted((r for r in got.where("kind = 'rule'").collect() if r["t"] >= least or r["p"] >= sure), key=lambda r: (-r["t"] - r["p"], CANDIDATES.index((r["right"], r["wrong"]))))
+    best = got.where("kind = 'piece'").groupBy(F.col("right").alias("piece")).agg(F.max_by("wrong", F.struct("t", "wrong")).alias("char"), F.max("t").alias("most"), F.sum("t").alias("all"))
+    pieces = best.where(F.col("most") >= F.col("all") * PIECE_SHARE).orderBy(F.desc("most"), "piece").limit(MOST_PIECES).collect()
+    return tuple((r["right"], r["wrong"]) for r in rows), {r["piece"]: r["char"] for r in pieces}
 
 
 def repaired_lines(docs: DataFrame, id_col: str = "doc_id", site: Column | None = None, model: Model | None = None) -> DataFrame:
@@ -453,10 +553,11 @@ def repaired_lines(docs: DataFrame, id_col: str = "doc_id", site: Column | None
     values = values_of(docs, id_col)
     model = model or Model(pair_counts(values))
     suspects = suspect_lines(values, model)
-    skel = F.xxhash64(stripped(F.col("line")))
-    paired = stored(suspects.withColumn("skel", skel).join(twins(values, suspects), "skel", "left"), "paired")
-    rules = learn(paired, model)
-    sent = values.sparkSession.sparkContext.broadcast(Model(model.counts, rules))
+    keyed = suspects.withColumn("skel", _skeleton(F.col("line"))[0])
+    near = twins(values, suspects)
+    joined = keyed.join(F.broadcast(near), "skel", "left") if is_small(near) else salted_join(keyed, near, "skel", "id", hot_keys(keyed, "skel"))
+    paired = stored(joined, "paired")
+    sent = values.sparkSession.sparkContext.broadcast(Model(model.counts, *learn(paired, model)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

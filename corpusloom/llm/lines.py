@@ -46,12 +46,13 @@ def line_keys(text: Column) -> Column:
     return F.transform(letters, lambda x: F.when(x == "", F.lit(0).cast("bigint")).otherwise(F.xxhash64(x)))
 
 
-def line_table(docs: DataFrame, id_col: str, site: Column, text_col: str = "text") -> DataFrame:
-    """(id, site, keys, sig): the lines of each record as numbers, stored.
+def line_table(docs: DataFrame, id_col: str, site: Column, text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, site, keys, sig): the lines of each record as numbers, stored; with the columns of `keep`, so that a later pass over
+    texts need not make the numbers again.
 
     `sig`, the four least numbers, is the same for a record fetched again and hardly ever for two others.
     """
-    keyed = docs.select(F.col(id_col).alias("id"), F.coalesce(site, F.lit("")).alias("site"), line_keys(F.col(text_col)).alias("keys"))
+    keyed = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(site, F.lit("")).alias("site"), line_keys(F.col(text_col)).alias("keys"), *keep)
     least = F.slice(F.array_sort(F.array_distinct(F.filter("keys", lambda k: k != 0))), 1, 4)
     sig = F.when(F.size(least) > 0, F.xxhash64(least)).otherwise(F.xxhash64("id"))
     return stored(keyed.withColumn("sig", sig), "line-keys")

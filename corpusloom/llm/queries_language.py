@@ -29,8 +29,9 @@ def labelled(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", "url", "source", "title", "text", "lang").join(sized(aliases), "lang", "left")
 
 
-def train(c: Corpus, records: DataFrame, sample: int = SAMPLE) -> Machines:
+def train(c: Corpus, sample: int = SAMPLE) -> Machines:
     """Fit the machines on own lines of at most about `sample` labelled documents, drawn by a hash of the id."""
+    records = c.records
     known = records.where(F.col("label").isin(*LANGUAGES[:5]) & F.col("text").isNotNull())
     # every language gets its part of the sample, however rare it is
     sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
@@ -123,15 +124,13 @@ def judge_languages(js: list[Judged], labels: list[str | None], m: Machines, cas
 def languages(spark: SparkSession, d: str, cases: bool = False) -> DataFrame:
     """(id, line_no, lang, confidence, label): line_no -1 is the document; one row for each own line of mixed ones."""
     docs = labelled(spark, d)
-    c = corpus(docs, "doc_id", doc_site())
-    records = docs.select(F.col("doc_id").alias("id"), F.coalesce(doc_site(), F.lit("")).alias("site"), "title", "text", "label")
-    m = spark.sparkContext.broadcast(train(c, records))
+    c = corpus(docs, "doc_id", doc_site(), more=("label",))
+    m = spark.sparkContext.broadcast(train(c))
     return each_slice(
         c,
         lambda js, labels: judge_languages(js, labels, m.value, cases),
         "id bigint, line_no bigint, lang string, confidence double, label string",
         [F.col("label")],
-        records,
     )
 
 
