@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import codecs
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from unicodedata import category
@@ -42,8 +43,9 @@ SUSPECT = 0.34
 SURE_PAIRS = 40
 #: Letters that a stripped line needs to be known by.
 SKELETON = 4
-#: Share of its votes that a garbled piece's character must have, and the number of pieces that are learned at most; encodings
+#: Votes that a garbled piece needs, the share of them that its character must have, and the number of pieces that are learned at most; encodings
 #: that are mistaken for one another have some hundred each.
+PIECE_VOTES = 2
 PIECE_SHARE = 0.9
 MOST_PIECES = 20_000
 _WIDE = np.dtype("<u4")
@@ -350,9 +352,9 @@ def apply_rule(line: str, right: str, wrong: str, model: Model | None = None) ->
         marks = {x: y for x in old if x != (y := runs.sub(_decoded(wrong), x)) and all(category(c) == "Cf" for c in y)}
         if marks:
             return apply_rule(runs.sub(lambda m: marks.get(m[0], m[0]), line), right, wrong, model)
-        for _ in range(3 if model else 1):  # text decoded wrongly twice makes sense only at the end
-            pieces = [runs.sub(_decoded(wrong), x) for x in pieces]
-            if pieces == old:
+        while True:  # text decoded wrongly several times makes sense only at the end; each time its pieces get shorter
+            before, pieces = pieces, [runs.sub(_decoded(wrong), x) for x in pieces]
+            if pieces == before:
                 break
             if model is None or model.better(_in_place(line, found, old), _in_place(line, found, pieces)):
                 new = iter(pieces)
@@ -424,16 +426,21 @@ def votes(garbled: str, clean: str) -> list[tuple[str, str]]:
 def inferred(garbled: str, clean: str) -> list[tuple[str, str]]:
     """(garbled piece, character) by aligning the characters of two lines whose ASCII is equal.
 
-    Runs must pair one to one. A run is taken apart evenly if its length is a multiple of the clean one's, or else by the number
-    of bytes of each character in UTF-8; a piece must stand for one character throughout the line, and all runs must come out.
+    Runs must pair one to one, and most of them stand inside words, next to a letter: then both lines are the same words, which
+    equal blanks and marks alone do not say. A run is taken apart evenly if its length is a multiple of the clean one's, or else by
+    the number of bytes of each character in UTF-8; a piece must stand for one character throughout the line and a character for
+    one piece, and all runs must come out.
     """
-    g_runs, c_runs = _RUN.findall(garbled), _RUN.findall(clean)
+    g_runs, c_runs = list(_RUN.finditer(garbled)), _RUN.findall(clean)
     if len(g_runs) != len(c_runs) or not aligned(garbled, clean):
         return []
+    if 2 * sum(bool(_LATIN.search(garbled[max(0, m.start() - 1) : m.start()] + garbled[m.end() : m.end() + 1])) for m in g_runs) <= len(g_runs):
+        return []
     for even in (True, False):
         known: dict[str, str] = {}
         good = True
-        for g, c in zip(g_runs, c_runs, strict=True):
+        for m, c in zip(g_runs, c_runs, strict=True):
+            g = m[0]
             sizes = [len(g) // len(c)] * len(c) if even else [len(x.encode("utf-8", "surrogatepass")) for x in c]
             if sum(sizes) != len(g):
                 good = False
@@ -442,7 +449,7 @@ def inferred(garbled: str, clean: str) -> list[tuple[str, str]]:
             for x, size in zip(c, sizes, strict=True):
                 good &= known.setdefault(g[at : at + size], x) == x
                 at += size
-        if good:
+        if good and len(set(known.values())) == len(known) and not any("\ufffd" in p for p in known):
             return sorted((p, x) for p, x in known.items() if p != x)
     return []
 
@@ -517,8 +524,8 @@ def learn(paired: DataFrame, model: Model, least: int = 1, sure: int = 2) -> tup
     ones; and the pieces inferred from twins that no rule explains.
 
     Scripts other than Latin leave little ASCII to find a twin by; there the pairs of the clean collection are the witness, and a
-    line of SURE_PAIRS pairs is witness enough. A piece must stand for the same character in PIECE_SHARE of its votes, and every
-    vote comes of a line that its twin's wording makes likelier.
+    line of SURE_PAIRS pairs is witness enough. A piece must stand for the same character in PIECE_SHARE of its votes, PIECE_VOTES
+    at least, and every vote comes of a different line that its twin's wording makes likelier.
     Most votes first. At most as many rules as candidates reach the driver, and MOST_PIECES pieces.
     """
 
@@ -529,18 +536,18 @@ def learn(paired: DataFrame, model: Model, least: int = 1, sure: int = 2) -> tup
             out = []
             for line, twin in zip(batch["line"], batch["twin"], strict=True):
                 found = votes(line, twin) if isinstance(twin, str) else []
-                out += [("rule", *r, 1, 0) for r in found]
+                out += [("rule", *r, 1, 0, 0) for r in found]
                 if not found and (r := sent.value.sure_rule(line)):
-                    out.append(("rule", *r, 0, 1 if sent.value.rare_share(line)[1] < SURE_PAIRS else sure))
+                    out.append(("rule", *r, 0, 1 if sent.value.rare_share(line)[1] < SURE_PAIRS else sure, 0))
                 elif not found and isinstance(twin, str) and sent.value.better([line], [twin]):
-                    out += [("piece", *r, 1, 0) for r in inferred(line, twin)]
-            yield pd.DataFrame(out, columns=["kind", "right", "wrong", "by_twin", "by_pairs"])
+                    out += [("piece", *r, 1, 0, zlib.crc32(line.encode("utf-8", "surrogatepass"))) for r in inferred(line, twin)]
+            yield pd.DataFrame(out, columns=["kind", "right", "wrong", "by_twin", "by_pairs", "of"])
 
-    got = _even(paired.select("line", "twin")).mapInPandas(run, "kind string, right string, wrong string, by_twin bigint, by_pairs bigint")
-    got = stored(got.groupBy("kind", "right", "wrong").agg(F.sum("by_twin").alias("t"), F.sum("by_pairs").alias("p")), "votes")
+    got = _even(paired.select("line", "twin")).mapInPandas(run, "kind string, right string, wrong string, by_twin bigint, by_pairs bigint, of bigint")
+    got = stored(got.groupBy("kind", "right", "wrong").agg(F.sum("by_twin").alias("t"), F.sum("by_pairs").alias("p"), F.count_distinct("of").alias("lines")), "votes")
     rows = sorted((r for r in got.where("kind = 'rule'").collect() if r["t"] >= least or r["p"] >= sure), key=lambda r: (-r["t"] - r["p"], CANDIDATES.index((r["right"], r["wrong"]))))
-    best = got.where("kind = 'piece'").groupBy(F.col("right").alias("piece")).agg(F.max_by("wrong", F.struct("t", "wrong")).alias("char"), F.max("t").alias("most"), F.sum("t").alias("all"))
-    pieces = best.where(F.col("most") >= F.col("all") * PIECE_SHARE).orderBy(F.desc("most"), "piece").limit(MOST_PIECES).collect()
+    best = got.where("kind = 'piece'").groupBy(F.col("right").alias("piece")).agg(F.max_by("wrong", F.struct("lines", "wrong")).alias("char"), F.max("lines").alias("most"), F.sum("lines").alias("all"))
+    pieces = best.where((F.col("most") >= PIECE_VOTES) & (F.col("most") >= F.col("all") * PIECE_SHARE)).orderBy(F.desc("most"), "piece").limit(MOST_PIECES).collect()
     return tuple((r["right"], r["wrong"]) for r in rows), {r["piece"]: r["char"] for r in pieces}
 
 

@@ -132,3 +132,73 @@ def test_long_lines_decoded_twice_vote():
     assert len(clean) > 4000
     twice = wrong(wrong(clean, "utf-8", "latin-1"), "utf-8", "latin-1")
     assert ("utf-8", "latin-1") in votes(twice, clean)
+
+
+def polish(seed):
+    """A sentence of invented words with the letters of iso8859-2, and figures."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("bdklmnprstwz") + rng.choice("aeioąęóyżłśźć") for _ in range(3))
+    return " ".join(word() for _ in range(9)) + f" {seed}."
+
+
+def test_an_unlisted_encoding_is_inferred_from_twins(spark):
+    """iso8859-2 read as cp1252 is no candidate: its pieces are learned from aligned twins and applied to lines without one."""
+    from corpusloom.llm.garble import inferred, repaired_lines, votes
+
+    garbled = [polish(k).encode("iso8859-2").decode("cp1252") for k in range(40)]
+    assert ("iso8859-2", "cp1252") not in CANDIDATES and votes(garbled[0], polish(0)) == []
+    assert dict(inferred(garbled[3], polish(3))).items() <= {bytes([b]).decode("cp1252", "replace"): bytes([b]).decode("iso8859-2") for b in range(0xA0, 0x100)}.items()
+    rows = [(k, f"http://a{k % 7}.test/{k}", f"s{k % 7}", None, f"{polish(k)}\n{polish(5000 + k)}") for k in range(3000)]
+    rows += [(10_000 + k, f"http://b.test/{k}", "b", None, garbled[k]) for k in range(5)]  # with a twin
+    rows += [(20_000 + k, f"http://b.test/{k}", "b", None, polish(9000 + k).encode("iso8859-2").decode("cp1252")) for k in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, url string, source string, title string, text string")
+    got = {(r["id"], r["line_no"]): (r["restored"], r["state"]) for r in repaired_lines(df, "doc_id").where("state in ('restored', 'twin', 'lost')").collect()}
+    assert {i for i, _ in got} == {*range(10_000, 10_005), *range(20_000, 20_003)}
+    assert sum(got[20_000 + k, 0][0] == polish(9000 + k) for k in range(3)) >= 2
+    assert all(got[10_000 + k, 0][0] == polish(k) for k in range(5))
+
+
+def test_words_in_the_same_places_are_no_twins():
+    """Equal blanks and marks do not make two lines of another script the same words."""
+    from corpusloom.llm.garble import inferred
+
+    assert inferred("快速贷款 nabo 代理", "首选马上 nabo 在线") == []
+    assert inferred("Müller fand übers Dünne", "Möller fand öbers Dönne") == [("ü", "ö")]  # a vote, which a likelier wording must bear out
+    assert inferred("caf� x", "café x") == [] and inferred("äa", "bä") == [] and inferred("", "") == []
+
+
+def test_twice_and_thrice_decoded_lines_of_any_length():
+    counts = np.zeros(1 << 19, dtype=np.int64)
+    from corpusloom.llm.garble import pair_slots, points_of
+
+    clean = "Die Höflichkeit prüft ältere Einträge, während die Größe wächst. " * 160
+    for _ in range(30):
+        counts += np.bincount(np.unique(pair_slots(points_of(clean))[1]), minlength=1 << 19)
+    model, bad = Model(counts), clean
+    assert len(clean) > 10_000
+    for _ in range(4):
+        bad = bad.encode().decode("cp1252", "replace") if all(ord(c) < 0x2600 for c in bad) else bad
+        if "�" in bad:
+            break
+        assert model.restore(bad) == (clean, True)
+
+
+def test_long_documents_need_surer_lines():
+    from corpusloom.llm.queries_language import others
+
+    short = [(80, "de", 0.9)] * 10 + [(80, "fr", 0.85)]
+    assert others(short, "de") == {"fr"}
+    assert others([(80, "de", 0.9)] * 3000 + [(80, "fr", 0.85)], "de") == set()
+    assert others([(80, "de", 0.9)] * 3000 + [(80, "fr", 0.9999)], "de") == {"fr"}
+    assert others([(80, "de", 0.9)] * 300 + [(80, "fr", 0.85)] * 60, "de") == {"fr"}
+    assert others([(80, "de", 0.9)] * 5 + [(20, "fr", 0.99), (50, None, 0.0)], "de") == set()
+
+
+def test_the_sample_takes_few_lines_of_a_document():
+    from corpusloom.llm.body import Judged
+    from corpusloom.llm.language import LINE_CHARS, RECORD_LINES
+    from corpusloom.llm.queries_language import drawn
+
+    j = Judged(1, None, [f"line number {k} of a long log" for k in range(3000)] + ["x" * 50_000], [1] * 3001)
+    got = drawn(j)
+    assert len(got) == RECORD_LINES == len(set(got)) and max(map(len, got)) <= LINE_CHARS and drawn(j) == got
