@@ -2,8 +2,8 @@
 
 First the family: Han and Cyrillic by their script; a linear support vector machine tells the Germanic from the Romance family.
 Inside a family one linear machine per pair of languages separates close relatives, and each pair votes by its margin.
-Features are the hashed words of a line and their character trigrams, in lower case; a fixed number of slots, so the machines are a small array
-that is sent to all tasks. They are fitted on the driver on a bounded sample of labelled documents (SAMPLE rows, drawn by a hash
+Features are the hashed words of a line and their character trigrams, in lower case; words that the sample hardly knows count less,
+as most are names. A fixed number of slots makes the machines a small array that is sent to all tasks. They are fitted on the driver on a bounded sample of labelled documents (SAMPLE rows, drawn by a hash
 of the id), twice: labels may be wrong, so lines that the first fit clearly contradicts are left out of the second.
 
 Lines that are not the record's own (site lines, furniture) are ignored, garbled ones are read as they were written. The main
@@ -32,6 +32,10 @@ SAMPLE = 1_500
 LINES = 700
 RECORD_LINES = 20
 LINE_CHARS = 2_000
+#: What a word counts that hardly occurs in the sample; most are names, which tell little of the language around them.
+UNKNOWN = 0.5
+#: Letters that say as much as a Han character.
+HAN_LETTERS = 4
 
 _HAN = re.compile(r"[㐀-鿿]")
 _CYRILLIC = re.compile(r"[Ѐ-ӿ]")
@@ -49,24 +53,19 @@ def word_slots(word: str) -> list[int]:
 
 
 def words_of(line: str) -> list[str]:
-    """The words of a line in lower case with the punctuation at them, without addresses."""
-    return (_ADDRESS.sub(" ", line) if "://" in line or "www." in line else line).lower().split()
+    """The words of a line in lower case, taken apart at apostrophes too, without addresses and figures."""
+    return _WORD.findall((_ADDRESS.sub(" ", line) if "://" in line or "www." in line else line).lower())
 
 
 class _Rows(dict):
-    """Row of each word in the table of a process, made when first asked for.
+    """Row of each word in the table of a process, made when first asked for."""
 
-    Long words that the sample does not know are mostly names, which tell nothing of the language around them: with
-    `only_known` they have row 0.
-    """
-
-    def __init__(self, machines: Machines, only_known: bool) -> None:
+    def __init__(self, machines: Machines) -> None:
         super().__init__()
-        self.machines, self.only_known = machines, only_known
+        self.machines = machines
 
     def __missing__(self, word: str) -> int:
-        known = not self.only_known or len(word) < 6 or word in self.machines.vocabulary
-        self[word] = row = self.machines.add(word) if known else 0
+        self[word] = row = self.machines.add(word)
         return row
 
 
@@ -80,10 +79,10 @@ class Machines:
     vocabulary: frozenset[str] = frozenset()
 
     def __post_init__(self) -> None:
-        # caches of this process: summed weights of each word, the last column counting its features; row 0 is a word left out
+        # caches of this process: summed weights of each word, the last column counting its features
         self._table = np.zeros((1024, self.weights.shape[1] + 1))
-        self._used = 1
-        self._known, self._any = _Rows(self, True), _Rows(self, False)
+        self._used = 0
+        self._rows = _Rows(self)
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
@@ -96,16 +95,15 @@ class Machines:
         if self._used == len(self._table):
             self._table = np.concatenate([self._table, np.zeros_like(self._table)])
         slots = word_slots(word)
-        self._table[self._used, :-1] = self.weights[slots].sum(axis=0)
-        self._table[self._used, -1] = len(slots)
+        share = 1.0 if word in self.vocabulary else UNKNOWN
+        self._table[self._used, :-1] = share * self.weights[slots].sum(axis=0)
+        self._table[self._used, -1] = share * len(slots)
         self._used += 1
         return self._used - 1
 
     def rows_of(self, line: str) -> list[int]:
-        """Rows of a line's words, of long unknown ones only where hardly a known word is left."""
-        words = words_of(line)
-        rows = list(map(self._known.__getitem__, words))
-        return rows if len(rows) - rows.count(0) >= 2 else list(map(self._any.__getitem__, words))
+        """Rows of a line's words."""
+        return list(map(self._rows.__getitem__, words_of(line)))
 
     def margins(self, lines: list[list[int]]) -> np.ndarray:
         """Margin of every line of rows under every machine; feature counts are scaled to unit length."""
@@ -115,7 +113,7 @@ class Machines:
             flat = np.fromiter(chain.from_iterable(lines), dtype=np.int64)
             starts = np.cumsum([0, *(len(lines[i]) for i in filled[:-1])])
             sums = np.add.reduceat(self._table[flat], starts, axis=0)
-            out[filled] = sums[:, :-1] / np.sqrt(np.maximum(sums[:, -1:], 1))
+            out[filled] = sums[:, :-1] / np.sqrt(np.maximum(sums[:, -1:], 1.0))
         if self._used > 200_000:
             self.__post_init__()
         return out + self.bias
@@ -138,9 +136,9 @@ class Machines:
                 latin.append(i)
                 continue
             # names and units are in Latin letters inside any script, and a quotation may be in another one
-            lat = sum(len(w) for w in _LATIN_WORD.findall(x.lower()) if len(w) < 6 or w in self.vocabulary)
+            lat = sum(len(w) * (1.0 if w in self.vocabulary else UNKNOWN) for w in _LATIN_WORD.findall(x.lower()))
             if 2 * han >= lat and 2 * han >= cyr and han:
-                langs[i], conf[i] = "zh", 2.5 * han / (2.5 * han + lat + cyr)
+                langs[i], conf[i] = "zh", HAN_LETTERS * han / (HAN_LETTERS * han + lat + cyr)
             elif cyr and cyr >= 0.7 * lat:
                 langs[i], conf[i] = "ru", cyr / (han + lat + cyr)
             else:
@@ -205,9 +203,7 @@ def fit(samples: list[tuple[str, str]], rounds: int = 2) -> Machines:
     vocabulary = frozenset(w for w, n in seen.items() if n >= 3)
     for lang, line in samples:
         if any(lang in f for f in LATIN_FAMILIES.values()) and len(_LATIN.findall(line)) >= 0.6 * len(line.replace(" ", "")) and len(line) >= 15:
-            words = words_of(line)
-            known = [w for w in words if w in vocabulary or len(w) < 6]
-            by.setdefault(lang, []).append(known if len(known) >= 2 else words)
+            by.setdefault(lang, []).append(words_of(line))
     kept = {lang: lines[:LINES] for lang, lines in by.items()}
     machines = Machines(np.zeros((SLOTS, len(_columns()))), np.zeros(len(_columns())), _columns(), vocabulary)
     family_of = {lang: f for f, langs in LATIN_FAMILIES.items() for lang in langs}
@@ -215,8 +211,10 @@ def fit(samples: list[tuple[str, str]], rounds: int = 2) -> Machines:
         rows = [(lang, line) for lang, lines in kept.items() for line in lines]
         feats = []
         for _, words in rows:
-            slots, counts = np.unique(np.array([x for w in words for x in word_slots(w)], dtype=np.int64), return_counts=True)
-            feats.append((slots, counts / np.sqrt(max(counts.sum(), 1))))
+            slots = [(x, 1.0 if w in vocabulary else UNKNOWN) for w in words for x in word_slots(w)]
+            places, where = np.unique(np.array([x for x, _ in slots], dtype=np.int64), return_inverse=True)
+            counts = np.bincount(where, weights=[c for _, c in slots], minlength=len(places))
+            feats.append((places, counts / np.sqrt(max(counts.sum(), 1.0))))
         machines.__post_init__()
         for k, (a, b) in enumerate(machines.columns):
             side = [(1.0 if (family_of[lang] if k == 0 else lang) == a else -1.0 if (family_of[lang] if k == 0 else lang) == b else 0.0) for lang, _ in rows]
@@ -227,7 +225,7 @@ def fit(samples: list[tuple[str, str]], rounds: int = 2) -> Machines:
             machines.weights[:, k], machines.bias[k] = _svm([feats[i] for i in pick], np.array([side[i] for i in pick]), seed=k)
         if r + 1 < rounds:
             for lang, lines in kept.items():
-                said, sure = machines.decide(machines.margins([[machines._any[w] for w in words] for words in lines]))
+                said, sure = machines.decide(machines.margins([[machines._rows[w] for w in words] for words in lines]))
                 good = [x for x, s, c in zip(lines, said, sure, strict=True) if s == lang or c < 0.7]
                 kept[lang] = good if len(good) >= 0.5 * len(lines) else lines
     return machines

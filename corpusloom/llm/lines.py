@@ -118,6 +118,11 @@ def _root(total: int) -> Column:
     return F.when(m <= 0, F.lit(1e6)).when(a * m <= b * n, F.lit(0.0)).otherwise(F.sqrt(F.greatest(_g2(a, n, b, m), F.lit(0.0))))
 
 
+def _beside_sizes(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Pairs (site, key) with the sizes of their site; sites are sent if they are few, else those of many pairs are spread."""
+    return pairs.join(F.broadcast(sizes), "site") if is_small(sizes) else salted_join(pairs, sizes, "site", "key", hot_keys(pairs, "site"), "inner")
+
+
 def site_lines(
     lines: DataFrame,
     share: float = 0.1,
@@ -137,12 +142,11 @@ def site_lines(
     counted = line_counts(lines) if counted is None else counted
     totals = line_totals(counted) if totals is None else totals
     total = sizes.agg(F.sum("d_site")).first()[0] or 0
-    few = sized(sizes)
     least_root = 0.0
     if tested:
         pairs = counted.select("site", "key", "d_in").join(totals, "key")
-        least_root = _threshold(pairs.join(few, "site").select(_root(total).alias("z")), counted.count(), fdr)
-    much = counted.where((F.col("n_in") >= least) & (F.col("d_in") >= least)).join(few, "site").where(F.col("n_in") >= F.col("n_site") * share)
+        least_root = _threshold(_beside_sizes(pairs, sizes).select(_root(total).alias("z")), counted.count(), fdr)
+    much = _beside_sizes(counted.where((F.col("n_in") >= least) & (F.col("d_in") >= least)), sizes).where(F.col("n_in") >= F.col("n_site") * share)
     rows = stored(much, "line-cases")
     rows = rows.join(totals.join(sized(rows.select("key").distinct()), "key", "left_semi"), "key")
     rows = rows.select("site", "key", "n_in", "n_site", (F.col("d_all") - F.col("d_in")).alias("n_out"), _root(total).alias("z"))

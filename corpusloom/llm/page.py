@@ -19,7 +19,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from itertools import pairwise
+from itertools import chain, pairwise
 
 import numpy as np
 
@@ -73,14 +73,15 @@ FUNCTION_CHARS = frozenset("的了是和并但而与就之不也把被里后前
 _TAG = re.compile(r"<[^<>]+>")
 _URL = re.compile(r"\[[^\]\n]*\]\(\S*\)|(?:https?://|www\.)\S+")
 _WORD = re.compile(r"[^\W\d_]+")
-_TERM = re.compile(r"[^\W\d_㐀-鿿]+|[㐀-鿿]+")
+_TERM = re.compile(r"[^\W\d_㐀-鿿]+|\n|[㐀-鿿]+")
 _HAN = re.compile(r"[㐀-鿿]")
 _DIGIT = re.compile(r"\d")
 _BULLET = re.compile(r"^[»•*>·‣▪–—-]+\s+")
 _COUNT = re.compile(r"\s*[(（]\d+[)）]\s*$")
 _PIECES = re.compile(r"\s+[|·/–—>»•→]\s+|\s*[|\t]\s*|\s{2,}")
 _COMMA = re.compile(r"\s*[,，]\s+")
-_MARKS = frozenset("|·/–—>»•→\t")
+_MARK = re.compile("[|·/–—>»•→\t]|  ")
+_BULLETS = frozenset("»•*>·‣▪–—-")
 _LABEL = re.compile(r"^([^:：]+)[:：]\s*(.+)$")
 _ENDED = frozenset(".!?。！？…")
 
@@ -108,11 +109,12 @@ def _is_link(s: str, known: Known) -> bool:
     """Whether a line leads to other records: it is worded like a title, or a label before such ones."""
     if ":" not in s and "–" not in s and "：" not in s:
         return False
-    core = _COUNT.sub("", _BULLET.sub("", s))
+    core = _BULLET.sub("", s) if s[0] in _BULLETS else s
+    core = _COUNT.sub("", core) if core[-1:] in (")", "）") else core
     if worded_like_title(core, known):
         return True
     m = _LABEL.match(core)
-    return bool(m) and all(worded_like_title(p.strip(), known) for p in re.split(r"\s+·\s+", m[2]))
+    return bool(m) and all(worded_like_title(p.strip(), known) for p in (re.split(r"\s+·\s+", m[2]) if "·" in m[2] else (m[2],)))
 
 
 def mass(s: str) -> int:
@@ -122,7 +124,7 @@ def mass(s: str) -> int:
 
 def weight(s: str, known: Known) -> tuple[int, bool]:
     """(characters of running text in a line without tags, whether it is a menu: short pieces between marks, each once, no figures)."""
-    marked = "  " in s or not _MARKS.isdisjoint(s)
+    marked = _MARK.search(s) is not None
     if marked:
         pieces = [p for p in _PIECES.split(_BULLET.sub("", s)) if p]
     elif "," in s and s[-1] not in _ENDED:
@@ -197,10 +199,10 @@ def kinds(lines: list[str], keys: list[int], own: set[int], known: Known, title:
 
 
 class _Codes(dict):
-    """Number of each term, -1 for function words; of every number whether it stands for Han characters."""
+    """Number of each term, -1 for function words and -2 for the end of a line; of every number whether it stands for Han characters."""
 
     def __init__(self) -> None:
-        super().__init__()
+        super().__init__({"\n": -2})
         self.han = bytearray()
 
     def __missing__(self, term: str) -> int:
@@ -237,19 +239,15 @@ def recurrence(records: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.nda
     if len(_CODES) > MOST_CODES:
         _CODES = _Codes()
     r = len(records)
-    terms: list[str] = []
-    sizes, owner = [], []
-    for k, lines in enumerate(records):
-        for x in lines:
-            found = _TERM.findall(x.lower())
-            terms += found
-            sizes.append(len(found))
-            owner.append(k)
+    if not any(records):
+        return np.zeros(r, dtype=np.int64), np.zeros(r), np.zeros(r), np.zeros(r)
+    terms = _TERM.findall("\n".join(chain.from_iterable(records)).lower())
     code = np.fromiter(map(_CODES.__getitem__, terms), dtype=np.int64, count=len(terms))
+    line = np.cumsum(code == -2)
     keep = np.flatnonzero(code >= 0)
-    line = np.repeat(np.arange(len(sizes)), sizes)[keep]
-    rec = np.repeat(np.array(owner, dtype=np.int64), sizes)[keep]
-    code = code[keep]
+    owner = np.repeat(np.arange(r), [len(x) for x in records])
+    line, code = line[keep], code[keep]
+    rec = owner[line]
     n = np.bincount(rec, minlength=r)
     near, auto, steady = np.zeros(r), np.zeros(r), np.zeros(r)
     if not len(code):

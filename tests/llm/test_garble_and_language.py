@@ -202,3 +202,31 @@ def test_the_sample_takes_few_lines_of_a_document():
     j = Judged(1, None, [f"line number {k} of a long log" for k in range(3000)] + ["x" * 50_000], [1] * 3001)
     got = drawn(j)
     assert len(got) == RECORD_LINES == len(set(got)) and max(map(len, got)) <= LINE_CHARS and drawn(j) == got
+
+
+#: Everyday sentences on other matters and of other make than those the machines are fitted on; one language after the other.
+EVERYDAY = {
+    "en": ["The cat and the dog sat by the fire and waited for the children.", "Snow fell while they were on their way to the old mill.", "Nobody noticed that the small boat was gone before the next morning."],
+    "de": ["Die Katze und der Hund saßen am Feuer und warteten auf die Kinder.", "Es schneite, während sie auf dem Weg zur alten Mühle waren.", "Niemand bemerkte, dass das kleine Boot vor dem nächsten Morgen weg war."],
+    "fr": ["Le chat et le chien attendaient les enfants près de la cheminée.", "La neige tombait pendant que chaque voisin rentrait avant la nuit.", "Les petits bateaux attendent leur tour car la mer est trop haute."],
+    "es": ["El gato y el perro esperan a los niños porque la cena está lista.", "La nieve caía mientras los vecinos antiguos esperan su turno.", "Nadie notó que las barcas pequeñas no estaban antes de la mañana."],
+    "pt": ["O gato e o cão esperam as crianças porque o jantar está pronto.", "A neve caía enquanto os vizinhos esperam a sua vez e ninguém reparou.", "As barcas pequenas não estavam antes da manhã, porque o mar é alto."],
+}
+
+
+def test_languages_on_another_style():
+    """Fitted on word salads of one field, tried on everyday sentences; unknown words are most of them."""
+    machines = fit(sentences(120, 1))
+    test = [(lang, x) for lang, xs in EVERYDAY.items() for x in xs]
+    got, _ = machines.classify([x for _, x in test])
+    assert np.mean([a == b for (a, _), b in zip(test, got, strict=True)]) >= 0.8, list(zip(test, got, strict=True))
+
+
+def test_names_in_another_script_make_no_second_language():
+    """Names and units in Latin letters stand in Han text, as lists of fields have them."""
+    from corpusloom.llm.queries_language import others
+
+    machines = fit(sentences(60, 1))
+    lines = ["namostulonom_trupa: int – 归档库针对每种语言收集剩余的请求，但是计数器稍等片刻后跳过所有外部链接。", "legokestinil_truli: string – 没有人注意到 Vustekriplaver 重复询问了 15 次。", "排序阶段在一次遍历中拒绝简短的汇总（Rabraplopuskum 4.11）。"]
+    got, conf = machines.classify(lines)
+    assert got == ["zh"] * 3 and others([(len(x), a, c) for x, a, c in zip(lines, got, conf, strict=True)], "zh") == set()
