@@ -2,8 +2,8 @@
 
 First the family: Han and Cyrillic by their script; a linear support vector machine tells the Germanic from the Romance family.
 Inside a family one linear machine per pair of languages separates close relatives, and each pair votes by its margin.
-Features are the hashed words of a line and their character trigrams, in lower case; words that the sample hardly knows count less,
-as most are names. A fixed number of slots makes the machines a small array that is sent to all tasks. They are fitted on the driver on a bounded sample of labelled documents (SAMPLE rows, drawn by a hash
+Features are the hashed words of a line and their character trigrams, in lower case; of words that the sample hardly knows only
+their ends, as most are names. A fixed number of slots makes the machines a small array that is sent to all tasks. They are fitted on the driver on a bounded sample of labelled documents (SAMPLE rows, drawn by a hash
 of the id), twice: labels may be wrong, so lines that the first fit clearly contradicts are left out of the second.
 
 Lines that are not the record's own (site lines, furniture) are ignored, garbled ones are read as they were written. The main
@@ -32,7 +32,7 @@ SAMPLE = 1_500
 LINES = 700
 RECORD_LINES = 20
 LINE_CHARS = 2_000
-#: What a word counts that hardly occurs in the sample; most are names, which tell little of the language around them.
+#: What a Latin word inside another script counts that hardly occurs in the sample; most are names.
 UNKNOWN = 0.5
 #: Letters that say as much as a Han character.
 HAN_LETTERS = 4
@@ -46,8 +46,12 @@ _ADDRESS = re.compile(r"(?:https?://|www\.)\S+")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def word_slots(word: str) -> list[int]:
-    """Slots of a word and of its trigrams, with its borders."""
+def word_slots(word: str, known: bool = True) -> list[int]:
+    """Slots of a word and of its trigrams, with its borders; of a word that the sample hardly knows, of its beginning and endings,
+    which tell most of its language."""
+    padded = f" {word} ".encode("utf-8", "surrogatepass")
+    if not known:
+        return [zlib.crc32(padded[:4]) % SLOTS, zlib.crc32(padded[-4:]) % SLOTS, zlib.crc32(padded[-3:]) % SLOTS]
     padded = f" {word} "
     return [zlib.crc32(padded.encode("utf-8", "surrogatepass")) % SLOTS, *(zlib.crc32(padded[i : i + 3].encode("utf-8", "surrogatepass")) % SLOTS for i in range(len(padded) - 2))]
 
@@ -94,10 +98,9 @@ class Machines:
     def add(self, word: str) -> int:
         if self._used == len(self._table):
             self._table = np.concatenate([self._table, np.zeros_like(self._table)])
-        slots = word_slots(word)
-        share = 1.0 if word in self.vocabulary else UNKNOWN
-        self._table[self._used, :-1] = share * self.weights[slots].sum(axis=0)
-        self._table[self._used, -1] = share * len(slots)
+        slots = word_slots(word, word in self.vocabulary)
+        self._table[self._used, :-1] = self.weights[slots].sum(axis=0)
+        self._table[self._used, -1] = len(slots)
         self._used += 1
         return self._used - 1
 
@@ -211,10 +214,8 @@ def fit(samples: list[tuple[str, str]], rounds: int = 2) -> Machines:
         rows = [(lang, line) for lang, lines in kept.items() for line in lines]
         feats = []
         for _, words in rows:
-            slots = [(x, 1.0 if w in vocabulary else UNKNOWN) for w in words for x in word_slots(w)]
-            places, where = np.unique(np.array([x for x, _ in slots], dtype=np.int64), return_inverse=True)
-            counts = np.bincount(where, weights=[c for _, c in slots], minlength=len(places))
-            feats.append((places, counts / np.sqrt(max(counts.sum(), 1.0))))
+            slots, counts = np.unique(np.array([x for w in words for x in word_slots(w, w in vocabulary)], dtype=np.int64), return_counts=True)
+            feats.append((slots, counts / np.sqrt(max(counts.sum(), 1))))
         machines.__post_init__()
         for k, (a, b) in enumerate(machines.columns):
             side = [(1.0 if (family_of[lang] if k == 0 else lang) == a else -1.0 if (family_of[lang] if k == 0 else lang) == b else 0.0) for lang, _ in rows]
