@@ -80,6 +80,17 @@ def stored(df: DataFrame, label: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def stream_folder(spark: SparkSession, label: str) -> str:
+    """A new folder beside the stored steps for a stream's files and state; it is deleted with them."""
+    ship(spark)
+    folder = f"{scratch_dir(spark)}/corpusloom/{label}-{uuid.uuid4().hex}"
+    path, fs = _path(spark, folder)
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    _STEPS.append(folder)
+    return folder
+
+
 def release(spark: SparkSession) -> int:
     """Delete all stored steps so far and give their number; call it when the results of earlier queries have been read.
     What `kept` stored remains."""
@@ -96,10 +107,15 @@ def release(spark: SparkSession) -> int:
 _KEPT: dict[tuple, tuple[str, DataFrame]] = {}
 
 
+def is_folder(spark: SparkSession, folder: str) -> bool:
+    path, fs = _path(spark, folder)
+    return fs.getFileStatus(path).isDirectory()
+
+
 def fingerprint(spark: SparkSession, folder: str) -> str:
     """Names, sizes and times of a table's files."""
     path, fs = _path(spark, folder)
-    files = [path] if not fs.getFileStatus(path).isDirectory() else [x.getPath() for x in fs.listStatus(path)]
+    files = [path] if not is_folder(spark, folder) else [x.getPath() for x in fs.listStatus(path)]
     said = [(f.getName(), s.getLen(), s.getModificationTime()) for f in files for s in [fs.getFileStatus(f)]]
     return str(sorted(said))
 

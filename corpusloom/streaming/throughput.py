@@ -8,11 +8,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
+from corpusloom.sources.tables import stream_folder
 
-def event_stream(spark: SparkSession, folder: str, schema: str, files_per_batch: int = 1) -> DataFrame:
-    """Parquet files of a folder as they arrive."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+
+def event_stream(spark: SparkSession, folder: str, schema: str | StructType, files_per_batch: int = 1, only: str | None = None) -> DataFrame:
+    """Parquet files of a folder as they arrive, those with a name like `only` if given; so many of them make a micro-batch, which
+    bounds what one batch holds of a host."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    return (reader.option("pathGlobFilter", only) if only else reader).parquet(folder)
 
 
 def counts_per_interval(events: DataFrame, ts: str = "ts", seconds: int = 1, late: str = "10 minutes") -> DataFrame:
@@ -50,3 +55,11 @@ def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def settled(stream: DataFrame, label: str = "stream") -> DataFrame:
+    """Run a stream over what is there into Parquet files of the shared folder, and read them; its state and offsets lie beside."""
+    folder = stream_folder(stream.sparkSession, label)
+    writer = stream.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
