@@ -9,6 +9,7 @@ from __future__ import annotations
 import ipaddress
 import posixpath
 import re
+from functools import reduce
 from urllib.parse import parse_qsl, quote, unquote, urlencode, urlsplit
 
 import pandas as pd
@@ -154,16 +155,21 @@ def canonical_url(url: Column) -> Column:
 _PLAIN = r"^(?i:https?)://[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[A-Za-z0-9/._~-]*)?(?:\?[A-Za-z0-9._~&=-]*)?(?:#[A-Za-z0-9/._~&=?-]*)?$"
 
 
+#: An address that is its own crawl key.
+_KEY_FORM = r"^https?://[a-z0-9-]+(?:\.[a-z0-9-]+)*/(?:[A-Za-z0-9_~-][A-Za-z0-9._~-]*(?:/[A-Za-z0-9_~-][A-Za-z0-9._~-]*)*)?$"
+
+
 def with_keys(rows: DataFrame, *columns: str) -> DataFrame:
     """`rows` with the addresses in `columns` turned into their crawl keys; rows with an address that has none are left out.
 
-    Plain addresses, nearly all, stay in the JVM; only the others go through Arrow batches.
+    Rows of plain addresses, nearly all, stay in the JVM, and there addresses that are keys already are left as they are; only the
+    others go through Arrow batches.
     """
-    for c in columns:
-        plain = F.coalesce(F.col(c).rlike(_PLAIN), F.lit(False))
-        one = rows.where(plain).withColumn(c, normalize_plain(F.col(c)))
-        rows = one.unionByName(rows.where(~plain & F.col(c).isNotNull()).withColumn(c, normalize_url(F.col(c)))).where(F.col(c).isNotNull())
-    return rows
+    plain = reduce(lambda x, y: x & y, [F.coalesce(F.col(c).rlike(_PLAIN), F.lit(False)) for c in columns])
+    known = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in columns])
+    one = rows.where(plain).withColumns({c: F.when(F.col(c).rlike(_KEY_FORM), F.col(c)).otherwise(normalize_plain(F.col(c))) for c in columns})
+    other = rows.where(~plain & known).withColumns({c: normalize_url(F.col(c)) for c in columns})
+    return one.unionByName(other).where(known)
 
 
 def strip_fragment(url: Column) -> Column:

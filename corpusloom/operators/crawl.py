@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.http import ok, page_like
 from corpusloom.functions.url import host_of, path_of, with_keys
-from corpusloom.operators.scale import hot_keys, is_small, salted_join
+from corpusloom.operators.scale import hot_keys, is_small, salted_join, spread
 from corpusloom.sources.tables import stored
 
 SITE_PAGES = 120
@@ -78,7 +78,7 @@ def crawl(
     """
     spark = seeds.sparkSession
     if not keyed:
-        seeds, links = with_keys(seeds, "url"), stored(with_keys(links.select("src", "dst"), "src", "dst"), "keyed-links")
+        seeds, links = with_keys(seeds, "url"), stored(with_keys(spread(links.select("src", "dst")), "src", "dst"), "keyed-links")
         pages = None if pages is None else stored(with_keys(fetchable(pages).select("url"), "url").distinct(), "keyed-pages")
         known = None if known is None else stored(with_keys(known.select("url"), "url").distinct(), "keyed-known")
     elif pages is not None:

@@ -15,8 +15,9 @@ from corpusloom.operators import crawl as C
 from corpusloom.operators import frontier as R
 from corpusloom.operators import rules as L
 from corpusloom.operators import schedule as S
+from corpusloom.operators.index import search
 from corpusloom.plans.engine import Engine
-from corpusloom.plans.reference import _CANON, _KEY, _MINUTES, _ORIGIN, _PATH, ASKED, _esc, _escaped, _pages, _u, documents
+from corpusloom.plans.reference import _CANON, _KEY, _MINUTES, _ORIGIN, _PATH, _POSTINGS, _SCORES, ASKED, _esc, _escaped, _pages, _u, documents, index_of
 from corpusloom.sources.tables import table
 
 QUERIES: dict = {}
@@ -157,20 +158,37 @@ def distinct_keys(spark: SparkSession, d: str) -> DataFrame:
     return U.with_keys(e, "url").distinct()
 
 
-@query(
-    """WITH b AS (SELECT doc_id, text, strlen(substr(lower(text), 1, CAST(i - 1 AS BIGINT))) AS n, i FROM (SELECT doc_id, text, coalesce(nullif(instr(lower(text), 'crawler queue'), 0), nullif(instr(lower(text), 'crawler'), 0),
+_CUT = (
+    """b AS (SELECT doc_id, text, strlen(substr(lower(text), 1, CAST(i - 1 AS BIGINT))) AS n, i FROM (SELECT doc_id, text, coalesce(nullif(instr(lower(text), 'crawler queue'), 0), nullif(instr(lower(text), 'crawler'), 0),
   nullif(instr(lower(text), 'queue'), 0), 1) AS i FROM documents)),
 k AS (SELECT *, CASE WHEN n <= 60 THEN 0 ELSE list_filter(range(0, 61), lambda j: strlen(substr(text, CAST(i - j AS BIGINT), j)) >= 60)[1] END AS j FROM b),
-s AS (SELECT *, CASE WHEN n <= 60 THEN 0 ELSE i - 1 - j + strlen(substr(text, CAST(i - j AS BIGINT), j)) - 60 END AS b FROM k)
-SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN '' ELSE """
+s AS (SELECT *, CASE WHEN n <= 60 THEN 0 ELSE i - 1 - j + strlen(substr(text, CAST(i - j AS BIGINT), j)) - 60 END AS b FROM k),
+cut AS (SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN '' ELSE """
     + _esc("(CASE WHEN b > 0 THEN '…' ELSE '' END || regexp_replace(substr(text, CAST(b AS BIGINT) + 1, 180), '^[\\s\\x{85}\\p{Z}]+|[\\s\\x{85}\\p{Z}]+$', '', 'g') || CASE WHEN b + 180 < length(text) THEN '…' ELSE '' END)")
-    + " END AS snippet FROM s"
+    + " END AS snippet FROM s)\n"
 )
+
+
+@query("WITH " + _CUT + "SELECT doc_id, snippet FROM cut")
 def snippets_by_bytes(spark: SparkSession, d: str) -> DataFrame:
     """Snippets of every document by the byte rule that the search uses, escaped."""
     return documents(spark, d).select("doc_id", T.escape_html(T.snippet_bytes(F.col("body"), ASKED)).alias("snippet"))
 
 
+_MARKED = "regexp_replace({x}, '(?i)(crawler queue|crawler|queue)', '<mark>\\1</mark>', 'g')"
+
+
+@query(
+    _POSTINGS
+    + f""", {_CUT}, hit AS (SELECT s.doc_id, score FROM ({_SCORES}) s JOIN documents USING (doc_id) ORDER BY score DESC, url, doc_id LIMIT 50)
+SELECT doc_id, url, {_MARKED.format(x=_esc("coalesce(title, '')"))} AS title, CAST(score AS DOUBLE) AS score, {_MARKED.format(x="snippet")} AS snippet, true AS highlight
+FROM hit JOIN documents USING (doc_id) JOIN cut USING (doc_id)"""
+)
+def search_page(spark: SparkSession, d: str) -> DataFrame:
+    """A full answer to a search: addresses, marked titles and snippets, scores."""
+    return search(documents(spark, d), index_of(spark, d), ASKED, 50)
+
+
 # --- crawl and frontier ---------------------------------------------------------------------------------------------------
 
 _START = "stiralastonan-notes.test"

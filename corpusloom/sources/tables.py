@@ -104,7 +104,8 @@ def release(spark: SparkSession) -> int:
     return n
 
 
-_KEPT: dict[tuple, tuple[str, DataFrame]] = {}
+#: By application, table and label: the table's fingerprint, the folder and what is stored there.
+_KEPT: dict[tuple, tuple[str, str, DataFrame]] = {}
 
 
 def is_folder(spark: SparkSession, folder: str) -> bool:
@@ -121,11 +122,16 @@ def fingerprint(spark: SparkSession, folder: str) -> str:
 
 
 def kept(spark: SparkSession, sf_dir: str, name: str, label: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """What `make` stored from table `name`, made once in an application and again when the table's files change."""
+    """What `make` stored last from table `name`, made once in an application, and again when the table's files change or the
+    stored ones are gone. `release` leaves it."""
     key = (spark.sparkContext.applicationId, sf_dir, name, label)
     now = fingerprint(spark, f"{sf_dir}/{name}.parquet")
-    if key not in _KEPT or _KEPT[key][0] != now:
-        before = len(_STEPS)
-        _KEPT[key] = (now, make())
-        del _STEPS[before:]
-    return _KEPT[key][1]
+    if key in _KEPT:
+        path, fs = _path(spark, _KEPT[key][1])
+        if _KEPT[key][0] == now and fs.exists(path):
+            return _KEPT[key][2]
+    before = len(_STEPS)
+    made = make()
+    _KEPT[key] = (now, _STEPS[-1], made)
+    del _STEPS[before:]
+    return made

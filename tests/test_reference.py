@@ -526,3 +526,28 @@ def test_broadcasts_are_checked_in_bytes(spark):
 
     df = spark.range(10).select(F.repeat(F.lit("x"), 1000).alias("t"), F.lit(None).cast("string").alias("a.b"))
     assert is_small(df) and not is_small(df, limit=9) and not is_small(df, most=5000) and is_small(df.limit(0))
+
+
+def test_a_kept_index_follows_its_table(spark, tmp_path):
+    import shutil
+
+    from corpusloom.sources import tables
+
+    def write(n):
+        spark.range(n).write.mode("overwrite").parquet(f"{tmp_path}/t.parquet")
+
+    made = []
+
+    def make():
+        made.append(1)
+        return tables.stored(spark.read.parquet(f"{tmp_path}/t.parquet"), "kept")
+
+    get = lambda: tables.kept(spark, str(tmp_path), "t", "x", make)
+    write(3)
+    assert get().count() == 3 and get().count() == 3 and len(made) == 1
+    tables.release(spark)
+    assert get().count() == 3 and len(made) == 1
+    write(5)
+    assert get().count() == 5 and len(made) == 2
+    shutil.rmtree(get().inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0])
+    assert get().count() == 5 and len(made) == 3
