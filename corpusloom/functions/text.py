@@ -5,7 +5,6 @@ from __future__ import annotations
 import html
 import re
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -126,7 +125,7 @@ def _escaped(text: str) -> str:
 def snippet(body: Column, query: str, mark: bool = True) -> Column:
     """180 characters of `body` that begin 60 before the first occurrence of the query or else of its first word found.
 
-    Built-in functions only; positions are counted in characters, see `snippet_bytes` for the exact byte rule.
+    Positions are counted in characters, see `exact_snippet` for the byte rule that a search uses.
     """
     low = lower(body)
     wanted = [query.strip().lower(), *(w.lower() for w in query.split())]
@@ -138,7 +137,7 @@ def snippet(body: Column, query: str, mark: bool = True) -> Column:
 
 
 def cut_snippet(body: str | None, query: str) -> str:
-    """The snippet's text by the byte rule: 60 bytes before the hit in UTF-8, a stray byte counting as one character."""
+    """What `exact_snippet` cuts of a single text: 60 bytes before the hit in UTF-8, a stray byte counting as one character."""
     if not body:
         return ""
     low, raw = body.lower().encode("utf-8", "surrogatepass"), body.encode("utf-8", "surrogatepass")
@@ -155,11 +154,18 @@ def cut_snippet(body: str | None, query: str) -> str:
     return ("…" if start else "") + body[start:end].strip() + ("…" if end < len(body) else "")
 
 
-def snippet_bytes(body: Column, query: str) -> Column:
-    """`cut_snippet` over Arrow batches; escaping and marking stay in the JVM."""
-
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: cut_snippet(t, query))
-
-    return cut(body)
+def exact_snippet(body: Column, query: str) -> Column:
+    """180 characters of `body`, not escaped, that begin 60 bytes before the first occurrence of the query or else of its first word
+    found. Bytes are those of UTF-8; of a character that the beginning falls into, every byte before it counts as a character.
+    """
+    low = F.lower(body)
+    wanted = [query.strip().lower(), *(w.lower() for w in query.split())]
+    at = F.coalesce(*[F.nullif(F.instr(low, w), F.lit(0)) for w in wanted if w], F.lit(1)) if any(wanted) else F.lit(1)
+    cut = F.least(F.greatest(F.octet_length(F.left(low, at - 1)) - 60, F.lit(0)), F.octet_length(body))
+    # the length of a piece that ends inside a character counts that character
+    chars = F.length(F.substring(body.cast("binary"), F.lit(1), cut).cast("string"))
+    whole = F.octet_length(F.left(body, chars)) == cut
+    start = F.least(F.when(whole, chars).otherwise(chars - 1 + cut - F.octet_length(F.left(body, chars - 1))), F.length(body))
+    piece = F.regexp_replace(F.substring(body, start + 1, F.lit(180)), r"^[\s\u0085\p{Z}\x1c-\x1f]+|[\s\u0085\p{Z}\x1c-\x1f]+$", "")
+    text = F.concat(F.when(start > 0, "…").otherwise(""), piece, F.when(start + 180 < F.length(body), "…").otherwise(""))
+    return F.when(F.coalesce(F.length(body), F.lit(0)) == 0, F.lit("")).otherwise(text)

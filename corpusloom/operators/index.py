@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import escape_html, highlight, snippet_bytes, tokens_of
+from corpusloom.functions.text import escape_html, exact_snippet, highlight, tokens_of
 from corpusloom.operators.scale import sized, spread
 from corpusloom.sources.tables import stored
 
@@ -120,9 +120,9 @@ def search(docs: DataFrame, index: DataFrame, query: str, limit: int = 20, mark:
     best = docs.sparkSession.createDataFrame([tuple(r) for r in ranked], "doc_id bigint, score double, url string")
     ids = [r["doc_id"] for r in ranked]
     hits = docs.where(F.col("doc_id").isin(ids) if ids else F.lit(False)).select("doc_id", "title", "body").join(F.broadcast(best), "doc_id")
-    title, cut = F.coalesce(F.col("title"), F.lit("")), snippet_bytes(F.col("body"), query)
+    title, cut = F.coalesce(F.col("title"), F.lit("")), exact_snippet(F.col("body"), query)
     dress = (lambda x: highlight(x, query)) if mark else escape_html
-    return hits.select("doc_id", "url", (highlight(title, query) if mark else title).alias("title"), "score", dress(cut).alias("snippet"), F.lit(mark).alias("highlight")).orderBy(F.desc("score"), "url", "doc_id")
+    return hits.select("doc_id", "url", (highlight(title, query) if mark else title).alias("title"), "score", dress(cut).alias("snippet"), F.lit(mark).alias("highlight")).orderBy(F.desc("score"), "url", "doc_id").limit(clamp_hits(limit))
 
 
 def latest(docs: DataFrame, key: str, order: str) -> DataFrame:

@@ -172,7 +172,7 @@ cut AS (SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN '' ELSE """
 @query("WITH " + _CUT + "SELECT doc_id, snippet FROM cut")
 def snippets_by_bytes(spark: SparkSession, d: str) -> DataFrame:
     """Snippets of every document by the byte rule that the search uses, escaped."""
-    return documents(spark, d).select("doc_id", T.escape_html(T.snippet_bytes(F.col("body"), ASKED)).alias("snippet"))
+    return documents(spark, d).select("doc_id", T.escape_html(T.exact_snippet(F.col("body"), ASKED)).alias("snippet"))
 
 
 _MARKED = "regexp_replace({x}, '(?i)(crawler queue|crawler|queue)', '<mark>\\1</mark>', 'g')"

@@ -202,9 +202,11 @@ def word_counts(spark: SparkSession, d: str) -> DataFrame:
     return _pages(spark, d).select("page_id", H.word_count(F.col("html")).cast("bigint").alias("words"))
 
 
-@query(_HTML + _STRIPPED + "SELECT page_id, contains(lower(html), 'lang=\"en') OR contains(lower(html), 'lang=''en') AS en FROM s")
+@query("SELECT doc_id, starts_with(lower(lang), 'en') AS en, starts_with(lower(lang), 'zh') AS zh FROM (SELECT doc_id, coalesce(lang, '') AS lang FROM documents)")
 def lang_hints(spark: SparkSession, d: str) -> DataFrame:
-    return _pages(spark, d).select("page_id", H.has_lang(F.col("html"), "en").alias("en"))
+    """Languages that the attribute of a page names, here the spellings of `lang`."""
+    page = F.concat(F.lit("<html LANG='"), F.coalesce("lang", F.lit("")), F.lit("'>"))
+    return table(spark, d, "documents").select("doc_id", H.has_lang(page, "en").alias("en"), H.has_lang(page, " ZH").alias("zh"))
 
 
 @query("SELECT page_id, generate_subscripts(links, 1) - 1 AS pos, unnest(links) AS link FROM crawl_pages")
@@ -490,7 +492,7 @@ def ids_and_clock(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """WITH o AS (SELECT url, max(length(title)) AS length, max(lang) AS etag FROM documents GROUP BY url),
-n AS (SELECT base_url AS url, max(coalesce(length(text), 0)) AS length, max(left(title, 0)) AS etag FROM crawl_pages GROUP BY base_url)
+n AS (SELECT base_url AS url, max(coalesce(length(text), 0)) AS length, max(left(title, 6)) AS etag FROM crawl_pages GROUP BY base_url)
 SELECT coalesce(o.url, n.url) AS url, CASE WHEN n.length > 0 THEN n.length ELSE coalesce(o.length, n.length) END AS length, CASE WHEN n.etag <> '' THEN n.etag ELSE coalesce(o.etag, n.etag) END AS etag
 FROM o FULL JOIN n ON o.url = n.url"""
 )
@@ -498,7 +500,7 @@ def merged_meta(spark: SparkSession, d: str) -> DataFrame:
     docs, pages = table(spark, d, "documents"), table(spark, d, "crawl_pages")
     old = docs.groupBy("url").agg(F.max(F.length("title")).cast("bigint").alias("length"), F.max("lang").alias("etag"))
     size = F.coalesce(F.length("text"), F.lit(0))
-    new = pages.groupBy(F.col("base_url").alias("url")).agg(F.max(size).cast("bigint").alias("length"), F.max(F.left("title", F.lit(0))).alias("etag"))
+    new = pages.groupBy(F.col("base_url").alias("url")).agg(F.max(size).cast("bigint").alias("length"), F.max(F.left("title", F.lit(6))).alias("etag"))
     return L.merge_meta(old, new)
 
 

@@ -551,3 +551,15 @@ def test_a_kept_index_follows_its_table(spark, tmp_path):
     assert get().count() == 5 and len(made) == 2
     shutil.rmtree(get().inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0])
     assert get().count() == 5 and len(made) == 3
+
+
+def test_exact_snippets_against_bytes(spark):
+    import random
+
+    rng = random.Random(8)
+    bodies = [None, "", "crawler", "x" * 59 + "crawler", "é" * 30 + "crawler" + "z" * 300, "数据" * 100 + "queue", " \n" * 40 + "Crawler  "]
+    bodies += ["".join(rng.choice("aé数😀 \n") for _ in range(rng.randrange(0, 300))) + rng.choice(["Crawler Queue", "queue", "none", "CRAWLER"]) + "".join(rng.choice("b é据") for _ in range(rng.randrange(0, 300))) for _ in range(300)]
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i int, body string")
+    for query in ("crawler queue", "queue", " ", "数据"):
+        got = {r["i"]: r["s"] for r in df.select("i", T.exact_snippet(F.col("body"), query).alias("s")).collect()}
+        assert got == {i: T.cut_snippet(b, query) for i, b in enumerate(bodies)}, query
