@@ -19,7 +19,6 @@ import re
 import zlib
 from collections import Counter
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 
@@ -43,7 +42,7 @@ _OTHER_SCRIPT = re.compile(r"[㐀-鿿Ѐ-ӿ]")
 _LATIN_WORD = re.compile(r"[a-zÀ-ɏ]+")
 _LATIN = re.compile(r"[A-Za-zÀ-ɏ]")
 _ADDRESS = re.compile(r"(?:https?://|www\.)\S+")
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"[^\W\d_]+|\n")
 
 
 def word_slots(word: str, known: bool = True) -> list[int]:
@@ -56,16 +55,20 @@ def word_slots(word: str, known: bool = True) -> list[int]:
     return [zlib.crc32(padded.encode("utf-8", "surrogatepass")) % SLOTS, *(zlib.crc32(padded[i : i + 3].encode("utf-8", "surrogatepass")) % SLOTS for i in range(len(padded) - 2))]
 
 
-def words_of(line: str) -> list[str]:
-    """The words of a line in lower case, taken apart at apostrophes too, without addresses and figures."""
-    return _WORD.findall((_ADDRESS.sub(" ", line) if "://" in line or "www." in line else line).lower())
+def without_addresses(line: str) -> str:
+    return _ADDRESS.sub(" ", line) if "://" in line or "www." in line else line
+
+
+def words_of(text: str) -> list[str]:
+    """The words of lines in lower case, taken apart at apostrophes too, without figures; the ends of lines stand among them."""
+    return _WORD.findall(text.lower())
 
 
 class _Rows(dict):
-    """Row of each word in the table of a process, made when first asked for."""
+    """Row of each word in the table of a process, made when first asked for; -1 for the end of a line."""
 
     def __init__(self, machines: Machines) -> None:
-        super().__init__()
+        super().__init__({"\n": -1})
         self.machines = machines
 
     def __missing__(self, word: str) -> int:
@@ -104,22 +107,21 @@ class Machines:
         self._used += 1
         return self._used - 1
 
-    def rows_of(self, line: str) -> list[int]:
-        """Rows of a line's words."""
-        return list(map(self._rows.__getitem__, words_of(line)))
-
-    def margins(self, lines: list[list[int]]) -> np.ndarray:
-        """Margin of every line of rows under every machine; feature counts are scaled to unit length."""
-        out = np.zeros((len(lines), len(self.columns)))
-        filled = [i for i, rows in enumerate(lines) if rows]
-        if filled:
-            flat = np.fromiter(chain.from_iterable(lines), dtype=np.int64)
-            starts = np.cumsum([0, *(len(lines[i]) for i in filled[:-1])])
-            sums = np.add.reduceat(self._table[flat], starts, axis=0)
-            out[filled] = sums[:, :-1] / np.sqrt(np.maximum(sums[:, -1:], 1.0))
+    def margins(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Margin of every line under every machine, and its number of words; feature counts are scaled to unit length. The words of
+        all lines are found at once."""
+        out, words = np.zeros((len(lines), len(self.columns))), np.zeros(len(lines), dtype=np.int64)
+        rows = np.fromiter(map(self._rows.__getitem__, words_of("\n".join(map(without_addresses, lines)))), dtype=np.int64)
+        line = np.cumsum(rows < 0)[rows >= 0]
+        rows = rows[rows >= 0]
+        if len(rows):
+            starts = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
+            sums = np.add.reduceat(self._table[rows], starts, axis=0)
+            out[line[starts]] = sums[:, :-1] / np.sqrt(np.maximum(sums[:, -1:], 1.0))
+            words[line[starts]] = np.diff(np.append(starts, len(rows)))
         if self._used > 200_000:
             self.__post_init__()
-        return out + self.bias
+        return out + self.bias, words
 
     def classify(self, lines: list[str]) -> tuple[list[str | None], np.ndarray]:
         """Language and confidence of every line; None for a line without letters."""
@@ -146,12 +148,11 @@ class Machines:
                 langs[i], conf[i] = "ru", cyr / (han + lat + cyr)
             else:
                 latin.append(i)
-        texts = [self.rows_of(lines[i]) for i in latin]
-        if texts:
-            m = self.margins(texts)
+        if latin:
+            m, words = self.margins([lines[i] for i in latin])
             names, sure = self.decide(m)
             for row, i in enumerate(latin):
-                if texts[row] and _LATIN.search(lines[i]):
+                if words[row] and _LATIN.search(lines[i]):
                     langs[i], conf[i] = names[row], sure[row]
         return langs, conf
 
@@ -201,19 +202,20 @@ def _svm(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 6,
 
 def fit(samples: list[tuple[str, str]], rounds: int = 2) -> Machines:
     """Machines from (language, line) pairs, of which some labels may be wrong; only Latin-script lines are used."""
-    by: dict[str, list[list[str]]] = {}
-    seen = Counter(w for line in {line for _, line in samples} for w in set(words_of(line)))
+    by: dict[str, list[str]] = {}
+    seen = Counter(w for line in {line for _, line in samples} for w in set(words_of(without_addresses(line))))
     vocabulary = frozenset(w for w, n in seen.items() if n >= 3)
     for lang, line in samples:
         if any(lang in f for f in LATIN_FAMILIES.values()) and len(_LATIN.findall(line)) >= 0.6 * len(line.replace(" ", "")) and len(line) >= 15:
-            by.setdefault(lang, []).append(words_of(line))
+            by.setdefault(lang, []).append(without_addresses(line))
     kept = {lang: lines[:LINES] for lang, lines in by.items()}
     machines = Machines(np.zeros((SLOTS, len(_columns()))), np.zeros(len(_columns())), _columns(), vocabulary)
     family_of = {lang: f for f, langs in LATIN_FAMILIES.items() for lang in langs}
     for r in range(rounds):
         rows = [(lang, line) for lang, lines in kept.items() for line in lines]
         feats = []
-        for _, words in rows:
+        for _, line in rows:
+            words = words_of(line)
             slots, counts = np.unique(np.array([x for w in words for x in word_slots(w, w in vocabulary)], dtype=np.int64), return_counts=True)
             feats.append((slots, counts / np.sqrt(max(counts.sum(), 1))))
         machines.__post_init__()
@@ -226,7 +228,7 @@ def fit(samples: list[tuple[str, str]], rounds: int = 2) -> Machines:
             machines.weights[:, k], machines.bias[k] = _svm([feats[i] for i in pick], np.array([side[i] for i in pick]), seed=k)
         if r + 1 < rounds:
             for lang, lines in kept.items():
-                said, sure = machines.decide(machines.margins([[machines._rows[w] for w in words] for words in lines]))
+                said, sure = machines.decide(machines.margins(lines)[0])
                 good = [x for x, s, c in zip(lines, said, sure, strict=True) if s == lang or c < 0.7]
                 kept[lang] = good if len(good) >= 0.5 * len(lines) else lines
     return machines
