@@ -47,9 +47,11 @@ def p9_tempered(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_temperature(spark: SparkSession, d: str) -> DataFrame:
-    """Weights by temperature: the flattest mix of half the corpus' size that repeats no source more than its limit."""
-    sizes = {r["source"]: float(r["n"]) for r in _sizes(spark, d).groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
-    limits = {r["source"]: float(r["max_repeats"] or 1) for r in table(spark, d, "mix_targets").collect()}
+    """Weights by temperature: the flattest mix of half the corpus' size that repeats no source more than its limit. Sources are
+    those of the targets, a table of fixed size."""
+    targets = table(spark, d, "mix_targets").where(F.col("source").isNotNull())
+    rows = _sizes(spark, d).groupBy("source").agg(F.sum("n_tokens").alias("n")).join(F.broadcast(targets.select("source", "max_repeats")), "source").where(F.col("n") > 0).collect()
+    sizes, limits = {r["source"]: float(r["n"]) for r in rows}, {r["source"]: float(1 if r["max_repeats"] is None else r["max_repeats"]) for r in rows}
     exponent, weights = temperature(sizes, repeats=limits, budget=sum(sizes.values()) / 2)
     return spark.createDataFrame([(s, sizes[s], exponent, w) for s, w in sorted(weights.items())], "source string, tokens double, exponent double, weight double")
 
