@@ -5,7 +5,7 @@ over sliding windows of WINDOW lines, and the text is kept between the surge, th
 threshold, and the dive, the last one. Stripping markup takes away what is no running text whatever it says: tags, and the
 short pieces of a line that is cut into three or more by separators (menus, paths, bylines). Lines that the site repeats, lines
 that recur all over the collection and lines that are links to other records (worded like the collection's titles) weigh
-nothing either, and are cut out between surge and dive, as are menus. No rule depends on the length of a line.
+nothing either, and are cut out between surge and dive. So are gaps there: menus as heavy as a block.
 
 Stuffing: the terms of the record's own lines are numbered in order. The gap back to a term's last place, the autocorrelation of
 the places over lags, and the spread of gaps of the most frequent term tell unnaturally regular repetition; the share of text
@@ -123,7 +123,8 @@ def mass(s: str) -> int:
 
 
 def weight(s: str, known: Known) -> tuple[int, bool]:
-    """(characters of running text in a line without tags, whether it is a menu: short pieces between marks, each once, no figures)."""
+    """(characters of running text in a line without tags, whether it is a menu: short pieces between marks alone, each once and
+    without figures)."""
     marked = _MARK.search(s) is not None
     if marked:
         pieces = [p for p in _PIECES.split(_BULLET.sub("", s)) if p]
@@ -154,8 +155,8 @@ def span(weights: Sequence[int]) -> tuple[int, int]:
 
 
 def kinds(lines: list[str], keys: list[int], own: set[int], known: Known, title: str | None, windows: bool = True) -> list[int]:
-    """0 for an empty line, 1 for the main body, 2 for known lines and menus, 3 for what else stands before the surge or after the
-    dive. Without `windows` nothing is 3."""
+    """0 for an empty line, 1 for the main body, 2 for known lines, gaps and menus outside the body, 3 for what else stands before
+    the surge or after the dive. Without `windows` only known lines and gaps are cut."""
     n = len(lines)
     kind = [0] * n
     weights = [0] * n
@@ -163,6 +164,7 @@ def kinds(lines: list[str], keys: list[int], own: set[int], known: Known, title:
     name = (title or "").strip()
     has_name = bool(name) and "://" not in name and name in plain
     headline = -1
+    menus = set()
     for i, s in enumerate(plain):
         if not s:
             continue
@@ -180,11 +182,12 @@ def kinds(lines: list[str], keys: list[int], own: set[int], known: Known, title:
         else:
             weights[i], menu = weight(s, known)
             if menu:
-                kind[i] = 2
+                menus.add(i)
+                kind[i] = 2 if mass(s) >= BLOCK else 1
     filled = [i for i, k in enumerate(kind) if k]
     if not has_name and 3 in kind:  # the headline is the bare title-like line right above the body
         for i, after in pairwise(filled):
-            if kind[i] == 3 and kind[after] == 1 and not _BULLET.match(plain[i]) and not _COUNT.search(plain[i]) and worded_like_title(plain[i], known):
+            if kind[i] == 3 and kind[after] == 1 and after not in menus and not _BULLET.match(plain[i]) and not _COUNT.search(plain[i]) and worded_like_title(plain[i], known):
                 headline, weights[i] = i, mass(plain[i])
                 break
     kind = [2 if k == 3 else k for k in kind]
@@ -192,7 +195,7 @@ def kinds(lines: list[str], keys: list[int], own: set[int], known: Known, title:
         surge, dive = span([weights[i] for i in filled])
         for at in (*range(surge), *range(dive + 1, len(filled))):
             if kind[filled[at]] == 1:
-                kind[filled[at]] = 3
+                kind[filled[at]] = 2 if filled[at] in menus else 3
     if headline >= 0:
         kind[headline] = 1
     return kind

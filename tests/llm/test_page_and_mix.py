@@ -242,7 +242,7 @@ def test_recurrence_decides(monkeypatch):
 
 def test_windows_decide():
     """Without surge and dive the short lines around the body stay."""
-    lines = ["Login", "Jobs", "By A B, 2024-01-02, 3 min", PROSE, "4.2 Release notes", PROSE, "Prices", "Contact"]
+    lines = ["Login", "Home | Blog | Jobs", "By A B, 2024-01-02, 3 min", PROSE, "4.2 Release notes", PROSE, "Prices", "Home > Topics > Queue"]
     assert marks(lines) == [2, 2, 2, 1, 1, 1, 2, 2]
     assert marks(lines, windows=False) == [1] * 8
 
@@ -253,6 +253,7 @@ def test_length_of_lines_does_not_matter():
     assert len(menu) > 5000
     assert marks([menu, PROSE, menu, PROSE, menu]) == [2, 1, 2, 1, 2]
     assert marks([tag, PROSE]) == [2, 1] and marks([f"<p class='{'z' * 900}'>{PROSE}</p>", "Home"]) == [1, 2]
+    assert marks([PROSE, "Home | Blog | Jobs", PROSE]) == [1, 1, 1]  # too light to be a gap
     related = "Related articles that other readers of these pages have liked a lot: " + " · ".join(["The queue: old entries"] * 20)
     assert marks([PROSE, related, PROSE]) == [1, 2, 1]
 
