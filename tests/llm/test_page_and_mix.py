@@ -76,7 +76,7 @@ def test_not_stuffed():
 
 def test_figures():
     assert statement_share([]) == (1.0, 0)
-    assert [list(x) for x in recurrence([[], [""], ["of the"]])] == [[0, 0, 0]] + [[0.0, 0.0, 0.0]] * 3
+    assert [list(x) for x in recurrence([[], [""], ["of the"]])] == [[0, 0, 0]] + [[0.0, 0.0, 0.0]] * 3 + [[False] * 3]
     assert stuffing([]) == []
     said, total = statement_share([PROSE, "a b c"])
     assert said == pytest.approx(len(PROSE) / (len(PROSE) + 5)) and total == len(PROSE) + 5
@@ -188,7 +188,7 @@ def test_pairs_are_counted_whatever_joins_them(form):
     lines = []
     for k in range(6):
         lines.append(" ".join(f"The {rng.choice(names)} of the {rng.choice(names)} is what {rng.choice(names)} has, and it was not {form.format(*(('Casino', 'bonus'), ('CASINO', 'Bonus'))[(k + j) % 2])} so." for j in range(3)))
-    _, near, auto, _ = recurrence([lines])
+    _, near, auto, *_ = recurrence([lines])
     assert near[0] >= 0.39 and auto[0] >= 0.03 and stuffing([lines])[0]
 
 
@@ -197,7 +197,7 @@ def test_single_terms_at_steady_gaps():
     word = lambda k: "".join("bcdfghklmn"[int(x)] + "aeiou"[int(x) % 5] for x in str(1000 + k))
     said = lambda k, key: f"The {word(5 * k)} of the {key} is what the {word(5 * k + 1)} has, and the {word(5 * k + 2)} was not in the {word(5 * k + 3)}."
     lines = [" ".join(said(5 * i + j, "casino") for j in range(5)) for i in range(4)]
-    n, near, _, steady = recurrence([lines])
+    n, near, _, steady, _ = recurrence([lines])
     assert near[0] < 0.39 and steady[0] == pytest.approx(20 / n[0]) and stuffing([lines])[0]
     # once in each line, at chance gaps or as seldom as a subject it is no stuffing
     assert not stuffing([[said(k, "casino") for k in range(20)]])[0]
@@ -212,11 +212,13 @@ def brute(lines):
     """Figures of `recurrence` by loops over the places of one record."""
     import re
 
-    from corpusloom.llm.page import FUNCTION_WORDS, IN_LINE, LAGS
+    from corpusloom.llm.page import FUNCTION_WORDS, HAN_TERM, HAN_WORD, IN_LINE, LAGS
 
     placed = [(w, i) for i, x in enumerate(lines) for w in re.findall(r"[^\W\d_㐀-鿿]+|[㐀-鿿]+", x.lower()) if w not in FUNCTION_WORDS]
     n, words = len(placed), [w for w, _ in placed]
     strewn = {w for w in set(words) if words.count(w) > 1 and words.count(w) >= IN_LINE * len({i for x, i in placed if x == w})}
+    han = [w for w in words if "㐀" <= w[0] <= "鿿"]
+    strewn = {w for w in strewn if w in han and len(w) <= HAN_TERM or w not in han and 2 * sum(-(-len(x) // HAN_WORD) for x in han) <= n - len(han) + sum(-(-len(x) // HAN_WORD) for x in han)}
     near = sum(w in strewn and w in words[max(0, at - LAGS) : at] for at, w in enumerate(words)) / max(n, 1)
     lags = range(1, min(LAGS, max(n // 2, 1)) + 1)
     auto = sum(sum(words[at] in strewn and words[at] == words[at - lag] for at in range(lag, n)) / max(n - lag, 1) for lag in lags) / len(lags)
@@ -225,9 +227,9 @@ def brute(lines):
 
 def test_recurrence_against_brute_force():
     rng = random.Random(9)
-    records = [[" ".join(rng.choice(["alpha", "beta", "gamma", "the", "delta", "数据", "x1y"]) for _ in range(rng.randrange(0, 30))) for _ in range(rng.randrange(0, 5))] for _ in range(40)]
+    records = [[" ".join(rng.choice(["alpha", "beta", "数据", "the", "delta", "数据", "下载", "下载线程每分钟一次拒绝", "x1y"]) for _ in range(rng.randrange(0, 30))) for _ in range(rng.randrange(0, 5))] for _ in range(40)]
     records += [spam(k, 3) for k in ("list", "tags", "links", "products", "again", "strewn")] + [[PROSE] * 3]
-    n, near, auto, _ = recurrence(records)
+    n, near, auto, *_ = recurrence(records)
     for k, lines in enumerate(records):
         assert (n[k], near[k], auto[k]) == pytest.approx(brute(lines)), lines
 
@@ -303,3 +305,15 @@ def test_tempered_weights_are_realised(spark):
         assert -sum(x * math.log(x) for x in shares) == pytest.approx(entropy, abs=1e-6) and exponent > 0
         for r in reached(mix(df, weights), weights).collect():
             assert r["share"] == pytest.approx(r["target_share"], rel=0.01)
+
+
+def test_keywords_in_han_text():
+    """Keywords between clauses are stuffing; a name in Latin letters after each clause, or a clause said again, is none."""
+    rng = random.Random(2)
+    clause = lambda: "".join(rng.choice("抓取程序保存多个快照检查条目归档库高负载网页") for _ in range(14))
+    strewn = ["".join(f"{clause()}， {rng.choice(['首选', '手机壳特价'])} {clause()}。 首选 " for _ in range(5)) for _ in range(3)]
+    named = ["".join(f"{clause()}（Pilobrelaben）。{clause()}，" for _ in range(8)) for _ in range(3)]
+    again = clause()
+    said = ["".join(f"{clause()}。{again}。{clause()}，{clause()}。" for _ in range(6)) for _ in range(2)]
+    mixed = [*named[:1], "The reader of the Pilobrelaben is old. " + " ".join(f"The {chr(97 + k)}ello of the Pilobrelaben has {chr(98 + k)}orte and {chr(99 + k)}unna." for k in range(5))]
+    assert stuffing([strewn, named, said, mixed]) == [True, False, False, False]
